@@ -1,0 +1,229 @@
+"""MinHash near-dedup with sequential Bayesian verification.
+
+1. A document's set of word shingles becomes a class key (documents with equal sets are one class from here on) and a
+   signature of 128 MinHashes, kept as 16 bits each.
+2. Bands of 8 signature places each put classes into buckets; their number follows from the threshold and the chosen
+   miss probability. In a bucket everyone is tied to its least class only, and ties are closed into candidate groups,
+   so a bucket of n classes makes n - 1 rows, never its pairs.
+3. Candidate groups are cut into blocks of bounded size, and each pair of blocks is compared in memory: a pair that
+   shares a band is compared signature batch by signature batch, and dropped once the posterior probability that its
+   similarity reaches the threshold (uniform prior) is under `miss`. Survivors are verified on their full sets. A block
+   pair returns links that span what it found, not all of them.
+4. Links are closed into components.
+
+Shingles are compared by 64-bit hashes. Defined cases: a null text or one without words has an empty set, which links
+with nothing; a text of fewer words than a shingle is one shingle; rows that repeat a doc_id count as the same
+document; a null doc_id is a document whose component_id is null unless it has copies; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinlink.llm import shared, tokens
+from kinlink.llm.components import components
+
+PLACES, BAND, BATCH = 128, 8, 16
+MISS = 1e-7
+#: Classes of a candidate group that meet in one block.
+BLOCK = 512
+
+_draw = np.random.Generator(np.random.PCG64(20240501))
+_XOR = _draw.integers(0, 1 << 32, PLACES, dtype=np.uint32)
+_ODD = _draw.integers(0, 1 << 32, PLACES, dtype=np.uint32) | np.uint32(1)
+_ORDER = [_draw.permutation(PLACES) for _ in range(64)]
+
+
+def band_places(threshold: float, miss: float = MISS) -> np.ndarray:
+    """Signature places of each band, as rows: enough bands that a pair at the threshold shares none with probability
+    `miss` at most."""
+    n = math.ceil(math.log(miss) / math.log(1 - threshold**BAND))
+    return np.concatenate([p.reshape(-1, BAND) for p in _ORDER[: -(-n * BAND // PLACES)]])[:n]
+
+
+def shingle_sets(column: pa.Array, k: int):
+    """The sorted distinct shingle hashes of each text."""
+    data, offsets = tokens.text_buffer(column)
+    for a, b in tokens.slices(offsets, tokens.PIECE):
+        part = offsets[a : b + 1] - offsets[a]
+        _, _, h, bounds = tokens.words(tokens.lower(data[offsets[a] : offsets[b]]), part, tokens.SPACE_SEPARATED)
+        g = tokens.grams(h, k)
+        for i in range(b - a):
+            x, y = bounds[i], bounds[i + 1]
+            if y - x >= k:
+                yield np.unique(g[x : y - k + 1])
+            else:
+                yield tokens.grams(h[x:y], int(y - x)) if y > x else np.zeros(0, np.uint64)
+
+
+def class_key(s: np.ndarray) -> int:
+    """A 64-bit key of a set; 0 for the empty one."""
+    if not len(s):
+        return 0
+    both = np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(tokens.mix(s)), np.uint64(len(s))], dtype=np.uint64)
+    return int(tokens.grams(both, 3).view(np.int64)[0]) or 1
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    h = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(PLACES, 0xFFFFFFFF, dtype=np.uint32)
+    for a in range(0, len(h), 512):
+        least = np.minimum(least, ((h[a : a + 512][None, :] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1))
+    return (least >> np.uint32(16)).astype(np.uint16) ^ least.astype(np.uint16)
+
+
+def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            sizes, keys, signs = [], [], []
+            for s in shingle_sets(batch.column(1), k):
+                sizes.append(len(s))
+                keys.append(class_key(s))
+                signs.append(signature(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "cls", "sign"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, cls long, sign binary")
+
+
+def band_hashes(signs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(classes, bands) hashes; the band's number is part of them."""
+    out = np.empty((len(signs), len(places)), dtype=np.uint64)
+    for i, p in enumerate(places):
+        packed = np.ascontiguousarray(signs[:, p]).view(np.uint64)
+        out[:, i] = tokens.mix(tokens.mix(packed[:, 0] + np.uint64(i + 1)) ^ packed[:, 1])
+    return out
+
+
+def _bands(places: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, PLACES)
+            yield pa.RecordBatch.from_pydict({"cls": np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(places)), "bucket": band_hashes(signs, places).ravel().view(np.int64)})
+
+    return run
+
+
+def least_matches(threshold: float, miss: float = MISS) -> list[int]:
+    """For 16, 32, ... compared places, the matches under which a pair is dropped: with a uniform prior, the posterior
+    probability of similarity >= threshold after m matches of n is P(Binomial(n + 1, threshold) <= m)."""
+    out = []
+    for n in range(BATCH, PLACES + 1, BATCH):
+        below, m = 0.0, -1
+        while below < miss:
+            m += 1
+            below += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+        out.append(m)
+    return out
+
+
+def _links(percent: int, places: np.ndarray):
+    floors = least_matches(percent / 100)
+
+    def fn(key, rows):
+        ids = np.array(rows["cls"], dtype=np.int64)
+        sides = np.array(rows["side"])
+        signs = np.frombuffer(b"".join(rows["sign"]), dtype=np.uint16).reshape(-1, PLACES)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        bands = band_hashes(signs, places)
+        root = list(range(len(ids)))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        own = sides.max() == 0
+        right = np.arange(len(ids)) if own else np.flatnonzero(sides == 1)
+        for i in np.arange(len(ids)) if own else np.flatnonzero(sides == 0):
+            to = right[right > i] if own else right
+            lo, hi = np.minimum(sizes[to], sizes[i]), np.maximum(sizes[to], sizes[i])
+            to = to[100 * lo >= percent * hi]
+            if not len(to):
+                continue
+            to = to[(bands[to] == bands[i]).any(axis=1)]
+            same = np.zeros(len(to), np.int64)
+            for b, floor in enumerate(floors):
+                if not len(to):
+                    break
+                at = slice(b * BATCH, (b + 1) * BATCH)
+                same += (signs[to, at] == signs[i, at]).sum(axis=1)
+                to, same = to[same >= floor], same[same >= floor]
+            for j in to.tolist():
+                x, y = find(i), find(j)
+                if x == y:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    root[x] = y
+                    found.append((ids[i], ids[j]))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return fn
+
+
+def links(docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Classes (cls, rep: least doc_id, n, sign) and verified links (a, b) between them, which span the components."""
+    classes = sketch.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
+    classes = shared.stored(classes, "classes")
+    places = band_places(percent / 100)
+    # Smaller sets reach the threshold only when equal.
+    large = classes.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("n") + 1))
+    bands = large.select("cls", "sign").mapInArrow(_bands(places), "cls long, bucket long")
+    heads = shared.stored(bands.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").select("bucket", "head"), "heads")
+    ties = bands.join(heads, "bucket").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    groups = shared.stored(components(ties).select(F.col("node").alias("cls"), F.col("root").alias("grp")), "groups")
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block)
+    sizes = shared.stored(sizes, "large")
+    members = shared.stored(groups.join(sizes, "grp", "left").join(classes, "cls").select("cls", "rep", "sign", "grp", F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int").alias("parts")), "members")
+
+    def sets(batches):
+        for batch in batches:
+            keep, out = [], []
+            cls = batch.column(0).to_pylist()
+            for i, s in enumerate(shingle_sets(batch.column(5), k)):
+                if class_key(s) == cls[i]:
+                    keep.append(i)
+                    out.append(s.tobytes())
+            rest = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns[:5], pa.array(out, pa.binary())], names=["cls", "rep", "sign", "grp", "parts", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    full = members.join(texts, F.coalesce(members["rep"], F.lit(-1)) == F.coalesce(texts["rep"], F.lit(-1))).select("cls", members["rep"], "sign", "grp", "parts", "text").mapInArrow(sets, "cls long, rep long, sign binary, grp long, parts int, shingles binary")
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = full.withColumn("part", part).withColumn("other", other)
+    i, j = F.least("part", "other"), F.greatest("part", "other")
+    dealt = dealt.select(F.xxhash64("grp", i, j).alias("block"), F.when(F.col("part") == i, 0).otherwise(1).alias("side"), "cls", "sign", "shingles")
+    found = shared.grouped(dealt, "block", ["side", "cls"], _links(percent, places), "a long, b long")
+    return classes, shared.stored(found, "links")
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id linked, directly or not), kept (doc_id = component_id)."""
+    sketch = shared.stored(sketches(docs, k, id_col, text_col), "sketch")
+    classes, pairs = links(docs, sketch.select("doc_id", "n_shingles", "cls", "sign"), k, percent, id_col, text_col)
+    roots = components(pairs).withColumnRenamed("node", "cls")
+    placed = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = shared.stored(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    labels = shared.stored(placed.join(least, "root").select("cls", "component_id"), "labels")
+    # Empty sets look for themselves under keys of their own, so that they don't meet in one task.
+    slim = sketch.select("doc_id", "n_shingles", F.when(F.col("cls") == 0, F.xxhash64(F.lit("empty"), "doc_id")).otherwise(F.col("cls")).alias("cls"))
+    out = slim.join(labels, "cls", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without those whose near copy with the least doc_id stays."""
+    gone = near_groups(docs, k, percent).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -58,8 +58,8 @@ def steady(docs: DataFrame, name: str = "docs") -> DataFrame:
     return docs
 
 
-def grouped(df: DataFrame, key: str, order: list[str], fn: Callable[[int, dict[str, list]], Iterator[dict[str, list]]], schema: str, parts: int | None = None) -> DataFrame:
-    """One Arrow pass over the rows of each key: df dealt by key and sorted, fn(key, columns) gives columns of output.
+def grouped(df: DataFrame, key: str, order: list[str], fn: Callable[[int, dict[str, list]], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
+    """One Arrow pass over the rows of each key: df dealt by key and sorted, fn(key, columns) gives batches of output.
 
     Rows of a key meet in one task, so keys must stand for bounded groups (hash buckets, chunks). Within it, the rows
     come in the given order.
@@ -71,8 +71,7 @@ def grouped(df: DataFrame, key: str, order: list[str], fn: Callable[[int, dict[s
         current, held = None, None
 
         def flush():
-            for out in fn(current, held):
-                yield pa.RecordBatch.from_pydict(out)
+            yield from fn(current, held)
 
         for batch in batches:
             keys = batch.column(key)

@@ -76,4 +76,47 @@ FROM ranked WHERE whole + CASE WHEN upto <= part THEN 1 ELSE 0 END > 0
 """
 )
 
-SQL = {"op6_decontamination": OP6, "op7_mixing": OP7, "op9_line_dedup": OP9}
+OP10 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, r, s, array_to_string(w[s : s + 12], ' ') AS g FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+later AS (SELECT r, s FROM (SELECT r, s, doc_id > min(doc_id) OVER (PARTITION BY g) AS late FROM x) WHERE late),
+gone AS MATERIALIZED (SELECT DISTINCT r, unnest(range(s, s + 13)) AS i FROM later),
+kept AS (
+  SELECT u.r, string_agg(u.word, ' ' ORDER BY u.i) FILTER (WHERE g.i IS NULL) AS k, count(g.i) AS n
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) u LEFT JOIN gone g ON u.r = g.r AND u.i = g.i GROUP BY u.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+OP3 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, least(len(w), 3) AS k, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT x, y FROM pairs p JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y WHERE 100 * common >= 85 * (a.n + b.n - common)),
+two AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (SELECT x, x FROM two UNION SELECT r.doc_id, t.y FROM reach r JOIN two t ON t.x = r.other),
+least AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(l.c, d.doc_id) AS BIGINT) AS component_id, coalesce(l.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
+"""
+
+OP8 = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS MATERIALIZED (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, other) AS (SELECT x, x FROM links UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.other),
+least AS (SELECT vec_id, min(other) AS c FROM reach GROUP BY vec_id),
+n AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(coalesce(l.c, v.vec_id) AS BIGINT) AS component_id, coalesce(l.c, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN least l USING (vec_id)
+"""
+
+SQL = {"op3_near_dedup": OP3, "op8_vector_dedup": OP8, "op10_substring_dedup": OP10, "op6_decontamination": OP6, "op7_mixing": OP7, "op9_line_dedup": OP9}

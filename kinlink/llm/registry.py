@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import decontaminate, language, line_dedup, mixing, near_dedup, oracles, shared, token_counts, url_filter, vector_dedup
+from kinlink.llm import decontaminate, language, line_dedup, lm_score, mixing, near_dedup, oracles, shared, substring_dedup, token_counts, url_filter, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = language.fold(F.col("doc_id"), 7)
+    fold = F.when(remainder == 2, lm_score.TEST).when(remainder == 3, lm_score.HELD).otherwise(lm_score.TRAIN)
+    return lm_score.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), fold)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -60,12 +66,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_in_batches(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return out.withColumnRenamed("kept", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    own = (op1_language_id, op2_token_counts, op3_near_dedup, op5_url_filter, op6_decontamination, op7_mixing, op8_vector_dedup, op9_line_dedup, pipeline)
+    own = (op1_language_id, op2_token_counts, op3_near_dedup, op4_lm_score, op5_url_filter, op6_decontamination, op7_mixing, op8_vector_dedup, op9_line_dedup, op10_substring_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from kinlink.plans import queries_features, queries_linkage, queries_relational
+
+_ALL = (queries_relational.QUERIES, queries_linkage.QUERIES, queries_features.QUERIES)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for group in _ALL for name, (fn, _) in group.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for group in _ALL for name, (_, text) in group.items() if text}

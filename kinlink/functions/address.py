@@ -15,7 +15,7 @@ HALF = r"\b1\s*/\s*2\b"
 
 def components(address: Column, unquote: bool = False) -> Column:
     """Comma-separated parts without empty ones and placeholders; `unquote` takes off wrapping quotes."""
-    parts = F.transform(F.split(F.coalesce(address, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(address, F.lit("")), ","), lambda c: F.trim(c))
     if unquote:
         parts = F.transform(parts, lambda c: F.trim(F.regexp_replace(c, "^[\"']+|[\"']+$", "")))
     return F.filter(parts, lambda c: (c != "") & ~F.lower(c).isin(K.NULL_PLACEHOLDERS))
@@ -91,7 +91,7 @@ def parse_addresses(df: DataFrame, address: str = "business_address", country: s
 
 def state_of(address: Column, country: Column) -> Column:
     """The state alone, without the check for placeholders."""
-    parts = F.transform(F.split(address, ","), F.trim)
+    parts = F.transform(F.split(address, ","), lambda c: F.trim(c))
     at = state_position(parts, country)
     return F.when(at > 0, state_of_component(F.get(parts, at - 1), country)).otherwise("")
 

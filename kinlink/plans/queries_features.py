@@ -1 +1,440 @@
-QUERIES = {}
+"""Queries of similarities, pair, group and token-statistics features, rescues and model stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinlink.functions import constants as K
+from kinlink.functions import similarity as S
+from kinlink.operators import decision as D
+from kinlink.operators import ensemble as E
+from kinlink.operators import features as X
+from kinlink.operators import model as M
+from kinlink.operators import relational as R
+from kinlink.operators.blocking import scored
+from kinlink.plans.queries_relational import _bigint, _round
+from kinlink.plans.views import Views, sql
+
+QUERIES: dict = {}
+
+
+def query(text: str | None = None, *names: str):
+    def keep(fn):
+        QUERIES[fn.__name__] = (lambda spark, sf_dir: fn(Views(spark, sf_dir)), sql(text, *names) if text else None)
+        return fn
+
+    return keep
+
+
+COLUMNS = ["name_core", "addr_toks", "nums", "hn", "hn_suf", "legal", "state", "idents", "street", "city", "concat", "name_alt", "domain", "native", "addr_empty", "name", "src"]
+
+
+def _pairs(v: Views) -> DataFrame:
+    s, q = v.sides()
+    country = s.select(F.col("entity_id").alias("s1"), "country")
+    return X.with_records(v.record_pairs().join(country, "s1"), s, q, COLUMNS)
+
+
+def _names(v: Views) -> DataFrame:
+    """Pairs of distinct part names that share the first letter."""
+    a = v.table("part").select(F.col("p_name").alias("a")).distinct()
+    b = a.withColumnRenamed("a", "b")
+    return a.join(b, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b")))
+
+
+_NAMES = "(SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON substr(a.p_name, 1, 1) = substr(b.p_name, 1, 1) AND a.p_name < b.p_name)"
+
+
+# Similarities
+
+@query(f"SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS score FROM {_NAMES}")
+def jaro_winkler(v: Views):
+    return _round(_names(v).withColumn("score", S.jaro_winkler("a", "b")), "score")
+
+
+@query(f"SELECT a, b, CAST(levenshtein(a, b) AS INT) AS d FROM {_NAMES}")
+def levenshtein_ascii(v: Views):
+    return _names(v).withColumn("d", F.levenshtein("a", "b"))
+
+
+_LCS = """
+WITH RECURSIVE n AS (SELECT a, b FROM {names}),
+t(a, b, i, line) AS (SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM n
+  UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN line[j] + 1 ELSE greatest(acc[-1], line[j + 1]) END), [0]) FROM t WHERE i < length(a))
+SELECT a, b, round(100.0 * 2 * line[-1] / (length(a) + length(b)), 6) AS score FROM t WHERE i = length(a)
+"""
+
+
+@query(_LCS.format(names=_NAMES))
+def indel_ratio(v: Views):
+    return _round(_names(v).withColumn("score", S.ratio("a", "b")), "score")
+
+
+@query(_LCS.format(names=f"(SELECT DISTINCT array_to_string(list_sort(string_split(a, ' ')), ' ') AS a, array_to_string(list_sort(string_split(b, ' ')), ' ') AS b FROM {_NAMES})"))
+def token_sort_ratio(v: Views):
+    n = _names(v).withColumn("score", S.token_sort_ratio("a", "b"))
+    ordered = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ").alias(c)
+    return _round(n.select(ordered("a"), ordered("b"), "score").distinct(), "score")
+
+
+@query()
+def token_set_ratio(v: Views):
+    return _round(_names(v).withColumn("score", S.token_set_ratio("a", "b")), "score")
+
+
+@query()
+def partial_ratio(v: Views):
+    return _round(_names(v).withColumn("score", S.partial_ratio("a", "b")), "score")
+
+
+@query()
+def fuzzy_token_difference(v: Views):
+    d = _pairs(v).withColumn("d", S.fuzzy_difference("s_name_core", "q_name_core"))
+    return d.select("s1", "q", F.array_join("d.missing", " ").alias("missing"), F.array_join("d.extra", " ").alias("extra"))
+
+
+# Pairs
+
+@query("""
+SELECT s1, q, round(len(list_intersect(s_name_core, q_name_core)) / greatest(1, len(list_distinct(list_concat(s_name_core, q_name_core)))), 6) AS tok_jacc, CAST(s_name_core[1] = q_name_core[1] AS INT) AS first_tok_eq, CAST(len(q_name_core) AS INT) AS q_ntok, CAST(len(s_name_core) AS INT) AS s_ntok,
+  CAST(s_name_core = q_name_core AS INT) AS name_exact, CAST(list_sort(s_name_core) = list_sort(q_name_core) AS INT) AS name_sorted_eq, CAST(len(list_filter(s_name_core, lambda t: NOT list_contains(q_name_core, t))) = 0 AS INT) AS s_subset_q, CAST(len(list_filter(q_name_core, lambda t: NOT list_contains(s_name_core, t))) = 0 AS INT) AS q_subset_s FROM twos
+""", "twos")
+def token_overlap(v: Views):
+    return _round(_pairs(v).select("s1", "q", *(c.alias(n) for n, c in X.token_overlap(F.col("s_name_core"), F.col("q_name_core")).items())), "tok_jacc")
+
+
+@query("""
+SELECT s1, q, CAST(len(s_legal) > 0 AND len(q_legal) > 0 AND len(list_intersect(s_legal, q_legal)) = 0 AS INT) AS legal_conflict, CAST(s_legal = q_legal AS INT) AS legal_equal,
+  CAST(len(list_filter(q_legal, lambda t: NOT list_contains(s_legal, t))) AS INT) AS legal_q_only, CAST(len(list_filter(s_legal, lambda t: NOT list_contains(q_legal, t))) AS INT) AS legal_s_only FROM twos
+""", "twos")
+def legal_relation(v: Views):
+    return _pairs(v).select("s1", "q", *(c.alias(n) for n, c in X.legal_relation(F.col("s_legal"), F.col("q_legal")).items()))
+
+
+_NUMBERS = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS a, CASE WHEN l_suppkey % 7 = 0 THEN '' WHEN l_suppkey % 7 = 1 THEN CAST(l_partkey AS VARCHAR) ELSE CAST(l_partkey % 100 + l_suppkey AS VARCHAR) END AS b, CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE '' END AS sa FROM lineitem)"
+_RELATED = "(a = b OR starts_with(a, b) OR starts_with(b, a) OR suffix(a, b) OR suffix(b, a))"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, CASE WHEN a = '' AND b = '' THEN 0 WHEN b = '' THEN 1 WHEN a = '' THEN 2 WHEN a = b AND sa = '' THEN 3 WHEN a = b THEN 4 WHEN {_RELATED} THEN 5 WHEN abs(a::BIGINT - b::BIGINT) <= 20 THEN 6 WHEN abs(a::BIGINT - b::BIGINT) <= 200 THEN 7 ELSE 8 END AS hn_rel,
+  round(CASE WHEN a = '' OR b = '' THEN -1 ELSE ln(1 + abs(a::BIGINT - b::BIGINT)) END, 6) AS hn_logdiff FROM {_NUMBERS}
+""")
+def hn_relation(v: Views):
+    li = v.table("lineitem")
+    a = F.when(F.col("l_linenumber") == 3, "").otherwise(F.col("l_partkey").cast("string"))
+    b = F.when(F.col("l_suppkey") % 7 == 0, "").when(F.col("l_suppkey") % 7 == 1, F.col("l_partkey").cast("string")).otherwise((F.col("l_partkey") % 100 + F.col("l_suppkey")).cast("string"))
+    li = li.select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("").alias("sa"))
+    code, log = X.house_relation(F.col("a"), F.col("b"), F.col("sa"), F.lit(""))
+    return _round(li.select("l_orderkey", "l_linenumber", code.alias("hn_rel"), log.alias("hn_logdiff")), "hn_logdiff")
+
+
+@query("""
+SELECT s1, q, round(len(list_intersect(s_nums, q_nums)) / len(list_distinct(list_concat(s_nums, q_nums))), 6) AS num_jacc, CAST(len(list_filter(q_nums, lambda t: NOT list_contains(s_nums, t))) AS INT) AS num_q_only, CAST(len(list_filter(s_nums, lambda t: NOT list_contains(q_nums, t))) AS INT) AS num_s_only,
+  CAST(list_contains(s_nums, q_hn) AS INT) AS qhn_in_snums, round(ln(1 + list_min(list_transform(s_nums, lambda x: abs(x::BIGINT - q_hn::BIGINT)))), 6) AS qhn_min_logdist FROM twos
+""", "twos")
+def number_features(v: Views):
+    return _round(_pairs(v).select("s1", "q", *(c.alias(n) for n, c in X.number_features(F.col("s_nums"), F.col("q_nums"), F.col("q_hn")).items())), "num_jacc", "qhn_min_logdist")
+
+
+_COV = "len(list_filter({o}, lambda o: x = o OR (length(x) >= 2 AND length(o) >= 2 AND abs(length(x) - length(o)) <= 2 AND (starts_with(x, o) OR starts_with(o, x) OR suffix(x, o) OR suffix(o, x))))) > 0"
+
+
+@query(f"""
+WITH e AS (SELECT *, len(list_filter(q_idents, lambda x: NOT {_COV.format(o='s_idents')})) AS qo, len(list_filter(s_idents, lambda x: NOT {_COV.format(o='q_idents')})) AS so FROM twos)
+SELECT s1, q, round(len(list_intersect(s_idents, q_idents)) / len(list_distinct(list_concat(s_idents, q_idents))), 6) AS ident_jacc, CAST(qo AS INT) AS ident_q_only, CAST(so AS INT) AS ident_s_only,
+  CAST(list_min(flatten(list_transform(q_idents, lambda x: list_transform(s_idents, lambda y: levenshtein(x, y))))) AS INT) AS ident_edit_min, CAST(list_sort(s_idents) = list_sort(q_idents) AS INT) AS ident_eq, CAST(qo > 0 AND so > 0 AS INT) AS ident_replaced, CAST(qo > 0 AND so = 0 AS INT) AS ident_added FROM e
+""", "twos")
+def ident_features(v: Views):
+    return _round(_pairs(v).select("s1", "q", *(c.alias(n) for n, c in X.identifier_features(F.col("s_idents"), F.col("q_idents")).items())), "ident_jacc")
+
+
+@query("""
+SELECT s1, q, CASE WHEN s_state = '' OR q_state = '' THEN -1 ELSE CAST(s_state = q_state AS INT) END AS state_eq, CAST(CASE s_state WHEN 'src1' THEN 'src2' ELSE s_state END = CASE q_state WHEN 'src1' THEN 'src2' ELSE q_state END AS INT) AS state_group_eq,
+  CAST(s_hn_suf <> q_hn_suf AS INT) AS hn_suffix_diff, CAST(q_hn = s_hn AS INT) AS hn_eq, CAST(len(q_street) = 0 AS INT) AS q_street_empty FROM twos
+""", "twos")
+def state_and_flags(v: Views):
+    p = _pairs(v)
+    return p.select("s1", "q", X.state_equal(F.col("s_state"), F.col("q_state")).alias("state_eq"), X.state_equal(F.col("s_state"), F.col("q_state"), {"src1": "src2"}).alias("state_group_eq"), (F.col("s_hn_suf") != F.col("q_hn_suf")).cast("int").alias("hn_suffix_diff"), (F.col("q_hn") == F.col("s_hn")).cast("int").alias("hn_eq"), (F.size("q_street") == 0).cast("int").alias("q_street_empty"))
+
+
+@query("""
+SELECT s1, q, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), -1), 6) AS addr_alpha_jacc FROM (SELECT s1, q, list_filter(s_addr_toks, lambda t: NOT regexp_full_match(t, '[0-9]+')) AS a, list_filter(q_addr_toks, lambda t: NOT regexp_full_match(t, '[0-9]+')) AS b FROM twos)
+""", "twos")
+def addr_alpha_jacc(v: Views):
+    from kinlink.functions.text import jaccard
+
+    alpha = lambda c: F.filter(c, lambda t: ~t.rlike("^[0-9]+$"))
+    return _round(_pairs(v).select("s1", "q", jaccard(alpha("s_addr_toks"), alpha("q_addr_toks")).alias("addr_alpha_jacc")), "addr_alpha_jacc")
+
+
+def _featured(v: Views) -> DataFrame:
+    """Pairs with cosines, cheap and detailed features, and y."""
+    s, q = v.sides()
+    name = scored(*v.name_docs(), *v.members()).select("s1", "q", F.col("score").alias("name_cos"))
+    pairs = _pairs(v).join(name, ["s1", "q"], "left").fillna(0.0, ["name_cos"]).withColumn("addr_cos", F.lit(0.0))
+    out = X.detailed(X.cheap(pairs), K.STATE_GROUPS)
+    truth = v.record_truth().select("s1", F.col("other").alias("q"), F.lit(1).alias("y"))
+    return out.join(truth, ["s1", "q"], "left").fillna(0, ["y"])
+
+
+@query()
+def pair_features(v: Views):
+    out = R.context(_featured(v), "blk_score")
+    return out.select("s1", "q", *(c for c, t in out.dtypes if t in ("int", "bigint", "double") and c not in ("s1", "q")))
+
+
+# Groups
+
+_EX = "list_distinct(list_filter(q_name_core, lambda t: NOT list_contains(s_name_core, t) AND length(t) > 2 AND NOT regexp_full_match(t, '[0-9]+')))"
+_NN = "list_distinct(list_filter(q_nums, lambda t: NOT list_contains(s_nums, t)))"
+_PEERS = f"""
+WITH b AS (SELECT s1, q, ((CAST(substr(q, 4) AS BIGINT) * 37) % 100) / 100.0 AS p1, {_EX} AS ex, {_NN} AS nn, count(*) OVER (PARTITION BY s1) AS n FROM twos),
+e AS (SELECT s1, q, p1, t, count(*) OVER (PARTITION BY s1, t) AS c, sum(p1) OVER (PARTITION BY s1, t) AS w FROM (SELECT s1, q, p1, unnest(ex) AS t FROM b)),
+x AS (SELECT s1, q, p1, t, count(*) OVER (PARTITION BY s1, t) AS c, sum(p1) OVER (PARTITION BY s1, t) AS w FROM (SELECT s1, q, p1, unnest(nn) AS t FROM b)),
+es AS (SELECT s1, q, max(c) - 1 AS c, max(w) - max(p1) AS w FROM e GROUP BY ALL), xs AS (SELECT s1, q, max(c) - 1 AS c, max(w) - max(p1) AS w FROM x GROUP BY ALL)"""
+
+
+def _grouped(v: Views) -> DataFrame:
+    p1 = ((F.substring("q", 4, 20).cast("bigint") * 37) % 100) / 100.0
+    return _pairs(v).withColumn("p1", p1)
+
+
+@query(_PEERS + """
+SELECT b.s1, b.q, coalesce(es.c, 0) AS peer_ex_share, round(coalesce(es.w, 0), 6) AS peer_ex_share_p, coalesce(xs.c, 0) AS peer_num_share, round(coalesce(xs.w, 0), 6) AS peer_num_share_p, CAST(len(ex) AS INT) AS q_n_extra_exact, CAST(len(nn) AS INT) AS q_n_newnum, n AS s_n_cand_all
+FROM b LEFT JOIN es ON es.s1 = b.s1 AND es.q = b.q LEFT JOIN xs ON xs.s1 = b.s1 AND xs.q = b.q
+""", "twos")
+def peer_share(v: Views):
+    return _bigint(_round(X.peer_features(_grouped(v)), "peer_ex_share_p", "peer_num_share_p"), "peer_ex_share", "peer_num_share").drop("peer_both")
+
+
+@query(_PEERS + " SELECT b.s1, b.q, (SELECT count(*) FROM b o WHERE o.s1 = b.s1 AND o.q <> b.q AND len(list_intersect(o.ex, b.ex)) > 0 AND len(list_intersect(o.nn, b.nn)) > 0) AS peer_both FROM b", "twos")
+def peer_both_exact(v: Views):
+    return _bigint(X.peer_features(_grouped(v), 10**9).select("s1", "q", "peer_both"), "peer_both")
+
+
+@query(_PEERS + """, c AS (SELECT s1, q, t, x, count(*) OVER (PARTITION BY s1, t, x) AS c FROM (SELECT s1, q, t, unnest(nn) AS x FROM (SELECT s1, q, unnest(ex) AS t, nn FROM b)))
+SELECT b.s1, b.q, coalesce((SELECT max(c) - 1 FROM c WHERE c.s1 = b.s1 AND c.q = b.q), 0) AS peer_both FROM b
+""", "twos")
+def peer_both_linear(v: Views):
+    return _bigint(X.peer_features(_grouped(v), 0).select("s1", "q", "peer_both"), "peer_both")
+
+
+@query("""
+WITH b AS (SELECT s1, q, s_hn, q_hn, q_nums, ((CAST(substr(q, 4) AS BIGINT) * 37) % 100) / 100.0 AS p1 FROM twos), r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p1 DESC, q) AS k FROM b),
+a AS (SELECT r.*, o.q IS NOT NULL AS has, o.p1 AS ap, o.q_hn AS ahn, o.q_nums AS anums FROM r LEFT JOIN r o ON o.s1 = r.s1 AND o.k = CASE WHEN r.k = 1 THEN 2 ELSE 1 END),
+n AS (SELECT *, (p1 >= 0.5)::INT AS st FROM a), m AS (SELECT *, sum(st) OVER (PARTITION BY s1) - st AS ns, sum(st) OVER (PARTITION BY s1, q_hn) - st AS nq, sum(st * (q_hn = s_hn)::INT) OVER (PARTITION BY s1) - st * (q_hn = s_hn)::INT AS nh FROM n)
+SELECT s1, q, CAST(coalesce(ap, 0) AS DOUBLE) AS anc_p1, CAST(coalesce(ap >= 0.5, false) AS INT) AS anc_strong, CASE WHEN has THEN CAST(q_hn = ahn AS INT) ELSE -1 END AS anc_hn_eq_q, CASE WHEN has THEN CAST(s_hn = ahn AS INT) ELSE -1 END AS anc_hn_eq_s,
+  round(CASE WHEN has THEN len(list_intersect(q_nums, anums)) / len(list_distinct(list_concat(q_nums, anums))) ELSE -1 END, 6) AS anc_nums_jacc_q, CAST(ns AS BIGINT) AS s_n_strong, round(CASE WHEN ns > 0 THEN nq / ns ELSE -1 END, 6) AS s_strong_hn_q, round(CASE WHEN ns > 0 THEN nh / ns ELSE -1 END, 6) AS s_strong_hn_s, CAST(k = 1 AS INT) AS q_is_anchor FROM m
+""", "twos")
+def anchor_features(v: Views):
+    g = _grouped(v).withColumn("n_tsort", F.lit(0.0)).withColumn("q_name", F.array_join("q_name_core", " "))
+    cols = ["anc_p1", "anc_strong", "anc_hn_eq_q", "anc_hn_eq_s", "anc_nums_jacc_q", "s_n_strong", "s_strong_hn_q", "s_strong_hn_s", "q_is_anchor"]
+    return _round(X.anchor_features(g).select("s1", "q", *cols), "anc_nums_jacc_q", "s_strong_hn_q", "s_strong_hn_s")
+
+
+@query("""
+WITH m AS (SELECT country, count(*) AS n FROM s_side GROUP BY 1), c AS (SELECT country, name, count(*) AS c FROM s_side WHERE name <> '' GROUP BY ALL), k AS (SELECT country, state || '|' || hn AS key, count(*) AS a FROM s_side GROUP BY ALL),
+r AS (SELECT x.entity_id, x.name, coalesce(ln(1 + c) - ln(n), -20) AS rate, ln(1 + coalesce(c, 0)) AS cnt, ln(1 + coalesce(a, 0)) AS ac FROM (SELECT * FROM s_side UNION ALL SELECT * FROM q_side) x JOIN m USING (country) LEFT JOIN c ON c.country = x.country AND c.name = x.name LEFT JOIN k ON k.country = x.country AND k.key = x.state || '|' || x.hn)
+SELECT t.s1, t.q, round(s.rate, 6) AS s_name_rate, round(s.cnt, 6) AS s_name_cnt, round(s.ac, 6) AS s_addr_cnt, round(q.rate, 6) AS q_name_rate, round(q.cnt, 6) AS q_name_cnt, round(q.ac, 6) AS q_addr_cnt, CAST(sum((s.name = q.name AND q.name <> '')::INT) OVER (PARTITION BY t.q) AS BIGINT) AS q_name_top
+FROM twos t JOIN r s ON s.entity_id = t.s1 JOIN r q ON q.entity_id = t.q
+""", "s_side", "q_side", "twos")
+def freq_features(v: Views):
+    s, q = (x.withColumn("addr_key", F.concat_ws("|", "state", "hn")) for x in v.sides())
+    return _round(X.frequency_features(v.record_pairs(), s, q), "s_name_rate", "s_name_cnt", "s_addr_cnt", "q_name_rate", "q_name_cnt", "q_addr_cnt")
+
+
+# Token statistics: documents as differences, quality as truth
+
+_LEX = """
+d AS (SELECT doc_id, quality AS y, regexp_extract_all(lower(text[1:120]), '[a-z]+') AS t FROM documents JOIN labels USING (doc_id)),
+e AS (SELECT doc_id, y, 'extra' AS kind, unnest(list_distinct(t[1:8])) AS token FROM d UNION ALL SELECT doc_id, y, 'missing', unnest(list_distinct(t[9:14])) FROM d), c AS (SELECT kind, token, sum(y) AS p, sum(1 - y) AS n FROM e GROUP BY ALL), w AS (SELECT kind, sum(p) + 1 AS tp, sum(n) + 1 AS tn FROM c GROUP BY 1),
+lex AS (SELECT kind, token, ln((p + 1) / (n + 1)) - ln(tp / tn) AS value FROM c JOIN w USING (kind) WHERE p + n >= 5)"""
+
+
+def _differences(v: Views) -> DataFrame:
+    t = F.regexp_extract_all(F.lower(F.substring("text", 1, 120)), F.lit("([a-z]+)"))
+    d = v.table("documents").join(v.table("labels"), "doc_id").withColumn("t", t)
+    return d.select(F.col("doc_id").alias("s1"), F.lit("q").alias("q"), F.col("quality").cast("int").alias("y"), F.col("lang").alias("country"), F.array_distinct(F.slice("t", 1, 8)).alias("extra"), F.array_distinct(F.slice("t", 9, 6)).alias("miss"))
+
+
+@query(f"WITH {_LEX.strip()} SELECT kind, token, round(value, 6) AS value FROM lex")
+def lexicon_learn(v: Views):
+    return _round(X.learn_lexicon(_differences(v)), "value")
+
+
+@query(f"""
+WITH {_LEX.strip()}, x AS (SELECT doc_id, kind, max(coalesce(value, 0)) AS a, min(coalesce(value, 0)) AS b, sum(coalesce(value, 0)) AS c FROM e LEFT JOIN lex USING (kind, token) GROUP BY ALL)
+SELECT d.doc_id AS s1, 'q' AS q, round(coalesce(e.a, 0), 6) AS lex_extra_max, round(coalesce(e.b, 0), 6) AS lex_extra_min, round(coalesce(e.c, 0), 6) AS lex_extra_sum, round(coalesce(m.a, 0), 6) AS lex_miss_max, round(coalesce(m.b, 0), 6) AS lex_miss_min, round(coalesce(m.c, 0), 6) AS lex_miss_sum
+FROM d LEFT JOIN x e ON e.doc_id = d.doc_id AND e.kind = 'extra' LEFT JOIN x m ON m.doc_id = d.doc_id AND m.kind = 'missing'
+""")
+def lexicon_apply(v: Views):
+    d = _differences(v)
+    out = X.apply_lexicon(d, X.learn_lexicon(d))
+    return _round(out, *(c for c in out.columns if c.startswith("lex_")))
+
+
+@query()
+def lexicon_oof(v: Views):
+    return X.out_of_fold_lexicon(_differences(v))
+
+
+@query()
+def lexicon_selftrain(v: Views):
+    d = _differences(v)
+    p = ((F.col("s1") * 37) % 100) / 100.0
+    return X.refold_lexicon(X.self_trained_lexicon(d.withColumn("p", p), X.learn_lexicon(d)))
+
+
+_VOCAB = """
+v AS (SELECT country, token, count(*) AS df FROM (SELECT country, unnest(list_distinct(name_core)) AS token FROM s_side) GROUP BY ALL), n AS (SELECT country, count(*) AS n FROM s_side GROUP BY 1),
+w AS (SELECT country, token, count(*) AS df FROM (SELECT country, unnest(list_distinct(name_core)) AS token FROM q_side) GROUP BY ALL), k AS (SELECT country, count(*) AS n FROM q_side GROUP BY 1),
+ex AS (SELECT s1, q, country, unnest(list_distinct(list_filter(q_name_core, lambda t: NOT list_contains(s_name_core, t)))) AS token FROM twos), mi AS (SELECT s1, q, country, unnest(list_distinct(list_filter(s_name_core, lambda t: NOT list_contains(q_name_core, t)))) AS token FROM twos)"""
+
+
+def _exact(v: Views) -> DataFrame:
+    """Pairs with exact word differences."""
+    return _pairs(v).withColumn("extra", F.array_except("q_name_core", "s_name_core")).withColumn("miss", F.array_except("s_name_core", "q_name_core"))
+
+
+_V = "SELECT s1, q, max(ln(1 + coalesce(df, 0)) - ln(n)) AS a, min(ln(1 + coalesce(df, 0)) - ln(n)) AS b, sum((coalesce(df, 0) >= 0.01 * n)::INT) AS c, sum((coalesce(df, 0) < 0.01 * n)::INT) AS d FROM {} x LEFT JOIN v USING (country, token) JOIN n USING (country) GROUP BY s1, q"
+
+
+@query(f"""
+WITH {_VOCAB.strip()}, e AS ({_V.format('ex')}), m AS ({_V.format('mi')})
+SELECT t.s1, t.q, round(coalesce(e.a, -1), 6) AS ex_vocab_max, round(coalesce(e.b, -1), 6) AS ex_vocab_min, CAST(coalesce(e.c, 0) AS BIGINT) AS ex_n_vocab, CAST(coalesce(e.d, 0) AS BIGINT) AS ex_n_rare, round(coalesce(m.a, -1), 6) AS mi_vocab_max, round(coalesce(m.b, -1), 6) AS mi_vocab_min,
+  CAST(coalesce(m.c, 0) AS BIGINT) AS mi_n_vocab, CAST(coalesce(m.d, 0) AS BIGINT) AS mi_n_rare, CAST(coalesce(e.c, 0) > 0 AND coalesce(m.c, 0) > 0 AS INT) AS substitution FROM twos t LEFT JOIN e ON e.s1 = t.s1 AND e.q = t.q LEFT JOIN m ON m.s1 = t.s1 AND m.q = t.q
+""", "s_side", "q_side", "twos")
+def vocab_features(v: Views):
+    out = X.vocabulary_features(_exact(v), X.vocabulary(v.sides()[0], "s1"), 0.01)
+    return _round(out, "ex_vocab_max", "ex_vocab_min", "mi_vocab_max", "mi_vocab_min")
+
+
+@query(f"""
+WITH {_VOCAB.strip()}, r AS (SELECT country, token, coalesce(v.df, 0) AS ds, coalesce(w.df, 0) AS dq, CASE WHEN coalesce(w.df, 0) >= 2 THEN ln((coalesce(w.df, 0) / k.n + 1 / n.n) / (coalesce(v.df, 0) / n.n + 1 / n.n)) ELSE 0 END AS ratio FROM v FULL JOIN w USING (country, token) JOIN n USING (country) JOIN k USING (country)),
+e AS (SELECT s1, q, greatest(max(coalesce(ratio, 0)), 0) AS a, sum((coalesce(ratio, 0) > ln(1.5))::INT) AS b, max(ln(1 + coalesce(dq, 0))) AS c FROM ex LEFT JOIN r USING (country, token) GROUP BY ALL), m AS (SELECT s1, q, greatest(max(coalesce(ratio, 0)), 0) AS a, max(ln(1 + coalesce(ds, 0))) AS c FROM mi LEFT JOIN r USING (country, token) GROUP BY ALL)
+SELECT t.s1, t.q, round(coalesce(e.a, 0), 6) AS ex_mod_max, CAST(coalesce(e.b, 0) AS BIGINT) AS ex_mod_n, round(coalesce(e.c, 0), 6) AS ex_qdf_max, round(coalesce(m.a, 0), 6) AS mi_mod_max, round(coalesce(m.c, 0), 6) AS mi_s1df_max, CAST(coalesce(e.b, 0) > 0 AND coalesce(m.c, 0) > 0 AS INT) AS mod_substitution
+FROM twos t LEFT JOIN e ON e.s1 = t.s1 AND e.q = t.q LEFT JOIN m ON m.s1 = t.s1 AND m.q = t.q
+""", "s_side", "q_side", "twos")
+def modifier_features(v: Views):
+    s, q = v.sides()
+    out = X.modifier_features(_exact(v), X.vocabulary(s, "s1"), X.vocabulary(q, "q"), 2, 1.5)
+    return _round(out, "ex_mod_max", "ex_qdf_max", "mi_mod_max", "mi_s1df_max")
+
+
+@query(f"WITH {_VOCAB.strip()} SELECT country, token, round((w.df / k.n) / ((coalesce(v.df, 0) + 1) / n.n), 6) AS ratio FROM w LEFT JOIN v USING (country, token) JOIN n USING (country) JOIN k USING (country) WHERE w.df >= 3 AND (w.df / k.n) / ((coalesce(v.df, 0) + 1) / n.n) >= 1", "s_side", "q_side", "twos")
+def modifier_words(v: Views):
+    s, q = v.sides()
+    return _round(X.modifier_words(X.vocabulary(s, "s1"), X.vocabulary(q, "q"), 3, 1.0), "ratio")
+
+
+# Rescues and camps
+
+@query("""
+SELECT s1, q, CASE WHEN q_addr_empty = 1 THEN CASE WHEN list_sort(s_name_core) = list_sort(q_name_core) THEN 'empty_exact_name' ELSE '' END WHEN len(list_intersect(s_name_core[2:], q_name_core[2:])) > 0 THEN ''
+  WHEN s_hn = q_hn AND len(list_intersect(s_street, q_street)) > 0 THEN 'rename_exact_address' ELSE '' END AS kind FROM twos WHERE len(s_name_core) > 1 AND len(q_name_core) > 1
+""".replace("s_hn = q_hn", "s_state = q_state"), "twos")
+def rescue_kinds(v: Views):
+    """Names without their first word, and states in place of house numbers, so that the arms are met."""
+    p = _pairs(v).where("size(s_name_core) > 1 and size(q_name_core) > 1")
+    rest = lambda c: F.slice(c, 2, 100)
+    kind = D.rescue_kind(rest("s_name_core"), rest("q_name_core"), F.lit(0), F.col("s_state"), F.col("q_state"), F.col("s_street"), F.col("q_street"), F.lit(0))
+    exact = F.when(F.array_sort("s_name_core") == F.array_sort("q_name_core"), "empty_exact_name").otherwise("")
+    return p.select("s1", "q", F.when(F.col("q_addr_empty") == 1, exact).when(F.size(rest("q_name_core")) > 1, kind).otherwise(kind).alias("kind"))
+
+
+@query("""
+SELECT s1, q, list_sort(s_name_core) = list_sort(q_name_core) AND s_legal <> q_legal AND NOT (s_hn = q_hn OR starts_with(s_hn, q_hn) OR starts_with(q_hn, s_hn) OR suffix(s_hn, q_hn) OR suffix(q_hn, s_hn)) AS sibling FROM twos
+""", "twos")
+def sibling_signature(v: Views):
+    p = _pairs(v)
+    return p.select("s1", "q", D.sibling_signature(*(F.col(c) for c in ("s_name_core", "q_name_core", "s_legal", "q_legal", "s_hn", "q_hn"))).alias("sibling"))
+
+
+_REL = lambda x, y: f"({x} = {y} OR starts_with({x}, {y}) OR starts_with({y}, {x}) OR suffix({x}, {y}) OR suffix({y}, {x}))"
+_CAMP = f"""
+r AS (SELECT s1, q, p, country, ['a', 'b'] AS s_core, CAST(s1 % 40 AS VARCHAR) AS s_hn, CASE q % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['a', 'c'] ELSE ['d'] END AS q_core, CAST(CASE WHEN q % 2 = 0 THEN s1 % 40 ELSE s1 % 40 + 3 + q % 4 END AS VARCHAR) AS q_hn FROM scores WHERE p >= 0.2),
+f AS (SELECT *, {_REL('q_hn', 's_hn')} AS rel, len(q_core) = 2 AND q_core <> s_core AS swap FROM r),
+g AS (SELECT *, max((q_core = s_core AND rel AND p >= 0.9)::INT) OVER (PARTITION BY s1) AS a_num, max((q_core = s_core AND p >= 0.9)::INT) OVER (PARTITION BY s1) AS a_name FROM f),
+camp AS (SELECT s1, q, p, country, CASE WHEN NOT rel THEN CASE WHEN a_num = 1 AND EXISTS (SELECT 1 FROM f o WHERE o.s1 = g.s1 AND o.q <> g.q AND {_REL('o.q_hn', 'g.q_hn')} AND NOT o.rel AND (o.q_core = g.q_core OR o.q_core = g.s_core))
+    THEN CASE WHEN q_core = s_core THEN 'num_same_core' WHEN swap THEN 'num_swap_core' ELSE 'num_other_core' END ELSE '' END
+  WHEN q_core <> s_core AND swap AND a_name = 1 AND EXISTS (SELECT 1 FROM f o WHERE o.s1 = g.s1 AND o.q <> g.q AND o.q_core = g.q_core) THEN 'name_swap' ELSE '' END AS kind FROM g)"""
+
+
+def _camps(v: Views) -> DataFrame:
+    words = lambda *w: F.array(*map(F.lit, w))
+    hn = F.col("s1") % 40
+    return v.scores().where("p >= 0.2").withColumns({"s_core": words("a", "b"), "s_hn": hn.cast("string"), "q_core": F.when(F.col("q") % 3 == 0, words("a", "b")).when(F.col("q") % 3 == 1, words("a", "c")).otherwise(words("d")), "q_hn": F.when(F.col("q") % 2 == 0, hn).otherwise(hn + 3 + F.col("q") % 4).cast("string")})
+
+
+@query(f"WITH {_CAMP.strip()} SELECT s1, q, kind FROM camp", "scores")
+def camp_b(v: Views):
+    return D.camp_b(_camps(v)).select("s1", "q", "kind")
+
+
+@query(f"WITH {_CAMP.strip()} SELECT s1, q, p FROM camp WHERE NOT (kind IN ('num_same_core', 'num_swap_core') AND p < CASE country WHEN 'BUILDING' THEN 0.9 WHEN 'MACHINERY' THEN 0.6 ELSE 0 END)", "scores")
+def camp_drop(v: Views):
+    return D.drop_camps(_camps(v), {"BUILDING": 0.9, "MACHINERY": 0.6}, ["num_same_core", "num_swap_core"], formed_from=0.2).select("s1", "q", "p")
+
+
+@query("""
+WITH k AS (SELECT s1, q, p, CAST(q % 500 AS VARCHAR) AS key FROM scores), o AS (SELECT key, min(s1) AS s1 FROM k WHERE p >= 0.95 GROUP BY key HAVING min(s1) = max(s1))
+SELECT s1, q FROM k JOIN o USING (key, s1) WHERE p < 0.95 AND p >= 0.02
+""", "scores")
+def transitive_rescue(v: Views):
+    k = v.scores().withColumn("key", (F.col("q") % 500).cast("string"))
+    return D.transitive_rescue(k.where("p >= 0.95"), k.where("p < 0.95"))
+
+
+_CELLS = """
+x AS (SELECT s1, q, p, country, CAST((p >= 0.3)::INT + (p >= 0.5)::INT + (p >= 0.65)::INT + (p >= 0.775)::INT + (p >= 0.85)::INT + (p >= 0.9)::INT + (p >= 0.95)::INT + (p >= 0.97)::INT + (p >= 0.99)::INT + (p >= 1.01)::INT AS INT) AS band,
+  CASE WHEN q % 5 = 0 THEN 'missing' WHEN q % 5 < 3 THEN 'same' ELSE 'changed' END AS hn_g, CAST(q % 2 AS INT) AS nm_g, CAST(s1 % 2 AS INT) AS lg_g FROM {t})"""
+
+
+def _celled(df: DataFrame) -> DataFrame:
+    """Pairs with parsed columns made from ids, so that D.cells() gives every cell."""
+    words = lambda *w: F.array(*map(F.lit, w))
+    q5 = F.col("q") % 5
+    return D.cells(df.withColumns({"s_name_core": words("a", "b"), "q_name_core": F.when(F.col("q") % 2 == 1, words("b", "a")).otherwise(words("a")), "s_legal": words("llc"), "q_legal": F.when(F.col("s1") % 2 == 1, words("inc")).otherwise(words("llc")), "s_hn": F.lit("12"), "q_hn": F.when(q5 == 0, "").when(q5 < 3, "12").otherwise("77")}))
+
+
+@query("WITH " + _CELLS.strip().format(t="best") + " SELECT s1, q, band, hn_g, nm_g, lg_g FROM x", "best")
+def cell_keys(v: Views):
+    return _celled(R.best_per_query(v.scores())).select("s1", "q", "band", "hn_g", "nm_g", "lg_g")
+
+
+@query(f"""
+WITH {_CELLS.strip().format(t='best')}, y AS (SELECT x2.*, CAST(t.s1 IS NOT NULL AS INT) AS y FROM ({_CELLS.strip()[6:-1].format(t='scores2')}) x2 LEFT JOIN truth t ON t.s1 = x2.s1 AND t.other = x2.q), m AS (SELECT count(*) AS m FROM masters),
+r AS (SELECT band, hn_g, nm_g, lg_g, count(*) AS rn, sum(y) AS rt FROM y GROUP BY ALL), rb AS (SELECT band, sum(y) AS bt FROM y GROUP BY 1), n AS (SELECT *, count(*) OVER (PARTITION BY band, hn_g, nm_g, lg_g) AS tn, count(*) OVER (PARTITION BY band) AS bn FROM x),
+z AS (SELECT n.s1, n.q, CASE WHEN n.band >= 9 THEN 1.0 WHEN coalesce(rn, 0) >= 30 THEN least(1, (rt / m) / (tn / m)) ELSE least(1, (coalesce(bt, 0) / m) / (bn / m)) END AS precision FROM n LEFT JOIN r USING (band, hn_g, nm_g, lg_g) LEFT JOIN rb USING (band), m)
+SELECT s1, q, round(precision, 6) AS precision, precision >= 0.5 AS accepted FROM z
+""", "best", "scores2", "truth", "masters")
+def stratified_accept(v: Views):
+    n = v.masters().count()
+    best, ref = _celled(R.best_per_query(v.scores())), _celled(v.labelled(2))
+    return _round(D.stratified_accept(best, n, ref, n, 0.5).select("s1", "q", "precision", "accepted"), "precision")
+
+
+# Text pairs and models
+
+@query("SELECT s1, q, s.business_name || ' | ' || s.business_address || ' | ' || s.country AS text_a, r.business_name || ' | ' || r.business_address || ' | ' || r.country AS text_b FROM twos t JOIN records s ON s.entity_id = t.s1 JOIN records r ON r.entity_id = t.q", "records", "twos")
+def text_pairs(v: Views):
+    return E.text_pairs(v.record_pairs(), v.records())
+
+
+FEATURES = ["name_cos", "n_tsort", "n_tset", "n_jw", "a_tset", "a_tsort", "blk_score", "n_extra", "n_missing", "tok_jacc", "num_jacc", "addr_alpha_jacc", "hn_rel", "state_eq", "ident_jacc"]
+
+
+@query()
+def gbt_stage1(v: Views):
+    """Out-of-fold scores, the score that keeps 99.95% of true pairs, and what it keeps."""
+    out, _ = M.first_stage(_featured(v).select("s1", "q", "y", *FEATURES), FEATURES, rounds=5, depth=3)
+    t = M.recall_threshold(out)
+    return out.select("s1", "q", "y", "p1", F.lit(t).alias("threshold"), (F.col("p1") >= t).alias("kept"))
+
+
+@query()
+def scorer_blend(v: Views):
+    texts = E.text_pairs(v.record_pairs(), v.records())
+    p = v.record_pairs().withColumn("p", ((F.substring("q", 4, 20).cast("bigint") * 37) % 100) / 100.0)
+    return E.blend(p, M.SimilarityScorer().score(texts), 0.3)

@@ -25,7 +25,7 @@ from kinlink.llm.components import components
 
 #: First list length, most that saturation may reach (component blocks count links beyond it), projection tables,
 #: classes in a bucket or block, rounds, sampled classes of the audit and its wanted recall.
-LIST, LONGEST, TABLES, BLOCK, ROUNDS, SAMPLE, RECALL = 6, 48, 5, 256, 4, 200, 0.995
+LIST, LONGEST, TABLES, BLOCK, ROUNDS, SAMPLE, RECALL = 6, 24, 5, 256, 4, 200, 0.995
 
 
 def _classes(batches):
@@ -114,8 +114,11 @@ def _join(rows_key, rows):
     g = x @ x.T
     np.fill_diagonal(g, -2)
     better = g > np.array(rows["worst"])[:, None]
-    for i, known in enumerate(rows["known"]):
+    for i, (known, room) in enumerate(zip(rows["known"], rows["size"])):
         better[i] &= ~np.isin(ids, known)
+        if better[i].sum() > room:  # no more can enter the list
+            floor = np.partition(g[i][better[i]], -room)[-room]
+            better[i] &= g[i] >= floor
     i, j = np.nonzero(better)
     if len(i):
         yield _edges(ids[i], ids[j], g[i, j])
@@ -140,9 +143,9 @@ def refine(nodes: DataFrame, lists: DataFrame, length: int, threshold: float) ->
     # Reverse lists are sampled as NN-descent does: the nearest `length`.
     back = ahead.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "u")), asc=False), 1, length).alias("r")).select(F.col("v").alias("u"), F.explode("r").alias("e")).select("u", F.col("e.u").alias("v"))
     around = ahead.select("u", "v").union(back).distinct()
-    state = nodes.join(lists, nodes["cls"] == lists["u"], "left").select(F.col("cls").alias("v"), F.col("small").alias("vec"), F.coalesce(F.when(F.size("list") >= F.col("size"), F.element_at("list", -1)["sim"]), F.lit(-1.0)).alias("worst"), F.coalesce(F.transform("list", lambda e: e["v"]), F.array().cast("array<bigint>")).alias("known"))
+    state = nodes.join(lists, nodes["cls"] == lists["u"], "left").select(F.col("cls").alias("v"), F.col("small").alias("vec"), F.coalesce(F.when(F.size("list") >= F.col("size"), F.element_at("list", -1)["sim"]), F.lit(-1.0)).alias("worst"), F.coalesce(F.transform("list", lambda e: e["v"]), F.array().cast("array<bigint>")).alias("known"), F.coalesce("size", F.lit(length)).alias("size"))
     state = shared.stored(state, "state")
-    fresh = shared.stored(shared.grouped(around.join(state, "v").select("u", "v", "vec", "worst", "known"), "u", [], _join, _EDGES), "fresh")
+    fresh = shared.stored(shared.grouped(around.join(state, "v").select("u", "v", "vec", "worst", "known", "size"), "u", [], _join, _EDGES), "fresh")
     n = fresh.count()
     return (_merged(lists, fresh, length, threshold) if n else lists), n
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinlink.plans import queries_features, queries_linkage, queries_relational
+from kinlink.plans import queries_features, queries_linkage, queries_more, queries_relational
 
-_ALL = (queries_relational.QUERIES, queries_linkage.QUERIES, queries_features.QUERIES)
+_ALL = (queries_relational.QUERIES, queries_linkage.QUERIES, queries_features.QUERIES, queries_more.QUERIES)
 
 
 def queries() -> dict:

@@ -79,8 +79,8 @@ def state_scan(v: Views):
 
 
 @query("""
-SELECT part, country, n FROM (SELECT country, part, count(*) AS n, row_number() OVER (PARTITION BY country ORDER BY count(*) DESC, part) AS k FROM (SELECT country, unnest(string_split(business_address, ', ')) AS part FROM records)
-  WHERE part <> '' AND NOT regexp_matches(part, '[0-9]') AND length(part) <= 30 GROUP BY country, part) WHERE k <= 50
+SELECT part, country, n FROM (SELECT country, part, count(*) AS n, row_number() OVER (PARTITION BY country ORDER BY count(*) DESC, part) AS k FROM (SELECT country, trim(x) AS part FROM (SELECT country, unnest(string_split(business_address, ',')) AS x FROM records))
+  WHERE part <> '' AND lower(part) NOT IN ('null', '<null>', 'n/a', 'na', 'none', 'nan', '-') AND NOT regexp_matches(part, '[0-9]') AND length(part) <= 30 GROUP BY country, part) WHERE k <= 50
 """, "records")
 def component_frequency(v: Views):
     """The most frequent digit-free address components of each country."""

@@ -26,7 +26,16 @@ from kinlink.llm import shared
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAVY = 100_000
 #: Distinct pre-tokens that a worker holds before it passes their counts on.
-FLUSH = 300_000
+FLUSH = 100_000
+#: Documents of an Arrow batch that are held as Python strings at once.
+SLICE = 256
+
+
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
 
 
 def _splitter(path: str):
@@ -61,7 +70,7 @@ def pre_token_counts(docs: DataFrame, path: str, text_col: str = "text") -> Data
         def out():
             yield pa.RecordBatch.from_pydict({"piece": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
 
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0):
                 held.update(split(text.as_py() or ""))
                 if len(held) > FLUSH:
@@ -77,7 +86,7 @@ def pieces(counts: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         tokenizer, _ = _splitter(path)
-        for batch in batches:
+        for batch in _slices(batches):
             found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in found], pa.int32())], names=["piece", "n", "k"])
 
@@ -103,9 +112,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, heavy: int = HEA
     def run(batches):
         _, split = _splitter(path)
         known = common.value
-        for batch in batches:
-            rows, sums, tails, freqs = [], [], [], []
-            for i, text in enumerate(batch.column("text")):
+        for batch in _slices(batches):
+            sums, tails, freqs = [], [], []
+            for text in batch.column("text"):
                 own, total, tail, freq = Counter(split(text.as_py() or "")), 0, [], []
                 for piece, c in own.items():
                     k = known.get(piece)

@@ -43,6 +43,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (`und`: no text, or no letter in it) go; a missing lang is filled in."""
+    shared.whole_texts(spark)
     model = language.fit(docs.where(language.fold(F.col("doc_id"), 4) != 2))
     said = language.identify(docs, model, keep=docs.columns).where("lang_pred <> 'und'")
     return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)

@@ -10,6 +10,7 @@ from kinlink.llm import decontaminate, language, line_dedup, lm_score, mixing, n
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.whole_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,6 +21,14 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def whole_texts(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows in this session, where it has more: rows hold whole texts, and a batch is held by the
+    JVM and by its worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 1000:
+        spark.conf.set(key, "1000")
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -13,6 +13,8 @@ Defined cases: a null text counts as empty (0 tokens); rows that repeat stay apa
 
 from __future__ import annotations
 
+import functools
+import os
 from collections import Counter
 
 import pyarrow as pa
@@ -38,8 +40,11 @@ def _slices(batches):
 
 
 
+@functools.cache
 def _splitter(path: str):
-    """Text to pre-tokens: special strings are cut out first."""
+    """Text to pre-tokens: special strings are cut out first. Read once in a worker; its tasks are what runs in parallel,
+    so the library's own threads, each with its own memory, are off."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)

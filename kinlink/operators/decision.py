@@ -46,7 +46,7 @@ def assign_expected(pairs: DataFrame, unfound: float = 0.02, min_p: float = 0.05
     shrunk = best.withColumn("p", F.col("p") / (F.col("p") + odds_div * (1 - F.col("p")))).where(F.col("p") >= min_p)
     groups = shrunk.groupBy("s1").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), F.col("q"), F.col("p")))).alias("g"))
     groups = groups.withColumn("ps", F.transform("g", lambda x: x["p"]))
-    # Sure groups, and groups too long for the exact sums, are settled apart: see prefix().
+    # Cubic in the group, which holds only the records whose best master this is.
     values = F.transform(F.sequence(F.lit(0), F.size("ps")), lambda m: F.struct(expected_f(F.col("ps"), m, unfound).alias("v"), (-m).alias("m")))
     chosen = F.when(F.element_at("ps", -1) >= sure, F.size("ps")).otherwise(-F.array_max(values)["m"])
     return groups.withColumn("m", chosen).where("m > 0").select("s1", F.explode(F.slice("g", F.lit(1), F.col("m"))).alias("x")).select("s1", F.col("x.q").alias("q"), F.col("x.p").alias("p"))

@@ -81,8 +81,12 @@ def mix(docs: DataFrame, tree: DataFrame, budget: Column, max_epochs: int = 2, s
     order = F.md5(F.concat_ws(":", F.lit(seed), "whole", F.coalesce(F.col("id"), F.lit("null"))).cast("binary"))
     placed = rows.join(held(plan), levels).withColumn("rank", order).withColumn("bucket", F.substring("rank", 1, PREFIX))
     sums = placed.groupBy(*levels, "bucket").agg(F.sum("n_tokens").alias("n"), F.max("part").alias("part"))
-    run = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("n").over(run)).where("upto > part")
+    sums = shared.stored(sums.withColumn("digit", F.substring("bucket", 1, 1)), "sums")
+    # The running count goes over the first digits, then over the buckets of each, so that no leaf's buckets meet.
+    lead = Window.partitionBy(*levels).orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+    digits = sums.groupBy(*levels, "digit").agg(F.sum("n").alias("d")).withColumn("ahead", F.coalesce(F.sum("d").over(lead), F.lit(0))).drop("d")
+    run = Window.partitionBy(*levels, "digit").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.join(digits, [*levels, "digit"]).withColumn("upto", F.col("ahead") + F.sum("n").over(run)).where("upto > part")
     cut = sums.groupBy(*levels).agg(F.min("bucket").alias("cut"), F.min_by(F.col("upto") - F.col("n"), "bucket").alias("before"))
     cut = shared.stored(cut, "cut")
     marked = placed.join(held(cut), levels, "left")

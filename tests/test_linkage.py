@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from oracle import SMALL
 from kinlink.functions import address, name
 from kinlink.operators import decision
 from kinlink.plans import linkage

@@ -1,9 +1,8 @@
 """Every query of the reference's operators against its SQL, at the smallest scale."""
 
 import pytest
-from oracle import connect, same
+from oracle import SMALL, connect, same
 
-from conftest import SMALL
 from kinlink.plans import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()

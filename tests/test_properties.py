@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from oracle import SMALL
 from kinlink.functions import similarity, text
 from kinlink.functions.name import edit_distance
 from kinlink.operators import blocking, decision, relational

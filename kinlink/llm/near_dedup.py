@@ -31,7 +31,7 @@ from kinlink.llm.components import components
 PLACES, BAND, BATCH = 128, 8, 16
 MISS = 1e-7
 #: Classes of a candidate group that meet in one block.
-BLOCK = 512
+BLOCK = 256
 
 _draw = np.random.Generator(np.random.PCG64(20240501))
 _XOR = _draw.integers(0, 1 << 32, PLACES, dtype=np.uint32)

@@ -22,7 +22,9 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return shared.stored(out.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), "star")
+    made = shared.stored(out.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), "star")
+    shared.discard(least)
+    return made
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +38,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     now = shared.stored(now.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"), "edges")
     before = _state(now)
     while before[0]:
-        now = _star(_star(now, True), False)
+        large = _star(now, True)
+        shared.discard(now)
+        now = _star(large, False)
+        shared.discard(large)
         after = _state(now)
         if after == before:
             break

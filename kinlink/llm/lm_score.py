@@ -1,9 +1,10 @@
-"""Language-model scores by deleted interpolation of bigrams.
+"""Language-model scores by deleted interpolation of n-grams, up to trigrams.
 
-Probability of a token after another: w2 c(vw)/c(v) + w1 c(w)/N + w0/(V + 1). The weights depend on the bucket of the
-context's count (powers of two) and come from expectation-maximisation on held-out counts: one part of the training
-documents (`fold` 1) is left out of the counts that its tokens are judged by. The statistics that EM needs are summed
-into cells (context bucket, steps of a quarter octave of either estimate), whose number is bounded at any corpus size.
+Probability of a token w after (u, v): with P2 = a2 c(vw)/c(v) + a1 c(w)/N + a0/(V + 1), it's b3 c(uvw)/c(uv) + (1 - b3) P2.
+The weights a depend on the bucket of c(v), b on that of c(uv) (powers of two); both come from
+expectation-maximisation on held-out counts: one part of the training documents (`fold` 1) is left out of the counts
+that its tokens are judged by. The statistics that EM needs are summed into cells (context bucket, steps of a quarter
+octave of two estimates), whose number is bounded at any corpus size.
 
 Counts are exact over all training documents, by 64-bit word hashes and keys of 48 bits and more within a bucket.
 
@@ -29,10 +30,10 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 
 class Sequence:
-    """Tokens of a chunk's documents, each with its end, and the distinct keys: words (even), word pairs and the start
-    (odd)."""
+    """Tokens of a chunk's documents, each with its end, and the distinct keys: words (even), longer n-grams and the
+    contexts before a document's first token (odd)."""
 
-    def __init__(self, chunk: exchange.Chunk):
+    def __init__(self, chunk: exchange.Chunk, order: int):
         hashes, counts = [], []
         for a, b in tokens.slices(chunk.offsets, tokens.PIECE):
             at = chunk.offsets[a : b + 1]
@@ -45,32 +46,37 @@ class Sequence:
         ends = np.zeros(len(word), bool)
         ends[self.bounds[1:] - 1] = True
         word[~ends] = np.concatenate(hashes)
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[self.bounds[:-1]] = START
-        pair = tokens.mix(before * np.uint64(0xA0761D6478BD642F) ^ (before >> np.uint64(32)) ^ word * np.uint64(0xE7037ED1A0B428DB)) | ODD
-        word &= EVEN
-        start = np.array([START | ODD])
-        words, at_word, n_word = np.unique(word, return_inverse=True, return_counts=True)
-        pairs, at_pair, n_pair = np.unique(pair, return_inverse=True, return_counts=True)
-        both = np.concatenate([words, pairs, start])
-        order = np.argsort(both, kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.keys = both[order]
-        self.counts = np.concatenate([n_word, n_pair, [len(n)]])[order]
-        self.word, self.pair, self.start = place[: len(words)][at_word], place[len(words) : -1][at_pair], place[-1]
-
-    def context(self) -> np.ndarray:
-        out = np.empty_like(self.word)
-        out[1:] = self.word[:-1]
-        out[self.bounds[:-1]] = self.start
+        grams, starts = [word & EVEN], []
+        for k in range(2, order + 1):
+            start = START * np.uint64(k)
+            before = np.empty_like(word)
+            before[1:] = grams[-1][:-1]
+            before[self.bounds[:-1]] = start
+            grams.append(tokens.mix(before * np.uint64(0xA0761D6478BD642F) ^ (before >> np.uint64(32)) ^ word * np.uint64(0xE7037ED1A0B428DB)) | ODD)
+            starts.append(start | ODD)
+        own = [np.unique(g, return_inverse=True, return_counts=True) for g in grams]
+        both = np.concatenate([*(u for u, _, _ in own), np.array(starts, dtype=np.uint64)])
+        order_ = np.argsort(both, kind="stable")
+        place = np.empty_like(order_)
+        place[order_] = np.arange(len(order_))
+        self.keys = both[order_]
+        self.counts = np.concatenate([*(c for _, _, c in own), np.full(len(starts), len(n))])[order_]
+        cuts = np.cumsum([0, *(len(u) for u, _, _ in own)])
+        #: Number, among the keys, of each token's n-grams, shortest first, and of the contexts at a document's start.
+        self.grams = [place[a + inverse] for a, (_, inverse, _) in zip(cuts, own)]
+        self.starts = place[cuts[-1] :]
+
+    def context(self, k: int) -> np.ndarray:
+        """Numbers of the contexts of the k-grams."""
+        out = np.empty_like(self.grams[0])
+        out[1:] = self.grams[k - 2][:-1]
+        out[self.bounds[:-1]] = self.starts[k - 2]
         return out
 
 
-def _send(bits: int):
+def _send(bits: int, order: int):
     def keys(chunk):
-        s = Sequence(chunk)
+        s = Sequence(chunk, order)
         counts = s.counts if chunk.tag != TEST else s.counts * 0
         for bucket, at in exchange.by_bucket(s.keys, bits):
             raw = exchange.six(s.keys[at])
@@ -112,39 +118,55 @@ def _step(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, 1 + np.minimum(STEPS - 1, np.floor(-4 * np.log2(np.maximum(p, 1e-300)))), 0).astype(np.int64)
 
 
-def _estimates(s: Sequence, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    context = counts[s.context()]
-    pair = np.where(context > 0, counts[s.pair] / np.maximum(context, 1), 0.0)
-    return context, pair, counts[s.word] / max(1, total)
+def _estimate(s: Sequence, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count of each token's context of k - 1 words, and its maximum-likelihood estimate after it."""
+    context = counts[s.context(k)]
+    return context, np.where(context > 0, counts[s.grams[k - 1]] / np.maximum(context, 1), 0.0)
 
 
-def _cells(total: int):
+def _below(s: Sequence, counts: np.ndarray, weights: list[np.ndarray], total: int, types: int) -> np.ndarray:
+    """The interpolated probability under the weights of the orders learned so far (two at least)."""
+    context, two = _estimate(s, counts, 2)
+    w = weights[0][_bucket(context)]
+    p = w[:, 0] * two + w[:, 1] * (counts[s.grams[0]] / max(1, total)) + w[:, 2] / (types + 1)
+    for k, own in enumerate(weights[1:], 3):
+        context, longer = _estimate(s, counts, k)
+        w = own[_bucket(context)]
+        p = w[:, 0] * longer + w[:, 1] * p
+    return p
+
+
+def _cells(order: int, weights: list[np.ndarray], total: int, types: int):
+    """Held-out tokens by context bucket, the estimate of the next order and what stands below it."""
+
     def fn(chunk, answers):
-        s = Sequence(chunk)
+        s = Sequence(chunk, order)
         counts = np.concatenate([exchange.unpack(p)[1] for _, _, p in answers])
-        context, two, one = _estimates(s, counts, total)
-        cell = (_bucket(context) * (STEPS + 1) + _step(two)) * (STEPS + 1) + _step(one)
+        context, high = _estimate(s, counts, len(weights) + 2)
+        low = _below(s, counts, weights, total, types) if weights else counts[s.grams[0]] / max(1, total)
+        cell = (_bucket(context) * (STEPS + 1) + _step(high)) * (STEPS + 1) + _step(low)
         cells, at = np.unique(cell, return_inverse=True)
-        yield pa.RecordBatch.from_pydict({"cell": cells, "n": np.bincount(at).astype(np.int64), "two": np.bincount(at, two), "one": np.bincount(at, one)})
+        yield pa.RecordBatch.from_pydict({"cell": cells, "n": np.bincount(at).astype(np.int64), "high": np.bincount(at, high), "low": np.bincount(at, low)})
 
     return fn
 
 
-def learn(cells: list[tuple], types: int, rounds: int = 60, floor: float = 1e-4) -> np.ndarray:
-    """(BUCKETS + 1, 3) weights of pair, word and uniform estimate. A bucket starts from, and is smoothed with ten
-    counts of, the weights of all."""
-    weights = np.tile([0.3, 0.6, 0.1], (BUCKETS + 1, 1))
+def learn(cells: list[tuple], uniform: float | None, rounds: int = 60, floor: float = 1e-4) -> np.ndarray:
+    """(BUCKETS + 1, 3 or 2) weights of the higher and lower estimate and, if given, the uniform one. A bucket starts
+    from, and is smoothed with ten counts of, the weights of all."""
+    parts = 2 if uniform is None else 3
+    weights = np.full((BUCKETS + 1, parts), 1 / parts)
     if not cells:
         return weights
-    cell, n, two, one = (np.array(x, dtype=float) for x in zip(*cells))
-    bucket = (cell.astype(np.int64) // (STEPS + 1) ** 2).astype(np.int64)
-    p = np.stack([two / n, one / n, np.full(len(n), 1 / (types + 1))], axis=1)
+    cell, n, high, low = (np.array(x, dtype=float) for x in zip(*cells))
+    bucket = cell.astype(np.int64) // (STEPS + 1) ** 2
+    p = np.stack([high / n, low / n, *([np.full(len(n), uniform)] if uniform is not None else [])], axis=1)
 
     def rounds_of(own, group, size, prior):
         for _ in range(rounds):
             share = own[group] * p
             share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-            new = np.stack([np.bincount(group, share[:, k], size) for k in range(3)], axis=1) + 10 * prior
+            new = np.stack([np.bincount(group, share[:, k], size) for k in range(parts)], axis=1) + 10 * prior
             own = np.maximum(new / new.sum(axis=1, keepdims=True), floor)
             own /= own.sum(axis=1, keepdims=True)
         return own
@@ -153,14 +175,12 @@ def learn(cells: list[tuple], types: int, rounds: int = 60, floor: float = 1e-4)
     return rounds_of(np.tile(everything, (BUCKETS + 1, 1)), bucket, BUCKETS + 1, everything)
 
 
-def _scores(weights: np.ndarray, total: int, types: int):
+def _scores(order: int, weights: list[np.ndarray], total: int, types: int):
     def fn(chunk, answers):
-        s = Sequence(chunk)
+        s = Sequence(chunk, order)
         counts = np.concatenate([exchange.unpack(p)[0] for _, _, p in answers])
-        context, two, one = _estimates(s, counts, total)
-        w = weights[_bucket(context)]
-        score = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] / (types + 1))
-        c = counts[s.word]
+        score = np.log10(_below(s, counts, weights, total, types))
+        c = counts[s.grams[0]]
         base = np.log10((c + 1) / (total + (types + 1)))
         at = s.bounds[:-1]
         yield pa.RecordBatch.from_pydict(
@@ -178,16 +198,18 @@ def _scores(weights: np.ndarray, total: int, types: int):
     return fn
 
 
-def score(docs: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, fold: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. `fold`: 0 counts, 1 training documents that
-    the weights are learned on, 2 not learned from."""
+    the weights are learned on, 2 not learned from. `order`: words of the longest n-gram, 2 at least."""
     src = exchange.source(docs, fold, id_col, text_col)
     bits = exchange.bucket_bits(src)
-    sent = exchange.ask(src, _send(bits))
+    sent = exchange.ask(src, _send(bits, order))
     answers = shared.stored(shared.grouped(sent, "bucket", ["chunk"], _answer, "chunk long, kind int, bucket int, payload binary, tag int, n long, v long, fit_n long, fit_v long"), "counts")
     total, types, fit_total, fit_types = (x or 0 for x in answers.where("kind = 9").agg(F.sum("n"), F.sum("v"), F.sum("fit_n"), F.sum("fit_v")).first())
     answers = answers.where("kind = 1")
-    cells = exchange.gather(src, answers.where(F.col("tag") == HELD), _cells(fit_total), "cell long, n long, two double, one double", tag=HELD)
-    cells = cells.groupBy("cell").agg(F.sum("n"), F.sum("two"), F.sum("one")).collect()
-    weights = learn([tuple(r) for r in cells], fit_types)
-    return exchange.gather(src, answers, _scores(weights, total, types), OUT)
+    weights: list[np.ndarray] = []
+    for k in range(2, order + 1):
+        cells = exchange.gather(src, answers.where(F.col("tag") == HELD), _cells(order, weights, fit_total, fit_types), "cell long, n long, high double, low double", tag=HELD)
+        cells = cells.groupBy("cell").agg(F.sum("n"), F.sum("high"), F.sum("low")).collect()
+        weights.append(learn([tuple(r) for r in cells], 1 / (fit_types + 1) if k == 2 else None))
+    return exchange.gather(src, answers, _scores(order, weights, total, types), OUT)

@@ -127,14 +127,48 @@ def test_lm_probabilities_sum_to_one_and_beat_the_base(spark):
     import numpy as np
 
     cells = [((b * 161 + two) * 161 + one, 50, 50 * p2, 50 * p1) for b, two, one, p2, p1 in ((3, 9, 20, 0.25, 0.04), (3, 0, 30, 0.0, 0.006), (0, 0, 25, 0.0, 0.015))]
-    w = lm_score.learn(cells, 1000)
+    w = lm_score.learn(cells, 1 / 1001)
     assert np.allclose(w.sum(axis=1), 1)
     assert (w > 0).all()
     assert w[0, 0] < w[3, 0]
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rest = language.fold(F.col("doc_id"), 7)
-    sums = lm_score.score(d, F.when(rest == 2, 2).when(rest == 3, 1).otherwise(0)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert sums.s > 0.9 * sums.b
+    fold = F.when(rest == 2, 2).when(rest == 3, 1).otherwise(0)
+    by_order = {k: lm_score.score(d, fold, k).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first() for k in (2, 3)}
+    assert by_order[3].s > by_order[2].s > 0.9 * by_order[2].b
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_counts_equal_plain_ones(monkeypatch, docs, order):
+    """Scores under fixed weights against counters of tuples."""
+    from collections import Counter
+
+    import numpy as np
+
+    monkeypatch.setattr(lm_score, "learn", lambda cells, uniform: np.tile([0.5, 0.3, 0.2] if uniform is not None else [0.6, 0.4], (lm_score.BUCKETS + 1, 1)))
+    grams, contexts = Counter(), Counter()
+    seq = {d: [*lower(t).split(), None] for d, t, *_ in DOCS}
+    def runs(d):
+        for i, w in enumerate(seq[d]):
+            full = (*["<s>"] * order, *seq[d])[i : i + order + 1]
+            yield [tuple(full[-k:]) for k in range(1, order + 1)]
+    for d, *_ in DOCS:
+        if held(d, 7) != 2:
+            for own in runs(d):
+                for g in own:
+                    grams[g] += 1
+                    contexts[g[:-1]] += 1
+    n, v = contexts[()], sum(1 for g in grams if len(g) == 1)
+    rest = language.fold(F.col("doc_id"), 7)
+    for r in lm_score.score(docs, F.when(rest == 2, 2).when(rest == 3, 1).otherwise(0), order).collect():
+        total = 0.0
+        for own in runs(r.doc_id):
+            ml = [grams[g] / contexts[g[:-1]] if contexts[g[:-1]] else 0.0 for g in own]
+            p = 0.5 * ml[1] + 0.3 * grams[own[0]] / n + 0.2 / (v + 1)
+            for x in ml[2:]:
+                p = 0.6 * x + 0.4 * p
+            total += math.log10(p)
+        assert r.score == pytest.approx(total, rel=1e-9)
 
 
 # 5

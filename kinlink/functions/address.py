@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinlink.functions import constants as K
 from kinlink.functions.text import fold_latin, is_native, lookup, zero_strip
 
+# Patterns of house numbers, identifiers and halves.
 HOUSE = r"^[#\s]*([0-9]+)(?:-?([a-z]))?(?![a-z0-9])"
 IDENT = r"[a-z0-9]+(?:[/-][a-z0-9]+)+|(?<![a-z0-9])[0-9]+[a-z]{0,2}(?![a-z0-9])"
 HALF = r"\b1\s*/\s*2\b"

@@ -58,9 +58,7 @@ def steady(docs: DataFrame, name: str = "docs") -> DataFrame:
     todo = [plan]
     while todo:
         node = todo.pop()
-        if node.nodeName() not in ("Project", "Filter", "Union") and "Relation" not in node.nodeName():
-            return stored(docs, name)
-        if node.nodeName() == "LogicalRDD" or node.nodeName() == "LocalRelation":
+        if node.nodeName() not in ("Project", "Filter", "Union", "LogicalRelation") and not node.nodeName().startswith("Relation"):
             return stored(docs, name)
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return docs

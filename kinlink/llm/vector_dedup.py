@@ -4,7 +4,8 @@ Vectors meet only within a block (equal, non-null label and equal length). Equal
 Classes get first neighbours from a few random-projection buckets. NN-descent then refines the lists: each class's
 neighbours and reverse neighbours are joined with their vectors and compared with each other, and what betters a list
 is merged in, until few lists change. A list whose last entry still reaches the threshold is saturated and doubles its
-length. An audit compares a bounded sample with every class of its block; below the wanted recall, refinement goes on with
+length. Past the longest length it loses links, but only those whose two classes are both saturated: such classes of
+different components are compared exactly, chunk by chunk, save for pairs of chunks whose angles rule a link out. An audit compares a bounded sample with every class of its block; below the wanted recall, refinement goes on with
 longer lists. Edges at the threshold, computed in double precision, are closed into components. Links are counted
 exactly inside components, block by block in memory, so a large group never makes its pairs as rows.
 
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from kinlink.llm import shared, tokens
 from kinlink.llm.components import components
 
-#: First list length, most that saturation may reach (component blocks count links beyond it), projection tables,
+#: First list length, most that saturation may reach (links beyond it are found and counted by blocks), projection tables,
 #: classes in a bucket or block, rounds, sampled classes of the audit and its wanted recall.
 LIST, LONGEST, TABLES, BLOCK, ROUNDS, SAMPLE, RECALL = 6, 24, 5, 256, 4, 200, 0.995
+#: What single precision may add to a similarity.
+SLACK = 1e-6
 
 
 def _classes(batches):
@@ -125,16 +128,18 @@ def _join(rows_key, rows):
 
 
 def _merged(lists: DataFrame | None, fresh: DataFrame, longer: int, threshold: float) -> DataFrame:
-    """(u, size, list of (sim, v), best first): the best `size` of old entries and fresh edges."""
+    """(u, size, list of (sim, v), best first, open): the best `size` of old entries and fresh edges. A list is open once
+    it was full of entries at the threshold, so that more may have been turned away."""
     fresh = fresh.groupBy("u").agg(F.collect_set(F.struct("sim", "v")).alias("new"))
     if lists is None:
-        both = fresh.select("u", F.lit(longer).alias("size"), "new")
+        both = fresh.select("u", F.lit(longer).alias("size"), "new", F.lit(False).alias("open"), F.lit(longer).alias("was"))
     else:
-        both = lists.join(fresh, "u", "left").select("u", F.greatest("size", F.lit(longer)).alias("size"), F.concat("list", F.coalesce("new", F.array().cast("array<struct<sim:double,v:bigint>>"))).alias("new"))
+        both = lists.join(fresh, "u", "left").select("u", F.greatest("size", F.lit(longer)).alias("size"), F.concat("list", F.coalesce("new", F.array().cast("array<struct<sim:double,v:bigint>>"))).alias("new"), "open", F.col("size").alias("was"))
     best = F.sort_array(F.array_distinct("new"), asc=False)
-    out = both.select("u", "size", best.alias("list"))
+    out = both.select("u", "size", best.alias("list"), "open", "was")
+    filled = F.col("open") | F.coalesce(F.get("list", F.col("was") - 1)["sim"] >= threshold - SLACK, F.lit(False))
     grown = F.when(F.size("list") < F.col("size"), F.col("size")).otherwise(F.when(F.get("list", F.col("size") - 1)["sim"] >= threshold, F.least(F.col("size") * 2, F.greatest(F.col("size"), F.lit(LONGEST)))).otherwise(F.col("size")))
-    return shared.stored(out.select("u", grown.alias("size"), "list").select("u", "size", F.slice("list", F.lit(1), F.col("size")).alias("list")), "lists")
+    return shared.stored(out.select("u", grown.alias("size"), "list", filled.alias("open")).select("u", "size", F.slice("list", F.lit(1), F.col("size")).alias("list"), "open"), "lists")
 
 
 def refine(nodes: DataFrame, lists: DataFrame, length: int, threshold: float) -> tuple[DataFrame, int]:
@@ -189,7 +194,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
         if n <= 0.01 * total * length:
             break
     for _ in range(3):
-        out = _links(nodes, lists, threshold)
+        out = _links(nodes, _near(nodes, lists, threshold), threshold)
         if audit(nodes, out, threshold) >= recall:
             break
         length *= 2
@@ -220,11 +225,79 @@ def _exact(threshold: float):
     return run
 
 
-def _links(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
-    """cls, n_links, component_id from the lists' edges at the threshold."""
-    edges = lists.select("u", F.explode("list").alias("e")).where(F.col("e.sim") >= threshold - 1e-6).select(F.least("u", "e.v").alias("a"), F.greatest("u", "e.v").alias("b")).distinct()
+def _pivots(key, rows):
+    """A chunk's mean direction and the widest angle of a member to it."""
+    x = _matrix(rows["vec"])
+    mean = x.sum(axis=0)
+    norm = np.sqrt(mean @ mean)
+    pivot = mean / norm if norm > 1e-9 else x[0]
+    wide = float(np.arccos(np.clip(x @ pivot, -1, 1)).max())
+    yield pa.RecordBatch.from_pydict({"chunk": pa.array([key], pa.int64()), "blk": pa.array(rows["blk"][:1], pa.int64()), "root": pa.array(rows["root"][:1], pa.int64()), "pivot": pa.array([pivot.tobytes()], pa.binary()), "wide": pa.array([wide], pa.float64())})
+
+
+def _reach(threshold: float):
+    """Pairs of chunks of different components that the angles of pivots and members allow a link at the threshold."""
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def fn(key, rows):
+        ids, root, wide, side = (np.array(rows[c]) for c in ("chunk", "root", "wide", "side"))
+        x = _matrix(rows["pivot"])
+        left = np.flatnonzero(side == 0)
+        right = left if side.max() == 0 else np.flatnonzero(side == 1)
+        between = np.arccos(np.clip(x[left] @ x[right].T, -1, 1))
+        # The arc cosine turns rounding of 1e-15 near 1 into angles of 1e-7.
+        near = (between <= wide[left][:, None] + wide[right][None, :] + angle + SLACK) & (root[left][:, None] != root[right][None, :])
+        i, j = np.nonzero(np.triu(near) if side.max() == 0 else near)
+        yield pa.RecordBatch.from_pydict({"c": pa.array(ids[left[i]], pa.int64()), "d": pa.array(ids[right[j]], pa.int64())})
+
+    return fn
+
+
+def _bridge(threshold: float):
+    """One link between the two sides, if there is any: each side is inside one component already."""
+
+    def fn(key, rows):
+        ids, side, x = np.array(rows["cls"], dtype=np.int64), np.array(rows["side"]), _matrix(rows["vec"])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        g = x[left] @ x[right].T
+        i, j = np.unravel_index(g.argmax(), g.shape)
+        if g[i, j] >= threshold:
+            a, b = int(ids[left[i]]), int(ids[right[j]])
+            yield pa.RecordBatch.from_pydict({"a": pa.array([min(a, b)], pa.int64()), "b": pa.array([max(a, b)], pa.int64())})
+
+    return fn
+
+
+def _bridges(nodes: DataFrame, lists: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a link for each pair of chunks of open classes that links two of the components of `edges`."""
+    roots = components(edges).select(F.col("node").alias("cls"), "root")
+    left = lists.where("open").select(F.col("u").alias("cls")).join(nodes.select("cls", "blk", "vec"), "cls").join(roots, "cls", "left")
+    left = shared.stored(left.select("cls", "blk", "vec", F.coalesce("root", "cls").alias("root")), "open")
+    several = left.groupBy("blk").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("blk")
+    sizes = left.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
+    chunk = F.xxhash64("blk", "root", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("n")))
+    left = shared.stored(left.join(several, "blk", "left_semi").join(sizes, "root").select(chunk.alias("chunk"), "cls", "blk", "root", "vec"), "chunks")
+    pivots = shared.stored(shared.grouped(left, "chunk", ["cls"], _pivots, "chunk long, blk long, root long, pivot binary, wide double"), "pivots")
+    parts = pivots.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = pivots.join(parts, "blk").withColumn("part", F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    i, j = F.least("part", "other"), F.greatest("part", "other")
+    dealt = dealt.select(F.xxhash64("blk", i, j).alias("block"), F.when(F.col("part") == i, 0).otherwise(1).alias("side"), "chunk", "root", "pivot", "wide")
+    pairs = shared.stored(shared.grouped(dealt, "block", ["side", "chunk"], _reach(threshold), "c long, d long"), "reach")
+    pair = F.xxhash64("c", "d").alias("pair")
+    ends = pairs.select(pair, F.lit(0).alias("side"), F.col("c").alias("chunk")).union(pairs.select(pair, F.lit(1).alias("side"), F.col("d").alias("chunk")))
+    return shared.grouped(ends.join(left, "chunk").select("pair", "side", "cls", "vec"), "pair", ["side", "cls"], _bridge(threshold), "a long, b long")
+
+
+def _near(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links whose components are those of all links that the lists' classes were compared for."""
+    edges = lists.select("u", F.explode("list").alias("e")).where(F.col("e.sim") >= threshold - SLACK).select(F.least("u", "e.v").alias("a"), F.greatest("u", "e.v").alias("b")).distinct()
     side = lambda c, v: nodes.select(F.col("cls").alias(c), F.col("vec").alias(v))
     edges = shared.stored(edges.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_exact(threshold), "a long, b long"), "links")
+    return shared.stored(edges.union(_bridges(nodes, lists, edges, threshold)), "links")
+
+
+def _links(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """cls, n_links, component_id from links that span the components."""
     roots = shared.stored(components(edges).select(F.col("node").alias("cls"), "root"), "roots")
     sizes = shared.stored(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "large")
     parts = roots.join(sizes, "root", "left").select("cls", "root", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int").alias("parts"))

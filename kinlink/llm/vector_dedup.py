@@ -5,8 +5,9 @@ Classes get first neighbours from a few random-projection buckets. NN-descent th
 neighbours and reverse neighbours are joined with their vectors and compared with each other, and what betters a list
 is merged in, until few lists change. A list whose last entry still reaches the threshold is saturated and doubles its
 length. Past the longest length it loses links, but only those whose two classes are both saturated: such classes of
-different components are compared exactly, chunk by chunk, save for pairs of chunks whose angles rule a link out. An audit compares a bounded sample with every class of its block; below the wanted recall, refinement goes on with
-longer lists. Edges at the threshold, computed in double precision, are closed into components. Links are counted
+different components are compared exactly, chunk by chunk, save for pairs of chunks whose angles rule a link out. An audit compares a bounded sample with every class of its block; each class counts alike, as
+does each size of neighbourhood. Below the wanted recall, refinement goes on with longer lists and labels are made anew;
+if the last audit is still below, all classes of a block are compared exactly (quadratic in the block). Edges at the threshold, computed in double precision, are closed into components. Links are counted
 exactly inside components, block by block in memory, so a large group never makes its pairs as rows.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors with a null
@@ -16,6 +17,8 @@ as vectors of their own with that id; further columns are ignored.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -193,13 +196,19 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
         lists, n = refine(nodes, lists, length, threshold)
         if n <= 0.01 * total * length:
             break
-    for _ in range(3):
-        out = _links(nodes, _near(nodes, lists, threshold), threshold)
-        if audit(nodes, out, threshold) >= recall:
+    out = _links(nodes, _near(nodes, lists, threshold), threshold)
+    share = audit(nodes, out, threshold)
+    for _ in range(2):
+        if share >= recall:
             break
         length *= 2
         lists, _ = refine(nodes, lists, length, threshold)
         lists, _ = refine(nodes, lists, length, threshold)
+        out = _links(nodes, _near(nodes, lists, threshold), threshold)
+        share = audit(nodes, out, threshold)
+    if share < recall:
+        logging.getLogger(__name__).warning("recall %.4f is under %.4f after the last refinement: comparing whole blocks", share, recall)
+        out = _links(nodes, shared.stored(_all_pairs(nodes, threshold), "links"), threshold)
     slim = vectors.select("vec_id", F.when(F.col("cls") == 0, F.xxhash64(F.lit("none"), "vec_id")).otherwise(F.col("cls")).alias("cls"), (F.col("cls") == 0).alias("alone"))
     joined = slim.join(out, "cls", "left")
     component = F.when(F.col("alone"), F.col("vec_id")).otherwise(F.col("component_id"))
@@ -288,6 +297,42 @@ def _bridges(nodes: DataFrame, lists: DataFrame, edges: DataFrame, threshold: fl
     return shared.grouped(ends.join(left, "chunk").select("pair", "side", "cls", "vec"), "pair", ["side", "cls"], _bridge(threshold), "a long, b long")
 
 
+def _spans(threshold: float):
+    """Of the links between the two sides, or inside the only one, those that span their components."""
+
+    def fn(key, rows):
+        ids, side, x = np.array(rows["cls"], dtype=np.int64), np.array(rows["side"]), _matrix(rows["vec"])
+        hit = x @ x.T >= threshold
+        if side.max() > 0:
+            hit &= side[:, None] != side[None, :]
+        seen, a, b = np.zeros(len(ids), bool), [], []
+        for start in range(len(ids)):
+            if seen[start]:
+                continue
+            seen[start] = True
+            todo = [start]
+            while todo:
+                i = todo.pop()
+                new = np.flatnonzero(hit[i] & ~seen)
+                seen[new] = True
+                todo += new.tolist()
+                a += [ids[i]] * len(new)
+                b += ids[new].tolist()
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return fn
+
+
+def _all_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that span all components, from comparing all classes of each block."""
+    parts = nodes.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = nodes.join(parts, "blk").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(13)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    i, j = F.least("part", "other"), F.greatest("part", "other")
+    dealt = dealt.select(F.xxhash64("blk", i, j).alias("block"), F.when(F.col("part") == i, 0).otherwise(1).alias("side"), "cls", "vec")
+    return shared.grouped(dealt, "block", ["side", "cls"], _spans(threshold), "a long, b long")
+
+
 def _near(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links whose components are those of all links that the lists' classes were compared for."""
     edges = lists.select("u", F.explode("list").alias("e")).where(F.col("e.sim") >= threshold - SLACK).select(F.least("u", "e.v").alias("a"), F.greatest("u", "e.v").alias("b")).distinct()
@@ -311,7 +356,8 @@ def _links(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = SAMPLE) -> float:
-    """Links found of about `sample` classes, as a share of those that comparing them with every class gives."""
+    """Share of their links that about `sample` classes have found, against comparing them with every class: the mean over
+    classes that have links, or the least mean of a size of neighbourhood (by powers of 4), if that's lower."""
     total = nodes.count()
     if not total:
         return 1.0
@@ -336,5 +382,9 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = SA
         yield pa.RecordBatch.from_pydict({"cls": ids, "n": n})
 
     true = nodes.select("cls", "blk", "vec", "copies").mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
-    got = true.join(found, "cls").join(nodes.select("cls", "copies"), "cls").agg(F.sum(F.col("n_links") - F.col("copies") + 1), F.sum("n")).first()
-    return 1.0 if not got[1] else got[0] / got[1]
+    # Equal copies are linked from the start: only links to other classes count.
+    got = true.where("n > 0").join(found, "cls").join(nodes.select("cls", "copies"), "cls").select("n", (F.col("n_links") - F.col("copies") + 1).alias("m")).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault((int(r.n).bit_length() + 1) // 2, []).append(r.m / r.n)
+    return min([sum(map(sum, sizes.values())) / len(got), *(sum(x) / len(x) for x in sizes.values())]) if got else 1.0

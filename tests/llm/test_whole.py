@@ -33,3 +33,33 @@ def test_groups_larger_than_lists(spark):
     expected = vectors_near(rows)
     assert set(expected.values()) == {(119, 0)}
     assert near(spark, rows) == expected
+
+
+def table(spark, rows):
+    """Class rows as near_vectors makes them."""
+    data = [(i, i, 1, k, (e / np.linalg.norm(e)).tobytes()) for i, e, k in rows]
+    return spark.createDataFrame(data, "cls long, rep long, copies long, blk long, vec binary")
+
+
+def pairs_and_group():
+    r = np.random.default_rng(2)
+    base = r.standard_normal((40, 24))
+    rows = [(2 * i + j, base[i] + 0.001 * j * r.standard_normal(24), 0) for i in range(40) for j in range(2)]
+    return rows + [(100 + i, base[0] * 0 + 1 + 0.001 * r.standard_normal(24), 0) for i in range(100)]
+
+
+def test_audit_weighs_classes_alike(spark):
+    nodes = table(spark, pairs_and_group())
+    # All links of the group are found and none of the pairs': 9,900 of 9,980.
+    found = spark.createDataFrame([(i, 0) for i in range(80)] + [(100 + i, 99) for i in range(100)], "cls long, n_links long")
+    assert vector_dedup.audit(nodes, found, 0.98, 1000) < 0.6
+    found = spark.createDataFrame([(i, 1) for i in range(80)] + [(100 + i, 99) for i in range(100)], "cls long, n_links long")
+    assert vector_dedup.audit(nodes, found, 0.98, 1000) == 1
+
+
+def test_failing_audit_ends_in_whole_blocks(spark, monkeypatch):
+    rows = pairs_and_group()
+    monkeypatch.setattr(vector_dedup, "refine", lambda nodes, lists, *_: (lists, 0))
+    merged = vector_dedup._merged
+    monkeypatch.setattr(vector_dedup, "_merged", lambda lists, fresh, *a: merged(lists, fresh.where("false"), *a))
+    assert near(spark, rows) == vectors_near(rows)

@@ -1,7 +1,9 @@
 """Embedding near-dedup by NN-descent.
 
 Vectors meet only within a block (equal, non-null label and equal length). Equal vectors are one class from the start.
-Classes get first neighbours from a few random-projection buckets. NN-descent then refines the lists: each class's
+Classes get first neighbours from random-projection buckets: a block of few classes is one bucket, a larger one gets
+projection bits by its own number of classes, and so many tables that a pair at the threshold shares no bucket with
+a fixed probability, however large the block. NN-descent then refines the lists: each class's
 neighbours and reverse neighbours are joined with their vectors and compared with each other, and what betters a list
 is merged in, until few lists change. A list whose last entry still reaches the threshold is saturated and doubles its
 length. Past the longest length it loses links, but only those whose two classes are both saturated: such classes of
@@ -21,15 +23,16 @@ import logging
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm import shared, tokens
 from kinlink.llm.components import components
 
-#: First list length, most that saturation may reach (links beyond it are found and counted by blocks), projection tables,
-#: classes in a bucket or block, rounds, sampled classes of the audit and its wanted recall.
-LIST, LONGEST, TABLES, BLOCK, ROUNDS, SAMPLE, RECALL = 6, 24, 5, 256, 4, 200, 0.995
+#: First list length, most that saturation may reach (links beyond it are found and counted by blocks), probability
+#: that a pair at the threshold shares no bucket, classes in a bucket or block, rounds, sampled classes of the audit and
+#: its wanted recall.
+LIST, LONGEST, APART, BLOCK, ROUNDS, SAMPLE, RECALL = 6, 24, 1e-3, 256, 4, 200, 0.995
 #: What single precision may add to a similarity.
 SLACK = 1e-6
 
@@ -63,20 +66,33 @@ def _matrix(column: list, kind=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), -1)
 
 
-def _codes(tables: int, bits: int):
-    """Sign codes of random projections, one bucket a table; the projections depend on table and vector length only."""
+def projection_bits(n: Column) -> Column:
+    """Of a block of n classes: none up to BLOCK, then about 64 classes a bucket."""
+    return F.when(n <= BLOCK, 0).otherwise(F.ceil(F.log2(n / 64))).cast("int")
+
+
+def tables_for(bits: int, threshold: float) -> int:
+    """So many that a pair at the threshold shares a bucket in none with probability APART at most."""
+    together = (1 - float(np.arccos(np.clip(threshold, -1, 1))) / np.pi) ** bits
+    return 1 if together >= 1 - APART else int(np.ceil(np.log(APART) / np.log1p(-together)))
+
+
+def _codes(threshold: float):
+    """Sign codes of random projections, one bucket a table; the projections depend on table, bits and vector length
+    only. A block's number of bits stands in its rows."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             cls, blk, vectors = batch.column("cls").to_pylist(), batch.column("blk").to_pylist(), batch.column("vec").to_pylist()
-            for size in sorted({len(v) for v in vectors}):
-                at = [i for i, v in enumerate(vectors) if len(v) == size]
+            bits = batch.column("bits").to_pylist()
+            for size, depth in sorted({(len(v), d) for v, d in zip(vectors, bits)}):
+                at = [i for i, v in enumerate(vectors) if len(v) == size and bits[i] == depth]
                 x = _matrix([vectors[i] for i in at])
-                for t in range(tables):
-                    plane = np.random.Generator(np.random.PCG64([t, x.shape[1]])).standard_normal((x.shape[1], max(1, bits)))
-                    sign = ((x @ plane) > 0) @ (1 << np.arange(max(1, bits), dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
+                for t in range(tables_for(depth, threshold)):
+                    plane = np.random.Generator(np.random.PCG64([t, x.shape[1]])).standard_normal((x.shape[1], depth))
+                    sign = ((x @ plane) > 0) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(len(x), np.int64)
                     key = np.stack([np.array([blk[i] for i in at], dtype=np.int64).view(np.uint64), sign.astype(np.uint64), np.full(len(at), t, np.uint64)])
                     bucket = tokens.mix(tokens.mix(key[0] + key[1]) + key[2]).view(np.int64)
                     yield pa.RecordBatch.from_pydict({"cls": pa.array([cls[i] for i in at], pa.int64()), "bucket": bucket, "vec": pa.array([x[i].astype(np.float32).tobytes() for i in range(len(at))], pa.binary())})
@@ -184,9 +200,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
     nodes = vectors.where("cls <> 0").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("blk").alias("blk"), F.first("vec").alias("vec"))
     narrow = nodes.mapInArrow(_narrow, "cls long, rep long, copies long, blk long, vec binary, small binary")
     nodes = shared.stored(narrow, "nodes")
-    most = nodes.groupBy("blk").count().agg(F.max("count")).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, most / 64)))))
-    coded = nodes.select("cls", "blk", "vec").mapInArrow(_codes(TABLES, bits), "cls long, bucket long, vec binary")
+    depth = nodes.groupBy("blk").agg(projection_bits(F.count(F.lit(1))).alias("bits"))
+    coded = nodes.join(shared.stored(depth, "bits"), "blk").select("cls", "blk", "bits", "vec").mapInArrow(_codes(threshold), "cls long, bucket long, vec binary")
     large = shared.stored(coded.groupBy("bucket").count().where(F.col("count") > BLOCK), "buckets")
     dealt = coded.join(large, "bucket", "left").select("cls", "vec", F.xxhash64("bucket", F.pmod(F.xxhash64("cls", F.lit(5)), F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)))).alias("bucket"))
     length = LIST

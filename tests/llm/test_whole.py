@@ -2,6 +2,7 @@
 
 import numpy as np
 from common import components as close
+from pyspark.sql import functions as F
 
 from kinlink.llm import vector_dedup
 
@@ -63,3 +64,27 @@ def test_failing_audit_ends_in_whole_blocks(spark, monkeypatch):
     merged = vector_dedup._merged
     monkeypatch.setattr(vector_dedup, "_merged", lambda lists, fresh, *a: merged(lists, fresh.where("false"), *a))
     assert near(spark, rows) == vectors_near(rows)
+
+
+def test_bits_follow_each_block(spark):
+    sizes = spark.createDataFrame([(1,), (256,), (257,), (1_000_000,)], "n long")
+    assert [r[0] for r in sizes.orderBy("n").select(vector_dedup.projection_bits(F.col("n"))).collect()] == [0, 0, 3, 14]
+    together = 1 - np.arccos(0.98) / np.pi
+    for bits in (3, 8, 14, 18, 20):
+        assert (1 - together**bits) ** vector_dedup.tables_for(bits, 0.98) <= 1e-3
+
+
+def test_small_label_beside_a_large_one(spark, monkeypatch):
+    """First neighbours alone, unrefined and unaudited, hold every pair of a small label."""
+    r = np.random.default_rng(3)
+    rows = [(1000 + i, r.standard_normal(12), 1) for i in range(6000)]
+    base = r.standard_normal((60, 12))
+    for i, x in enumerate(base):
+        x /= np.linalg.norm(x)
+        y = r.standard_normal(12)
+        y -= (y @ x) * x
+        rows += [(2 * i, x, 0), (2 * i + 1, 0.9805 * x + np.sqrt(1 - 0.9805**2) * y / np.linalg.norm(y), 0)]
+    monkeypatch.setattr(vector_dedup, "refine", lambda nodes, lists, *_: (lists, 0))
+    monkeypatch.setattr(vector_dedup, "audit", lambda *_: 1.0)
+    found, expected = near(spark, rows), vectors_near(rows)
+    assert {i: found[i] for i in range(120)} == {i: expected[i] for i in range(120)}

@@ -39,10 +39,21 @@ _ODD = _draw.integers(0, 1 << 32, PLACES, dtype=np.uint32) | np.uint32(1)
 _ORDER = [_draw.permutation(PLACES) for _ in range(64)]
 
 
+def miss_rate(threshold: float, n: int) -> float:
+    """Bound on the probability that a pair at the threshold shares none of n bands. Bands are drawn from the same
+    places, so they're independent only given the number of places that match: a mixture over that number. Bands of
+    one permutation are disjoint, which only lowers the rate."""
+    total = math.comb(PLACES, BAND)
+    return sum(math.comb(PLACES, m) * threshold**m * (1 - threshold) ** (PLACES - m) * (1 - math.comb(m, BAND) / total) ** n for m in range(PLACES + 1))
+
+
 def band_places(threshold: float, miss: float = MISS) -> np.ndarray:
     """Signature places of each band, as rows: enough bands that a pair at the threshold shares none with probability
     `miss` at most."""
-    n = math.ceil(math.log(miss) / math.log(1 - threshold**BAND))
+    most = len(_ORDER) * PLACES // BAND
+    n = next((n for n in range(1, most + 1) if miss_rate(threshold, n) <= miss), None)
+    if n is None:
+        raise ValueError(f"a threshold of {threshold} needs more than {most} bands; add permutations")
     return np.concatenate([p.reshape(-1, BAND) for p in _ORDER[: -(-n * BAND // PLACES)]])[:n]
 
 

@@ -1,10 +1,11 @@
 """Cases in which a bounded list, a sample or a size switch must not cost results."""
 
 import numpy as np
+import pytest
 from common import components as close
 from pyspark.sql import functions as F
 
-from kinlink.llm import vector_dedup
+from kinlink.llm import near_dedup, vector_dedup
 
 
 def vectors_near(rows, threshold=0.98):
@@ -88,3 +89,16 @@ def test_small_label_beside_a_large_one(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "audit", lambda *_: 1.0)
     found, expected = near(spark, rows), vectors_near(rows)
     assert {i: found[i] for i in range(120)} == {i: expected[i] for i in range(120)}
+
+
+@pytest.mark.parametrize(("t", "odd"), [(0.85, 30), (0.8, 36)])
+def test_bands_at_the_threshold(t, odd):
+    """Simulated with the code's own bands: pairs at the threshold, and those with unusually many mismatches."""
+    places, r = near_dedup.band_places(t), np.random.default_rng(4)
+
+    def missed(differ):
+        return float(np.all([differ[:, p].any(axis=1) for p in places], axis=0).mean())
+
+    assert missed(r.random((20_000, 128)) >= t) == 0
+    assert missed(r.random((20_000, 128)).argsort(axis=1) < odd) < 5e-4
+    assert near_dedup.miss_rate(t, len(places)) <= near_dedup.MISS

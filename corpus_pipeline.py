@@ -42,9 +42,13 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (`und`: no text, or no letter in it) go; a missing lang is filled in."""
+    """Documents without a language (`und`: no text, or no letter in it) go; a missing lang is filled in.
+    Without a model (no document of the learning fold has a lang) documents that hold a letter stay as they are."""
     shared.whole_texts(spark)
     model = language.fit(docs.where(language.fold(F.col("doc_id"), 4) != 2))
+    if model is None:
+        has_letter = F.udf(lambda text: bool(language.letters(text or "")), "boolean")
+        return docs.where(has_letter(F.col("text").cast("string")))
     said = language.identify(docs, model, keep=docs.columns).where("lang_pred <> 'und'")
     return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 

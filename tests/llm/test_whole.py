@@ -5,6 +5,7 @@ import pytest
 from common import components as close
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kinlink.llm import near_dedup, vector_dedup
 
 
@@ -102,3 +103,10 @@ def test_bands_at_the_threshold(t, odd):
     assert missed(r.random((20_000, 128)) >= t) == 0
     assert missed(r.random((20_000, 128)).argsort(axis=1) < odd) < 5e-4
     assert near_dedup.miss_rate(t, len(places)) <= near_dedup.MISS
+
+
+def test_language_stage_without_a_model(spark):
+    docs = spark.createDataFrame([(1, "ein Text", None), (2, "12 34", None), (3, None, None), (4, "слово", None)], "doc_id long, text string, lang string")
+    out = corpus_pipeline.identify_language(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == [1, 4]

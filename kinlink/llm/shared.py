@@ -9,18 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset (tests on one machine).
+#: Used only where spark.checkpoint.dir is unset and all tasks run in the driver's own process (tests).
 LOCAL_DIR = "/tmp/checkpoints"
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, read from the session."""
+    """The shared folder: spark.checkpoint.dir, read from the session. On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = LOCAL_DIR
     return found.rstrip("/")
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it from being one of `taken`, in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def whole_texts(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows in this session, where it has more: rows hold whole texts, and a batch is held by the
     JVM and by its worker at once."""
@@ -98,16 +111,3 @@ def grouped(df: DataFrame, key: str, order: list[str], fn: Callable[[int, dict[s
             yield from flush()
 
     return dealt.mapInArrow(run, schema)
-
-
-def small_rows(df: DataFrame, most: int, what: str) -> list:
-    """The rows of df on the driver, if there are at most `most` of them; an error says so else."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{what}: more than {most} rows; raise the documented bound or use the distributed way")
-    return rows
-
-
-def only(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone; a missing one is null."""
-    return docs.select(*(docs[n] if n in docs.columns else F.lit(None).alias(n) for n in names))

@@ -7,14 +7,17 @@ a fixed probability, however large the block. NN-descent then refines the lists:
 neighbours and reverse neighbours are joined with their vectors and compared with each other, and what betters a list
 is merged in, until few lists change. A list whose last entry still reaches the threshold is saturated and doubles its
 length. Past the longest length it loses links, but only those whose two classes are both saturated: such classes of
-different components are compared exactly, chunk by chunk, save for pairs of chunks whose angles rule a link out. An audit compares a bounded sample with every class of its block; each class counts alike, as
-does each size of neighbourhood. Below the wanted recall, refinement goes on with longer lists and labels are made anew;
-if the last audit is still below, all classes of a block are compared exactly (quadratic in the block). Edges at the threshold, computed in double precision, are closed into components. Links are counted
-exactly inside components, block by block in memory, so a large group never makes its pairs as rows.
+different components are compared exactly, chunk by chunk, save for pairs of chunks whose angles rule a link out. An
+audit compares a bounded sample with every class of its block; each class counts alike, as does each size of
+neighbourhood. Below the wanted recall, refinement goes on with longer lists and labels are made anew; if the last audit
+is still below, all classes of a block are compared exactly (quadratic in the block). Edges at the threshold, computed in
+double precision, are closed into components. Links are counted exactly inside components, block by block in memory, so a
+large group never makes its pairs as rows.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors with a null
 label, have no links and are their own component; equal vectors link with each other; rows that repeat a vec_id count
-as vectors of their own with that id; further columns are ignored.
+as vectors of their own with that id, also where it is null; the scale of a vector doesn't matter, down to the least and
+up to the largest double; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +48,8 @@ def _classes(batches):
             x = row.as_py()
             good = bool(x) and label is not None and None not in x
             x = np.array(x, dtype=np.float64) if good else None
-            norm = float(np.sqrt((x * x).sum())) if good else 0.0
-            if not good or not np.isfinite(norm) or norm == 0:
+            most = float(np.abs(x).max()) if good else 0.0
+            if not good or not np.isfinite(most) or most == 0 or not np.isfinite(x).all():
                 keys.append(0)
                 blocks.append(0)
                 vectors.append(None)
@@ -58,7 +61,9 @@ def _classes(batches):
             both = np.concatenate([block, tokens.mix(raw + np.arange(len(raw), dtype=np.uint64))])
             keys.append(int(tokens.grams(both, len(both)).view(np.int64)[0]) or 1)
             blocks.append(int(block.view(np.int64)[0]))
-            vectors.append((x / norm).tobytes())
+            # A power of two brings the largest component near 1, so that squares neither overflow nor vanish.
+            x = np.ldexp(x, -int(np.frexp(most)[1]))
+            vectors.append((x / np.sqrt((x * x).sum())).tobytes())
         yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "cls": pa.array(keys, pa.int64()), "blk": pa.array(blocks, pa.int64()), "vec": pa.array(vectors, pa.binary())})
 
 
@@ -221,6 +226,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
         lists, _ = refine(nodes, lists, length, threshold)
         out = _links(nodes, _near(nodes, lists, threshold), threshold)
         share = audit(nodes, out, threshold)
+    logging.getLogger(__name__).info("audited recall %.4f", share)
     if share < recall:
         logging.getLogger(__name__).warning("recall %.4f is under %.4f after the last refinement: comparing whole blocks", share, recall)
         out = _links(nodes, shared.stored(_all_pairs(nodes, threshold), "links"), threshold)

@@ -6,7 +6,7 @@ from common import components as close
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinlink.llm import near_dedup, vector_dedup
+from kinlink.llm import near_dedup, shared, vector_dedup
 
 
 def vectors_near(rows, threshold=0.98):
@@ -110,3 +110,15 @@ def test_language_stage_without_a_model(spark):
     out = corpus_pipeline.identify_language(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 4]
+
+
+def test_norms_of_any_size(spark):
+    """Squares of these over- or underflow; and a null id."""
+    rows = [(1, [1e200] * 8, "a"), (2, [2e200] * 8, "a"), (3, [1e-200] * 8, "a"), (4, [5e-324, 0.0], "b"), (5, [1e308, 0.0], "b"), (6, [0.0, 1.0], "b"), (None, [1.0] * 8, "a"), (8, [1.0, float("nan")], "b")]
+    out = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {r.vec_id: r.n_links for r in out} == {1: 3, 2: 3, 3: 3, None: 3, 4: 1, 5: 1, 6: 0, 8: 0}
+    assert {r.vec_id: r.component_id for r in out if r.vec_id} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 8: 8}
+
+
+def test_fresh_names():
+    assert shared.fresh(["Score", "_score", "x"], "score", "lang", "Lang") == ["__score", "lang", "_Lang"]

@@ -5,8 +5,8 @@ words padded with one blank on each side). A known word scores by its word frequ
 its n-grams of the longest order of which any is known. A text's score per language is the mean over its words; where
 a language lacks a word or n-gram that others have, a fixed penalty stands in.
 
-The model is fitted on a bounded sample: of each language, the documents whose hashed id falls under
-`docs_per_language` / count. Its size is bounded by that parameter, so it may be collected and broadcast.
+The model is fitted on a bounded sample: of each of the `languages` most frequent languages, the documents whose hashed
+id falls under `docs_per_language` / count. Its size is bounded by these parameters, so it may be collected and broadcast.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without any training row every text with a
 letter is `und`; rows repeat as they do in the input; further columns are ignored.
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERS = (5, 4, 3, 2, 1)
-DOCS_PER_LANGUAGE = 1500
+#: Bounds of the sample that the model is fitted on: documents of a language (about), and languages.
+DOCS_PER_LANGUAGE, LANGUAGES = 1500, 256
 PENALTY = 7.0
 #: Distinct unseen words whose scores a worker keeps; a speed matter only.
 MEMO = 200_000
@@ -94,28 +95,27 @@ class Model:
         return np.full(len(self.langs), -PENALTY, dtype=np.float32)
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Model of the rows with a text and a language; None if there are none. Reads text of the sampled rows only."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    limit = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_language / n))).otherwise(limit)
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < limit).select("text", "lang")
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Model of the rows with a text and a language, for the `languages` most frequent (ties by name); None if there are
+    none. Reads text of the sampled rows only."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    rate = most.select("lang", F.least(F.lit(1.0), docs_per_language / F.col("n")).alias("rate"))
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.coalesce(F.col("id"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("text", "lang")
     table = sample.mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow()
     return Model(table) if table.num_rows else None
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The kept columns (the id, if not said), lang_pred and score: the softmax, over languages, of the mean word
-    score in natural units."""
-    keep = [id_col] if keep is None else keep
+    score in natural units. `names` are those of the two new columns; kept columns of these names give way to them."""
+    own = {n.lower() for n in names}
+    keep = [k for k in ([id_col] if keep is None else keep) if k.lower() not in own]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*(F.col(k) for k in keep), F.col(text_col).cast("string").alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    # Columns go by place: a kept one may have any name.
+    source = docs.select(*(docs[k].alias(f"c{i}") for i, k in enumerate(keep)), docs[text_col].cast("string").alias("text"))
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches):
         m = shared.value
@@ -129,8 +129,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                at = [known.get(w, -1) for w in words]
-                at = np.array(at)
+                at = np.array([known.get(w, -1) for w in words])
                 total = m.scores[at[at >= 0]].sum(axis=0, dtype=np.float64)
                 for i in np.flatnonzero(at < 0).tolist():
                     w = words[i]
@@ -144,6 +143,6 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 best = int(mean.argmax())
                 langs.append(m.langs[best])
                 scores.append(float(1 / np.exp(mean - mean[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     return source.mapInArrow(run, schema)

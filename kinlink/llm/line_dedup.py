@@ -1,16 +1,21 @@
 """Line dedup by winnowing over line hashes.
 
-Lines are what stands between newlines; blank lines (white space alone) don't count and stay. A run of `window` lines
-that stands earlier too, by (doc_id, line number), is repeated, and every line inside a repeated run goes.
-
-Each window of lines selects the least of its line hashes (the rightmost of equals) as its fingerprint. The choice
-depends on the window's lines alone, so a repeated run shares a fingerprint with its earlier copy: this is winnowing's
-guarantee at `window` lines. Fingerprints that stand in one place only are dropped. Around the others, windows are
-compared whole, the first place of each is found by pre-aggregation, and later places are joined into runs, which
-extends each match both ways as far as lines agree.
-
-Defined cases: a null text has no lines, stays null and loses nothing; documents under `window` lines lose nothing; a
-null doc_id comes first in order; rows that repeat a doc_id count as the same document; all columns stay.
+Lines are what stands between newlines; blank lines (white space alone) don't count and stay. A run is `window` lines or
+more in a row, or one line of `long` words or more. A run that stands earlier too, by (doc_id, line number), is repeated,
+and every line inside a repeated run goes. A single line under `long` words that recurs between other lines stays.
+
+1. Winnowing: each window of lines selects one of them as its fingerprint: a long one before a short one, then the least
+   hash, the rightmost of equals. Long lines select themselves. The choice depends on the window's lines alone, so each
+   repeated run is guaranteed to share a fingerprint with its earlier copy. Only selected lines are stored, each with
+   the hashes of the windows that selected it.
+2. Positions of equal fingerprints are joined; those that stand in one place only fall away.
+3. Around each joined position the match is extended to both sides, over every window that selected it, as far as
+   the lines there agree with an earlier place; overlapping matches grow together to whole runs.
+4. Lines of later runs go. Only documents that may lose a line are shuffled.
+
+Lines are compared by 64-bit hashes. Defined cases: a null text has no lines, stays null and loses nothing; a null doc_id
+comes first in order; rows that repeat a doc_id count as the same document; all columns stay, but for those named like
+the two counts, in place of which the counts stand.
 """
 
 from __future__ import annotations
@@ -22,42 +27,61 @@ from pyspark.sql import functions as F
 
 from kinlink.llm import shared, tokens
 
-WINDOW = 2
+WINDOW, LONG = 2, 5
+#: Stands in place of the window's offset for a long line on its own.
+ALONE = -1
 
 _newline = np.zeros(256, dtype=bool)
 _newline[0x0A] = True
+_PRINTS = "id long, row long, line long, print long, offsets array<int>, wholes array<long>"
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, hashes and bounds, by text, of the lines that aren't blank."""
+    """Starts, ends, numbers of words and bounds, by text, of the lines that aren't blank."""
     starts, ends = tokens.spans(data, offsets, _newline)
-    ink = np.concatenate([[0], np.cumsum(~tokens.SPACE_SEPARATED[data])])
-    full = ink[ends] > ink[starts]
-    starts, ends = starts[full], ends[full]
-    return starts, ends, tokens.span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
-
-
-def _windows(window: int):
+    first, _ = tokens.spans(data, offsets, tokens.SPACE_SEPARATED)
+    n = np.searchsorted(first, ends) - np.searchsorted(first, starts)
+    starts, ends, n = starts[n > 0], ends[n > 0], n[n > 0]
+    return starts, ends, n, np.searchsorted(starts, offsets)
+
+
+def _selected(h: np.ndarray, long: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window: the number of the line that it selects, the window's offset and its hash. Long lines on their
+    own come with the offset ALONE."""
+    n = max(0, len(h) - window + 1)
+    inside = np.flatnonzero(doc[:n] == doc[window - 1 :]) if n else np.zeros(0, np.int64)
+    best = inside.copy()
+    for i in range(1, window):
+        at = inside + i
+        better = (long[at] & ~long[best]) | ((long[at] == long[best]) & (h[at] <= h[best]))
+        best = np.where(better, at, best)
+    alone = np.flatnonzero(long)
+    line = np.concatenate([best, alone])
+    offset = np.concatenate([best - inside, np.full(len(alone), ALONE)])
+    return line, offset, np.concatenate([tokens.grams(h, window)[inside] if n else h[:0], tokens.mix(h[alone])])
+
+
+def _prints(window: int, long: int):
     def run(batches):
         for batch in batches:
             data, offsets = tokens.text_buffer(batch.column("text"))
             ids, rows = batch.column("id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy(zero_copy_only=False)
             for a, b in tokens.slices(offsets, 4 << 20):
-                at = offsets[a : b + 1] - offsets[a]
-                _, _, h, bounds = _lines(data[offsets[a] : offsets[b]], at)
+                at, raw = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+                starts, ends, n, bounds = _lines(raw, at)
+                h = tokens.span_hashes(raw, starts, ends)
                 doc = np.repeat(np.arange(a, b), np.diff(bounds))
-                line = np.arange(len(h)) - bounds[:-1][doc - a]
-                n = len(h) - window + 1
-                if n <= 0:
+                line, offset, whole = _selected(h, n >= long, doc, window)
+                if not len(line):
                     continue
-                least, place = h[:n].copy(), np.zeros(n, np.int64)
-                for i in range(1, window):
-                    lower = h[i : n + i] <= least
-                    least[lower], place[lower] = h[i : n + i][lower], i
-                whole = tokens.grams(h, window)
-                inside = doc[:n] == doc[window - 1 :]
-                d, s = doc[:n][inside], line[:n][inside]
-                yield pa.RecordBatch.from_pydict({"id": ids[d], "row": rows[d], "start": s, "print_at": s + place[inside], "print": least[inside].view(np.int64), "whole": whole[inside].view(np.int64)})
+                order = np.lexsort((offset, line))
+                line, offset, whole = line[order], offset[order], whole[order]
+                head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                own, cuts = line[head], pa.array(np.append(head, len(line)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[doc[own]]), pa.array(rows[doc[own]]), pa.array(own - bounds[:-1][doc[own] - a], pa.int64()), pa.array(h[own].view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(offset, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(whole.view(np.int64)))],
+                    names=["id", "row", "line", "print", "offsets", "wholes"],
+                )
 
     return run
 
@@ -67,12 +91,10 @@ def _without(place: int, names: list[str]):
         for batch in batches:
             texts, gone = batch.column(place), batch.column(batch.num_columns - 1)
             data, offsets = tokens.text_buffer(texts)
-            out, n_lines, n_removed = [], [], []
+            _, _, _, bounds = _lines(data, offsets)
+            n_lines, out, n_removed = np.diff(bounds), [], []
             for i in range(len(texts)):
-                text = data[offsets[i] : offsets[i + 1]]
-                starts, ends, _, _ = _lines(text, np.array([0, len(text)]))
                 lost = gone[i].as_py()
-                n_lines.append(len(starts))
                 n_removed.append(len(lost or ()))
                 if not lost:
                     out.append(texts[i].as_py())
@@ -86,25 +108,40 @@ def _without(place: int, names: list[str]):
                 out.append("\n".join(kept))
             columns = list(batch.columns[:-1])
             columns[place] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=names)
 
     return run
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with later repeated runs of at least `window` lines cut from the text, and n_lines, n_removed."""
-    docs = docs.drop("n_lines", "n_removed")
-    key = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("string").alias("text"))
-    key = key.withColumn("row", F.xxhash64("id", F.coalesce("text", F.lit(""))))
-    seen = shared.stored(key.mapInArrow(_windows(window), "id long, row long, start long, print_at long, print long, whole long"), "lines")
-    place = F.struct("id", "print_at")
-    shared_prints = shared.stored(seen.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print"), "prints")
-    near = seen.join(shared_prints, "print", "left_semi")
-    first = shared.stored(near.groupBy("whole").agg(F.min(F.struct("id", "start")).alias("f"), F.max(F.struct("id", "start")).alias("l")).where("f <> l").select("whole", "f"), "firsts")
-    later = near.join(first, "whole").where(F.struct("id", "start") > F.col("f")).select("id", "row", "start")
-    lines = later.groupBy("id", "row").agg(F.collect_list("start").alias("starts"))
-    lines = lines.select(F.col("row").alias("__row"), F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1))))).alias("__gone"))
-    lines = lines.groupBy("__row").agg(F.first("__gone").alias("__gone"))
-    row = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    both = docs.withColumn("__row", row).join(lines, "__row", "left").select(*docs.columns, "__gone")
-    return both.mapInArrow(_without(docs.columns.index(text_col), docs.columns), docs.schema.add("n_lines", "long").add("n_removed", "long"))
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
+    """(id, row, gone: sorted numbers of the lines that go) of docs (id, row, text)."""
+    seen = shared.stored(docs.mapInArrow(_prints(window, long), _PRINTS), "prints")
+    places = seen.groupBy("print").agg(F.min(F.struct("id", "line")).alias("a"), F.max(F.struct("id", "line")).alias("b"), F.count(F.lit(1)).alias("n"))
+    met = shared.stored(places.where("a <> b").select("print", "n"), "met")
+    each = F.explode(F.arrays_zip("offsets", "wholes")).alias("w")
+    near = shared.keyed_join(seen, met, "print").select("id", "row", "line", each)
+    start = F.when(F.col("w.offsets") == ALONE, F.col("line")).otherwise(F.col("line") - F.col("w.offsets")).alias("start")
+    near = shared.stored(near.select("id", "row", start, F.when(F.col("w.offsets") == ALONE, 1).otherwise(window).alias("size"), F.col("w.wholes").alias("whole")), "near")
+    place = F.struct("id", "start")
+    first = near.groupBy("whole").agg(F.min(place).alias("f"), F.max(place).alias("l"), F.count(F.lit(1)).alias("n"))
+    first = shared.stored(first.where("f <> l").select("whole", "f", "n"), "firsts")
+    later = shared.keyed_join(near, first, "whole").where(place > F.col("f"))
+    runs = later.groupBy("id", "row").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
+    lines = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1)))
+    return runs.select("id", "row", F.array_sort(F.array_distinct(lines)).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with later repeated runs cut from the text, and the numbers of lines and of removed ones."""
+    docs = docs.drop(*counts)
+    id_, text = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.col(text_col).cast("string")
+    row = F.xxhash64(id_, F.coalesce(text, F.lit("")))
+    # Rows that repeat as a whole lose the same lines.
+    gone = repeated_lines(docs.select(id_.alias("id"), text.alias("text"), row.alias("row")), window, long).groupBy("row").agg(F.first("gone").alias("gone"))
+    key, lost, maybe = shared.fresh([*docs.columns, *counts], "row", "gone", "maybe")
+    gone = shared.stored(gone.select(F.col("row").alias(key), F.col("gone").alias(lost)), "gone")
+    marked = docs.withColumn(key, row).withColumn(maybe, shared.sieve(gone, key)(F.col(key)))
+    cut = marked.where(F.col(maybe)).join(gone, key, "left").select(*docs.columns, lost)
+    whole = marked.where(~F.col(maybe)).select(*docs.columns, F.lit(None).cast("array<long>").alias(lost))
+    names = [*docs.columns, *counts]
+    return cut.union(whole).mapInArrow(_without(docs.columns.index(text_col), names), docs.schema.add(counts[0], "long").add(counts[1], "long"))

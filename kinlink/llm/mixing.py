@@ -71,7 +71,7 @@ def mix(docs: DataFrame, tree: DataFrame, budget: Column, max_epochs: int = 2, s
     may use `total`, what all weighted leaves hold. The text is read to count its words, unless `tokens` is given."""
     level = [F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in levels]
     size = words(F.col("text")) if tokens is None else tokens
-    kept = [c for c in docs.columns if c not in ("n_tokens", "n_copies")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "n_copies")]
     rows = docs.select(F.struct(*(docs[c] for c in kept)).alias("doc"), F.col(id_col).cast("string").alias("id"), *level, size.alias("n_tokens"))
     leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
     tree = tree.select(*level, *(f"w_{x}" for x in levels)).dropDuplicates(levels)

@@ -24,11 +24,12 @@ FROM d LEFT JOIN covered c USING (r) LEFT JOIN named m USING (r)
 
 OP9 = r"""
 WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, text, string_split(text, chr(10)) AS a FROM documents),
-l AS (SELECT doc_id, r, i, a[i] AS line, length(trim(a[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13))) > 0 AS f FROM (SELECT doc_id, r, a, unnest(range(1, len(a) + 1)) AS i FROM d)),
-n AS MATERIALIZED (SELECT doc_id, r, i, line, f, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS p FROM l),
+l AS (SELECT doc_id, r, i, a[i] AS line, len(regexp_extract_all(a[i], '[^\x20\x09-\x0D]+')) AS k FROM (SELECT doc_id, r, a, unnest(range(1, len(a) + 1)) AS i FROM d)),
+n AS MATERIALIZED (SELECT doc_id, r, i, line, k, k > 0 AS f, CAST(sum(CASE WHEN k > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS p FROM l),
 w AS (SELECT doc_id, r, p, line, lead(line) OVER (PARTITION BY r ORDER BY p) AS after FROM n WHERE f),
-m AS (SELECT r, p, (doc_id, p) > min((doc_id, p)) OVER (PARTITION BY line, after) AS later FROM w WHERE after IS NOT NULL),
-gone AS (SELECT DISTINCT r, unnest([p, p + 1]) AS p FROM m WHERE later)
+m AS (SELECT r, p, 2 AS size, (doc_id, p) > min((doc_id, p)) OVER (PARTITION BY line, after) AS later FROM w WHERE after IS NOT NULL
+  UNION ALL SELECT r, p, 1, (doc_id, p) > min((doc_id, p)) OVER (PARTITION BY line) FROM n WHERE k >= 5),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + size)) AS p FROM m WHERE later)
 SELECT d.doc_id, CAST(coalesce(x.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256
 FROM d LEFT JOIN (
   SELECT n.r, sum(f::INT) AS n_lines, sum((f AND g.p IS NOT NULL)::INT) AS n_removed,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,38 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Most keys that are broadcast as hot ones, and bits of a sieve: sizes that don't grow with the data.
+HOT_KEYS, SIEVE_BITS = 10_000, 26
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left (a stored table) joined with right (a stored table with one row a key and `n`, the key's rows in left) on
+    key; `n` isn't in the result. The keys that hold more than one row in HOT_KEYS are fewer than HOT_KEYS: they're
+    broadcast, and the rest, of which none is hot, is shuffled."""
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot, rest = right.where(F.col("n") * HOT_KEYS > total).drop("n"), right.where(F.col("n") * HOT_KEYS <= total).drop("n")
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how)
+    return left.join(F.broadcast(hot), key, how).unionByName(cold)
+
+
+def sieve(keys: DataFrame, key: str) -> Callable:
+    """A test of a long column that is false only for values which aren't among keys[key]: a bitmap of 8 MB at any
+    number of keys. What passes must be joined; what doesn't needn't be shuffled."""
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit("sieve")), F.lit(1 << SIEVE_BITS))
+    slots = keys.select(place(F.col(key)).alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, int(slot & 63)) AS bit")
+    table = slots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(1 << (SIEVE_BITS - 6), dtype=np.int64)
+    held[table["word"].to_numpy()] = table["bits"].to_numpy()
+    bitmap = keys.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def test(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy()
+        return pd.Series((bitmap.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda column: test(place(column))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,13 +33,14 @@ def make_docs(seed=0, n=60):
         out.append([2000 + i, out[i][1], "fr", "src1", 1])
     out += [[5000, None, None, None, None], [5001, "", "en", "src1", 0], [5002, " \n\t ", "en", "src1", 4], [5003, "word", "en", "src2", 4], [5004, "two words", "de", "src2", 9], [5005, "1234 ###", "en", "", 8]]
     out += [[5006, prose(60_000), "en", "src0", 1], [5007, "word", "en", "src2", 4], [5008, "\U0001f600 a b c 漢字 ¿Qué?", "es", "src3", 9], [7000, "twice the very same row\nand again the same row\nso it is", "en", "src1", 5], [7000, "twice the very same row\nand again the same row\nso it is", "en", "src1", 5]]
+    out += [[None, "a row without an id\n" + lines[0] + "\n" + lines[1] + "\n" + shared, "en", "src1", 5]]
     return [tuple(x) for x in out]
 
 
 def frame(spark, rows, extra=True):
     """The rows with columns whose names an operator might use itself."""
     df = spark.createDataFrame(rows, SCHEMA)
-    return df.selectExpr("*", "'x' AS row", "1 AS cls", "2 AS bucket", "'y' AS rank", "3 AS n_tokens") if extra else df
+    return df.selectExpr("*", "'x' AS row", "1 AS cls", "2 AS bucket", "'y' AS rank", "3 AS n_tokens", "4 AS Score", "'z' AS lang_pred", "5 AS __text", "6 AS n_lines", "7 AS n_removed", "8 AS gone", "9 AS _row", "'w' AS domain", "10 AS item_ids") if extra else df
 
 
 def held(doc_id, k):
@@ -71,9 +72,12 @@ def shingles(text, k):
 
 
 def near_copies(rows, k, percent):
+    """Roots and set sizes; a row without an id is no copy of another in these tables."""
+    rows, alone = [r for r in rows if r[0] is not None], [r for r in rows if r[0] is None]
     sets = [shingles(t, k) for _, t, *_ in rows]
     links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
-    return components({r[0] for r in rows}, links), {r[0]: len(s) for r, s in zip(rows, sets)}
+    roots = components({r[0] for r in rows}, links) | {r[0]: r[0] for r in alone}
+    return roots, {r[0]: len(s) for r, s in zip(rows, sets)} | {r[0]: len(shingles(r[1], k)) for r in alone}
 
 
 ITEM_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -101,21 +105,23 @@ def contamination(rows, items, window=10):
     return sorted(out, key=str)
 
 
-def line_dedup(rows, window=2):
+def line_dedup(rows, window=2, long=5):
     first, parsed = {}, []
     for d, t, *_ in rows:
         parts = (t or "").split("\n") if t is not None else []
-        full = [i for i, p in enumerate(parts) if p.strip(" \t\v\f\r")]
-        parsed.append((d, parts, full))
-        for s in range(len(full) - window + 1):
-            key = tuple(parts[i] for i in full[s : s + window])
-            first[key] = min(first.get(key, (d, s)), (d, s))
+        full = [i for i, p in enumerate(parts) if words(p)]
+        runs = [(s, tuple(parts[i] for i in full[s : s + window])) for s in range(len(full) - window + 1)]
+        runs += [(s, (parts[i],)) for s, i in enumerate(full) if len(words(parts[i])) >= long]
+        order = (d is not None, d)
+        parsed.append((order, parts, full, runs))
+        for s, key in runs:
+            first[key] = min(first.get(key, (order, s)), (order, s))
     out = []
-    for (d, parts, full), (_, t, *_) in zip(parsed, rows):
+    for (order, parts, full, runs), (d, t, *_) in zip(parsed, rows):
         gone = set()
-        for s in range(len(full) - window + 1):
-            if (d, s) > first[tuple(parts[i] for i in full[s : s + window])]:
-                gone |= set(full[s : s + window])
+        for s, key in runs:
+            if (order, s) > first[key]:
+                gone |= set(full[s : s + len(key)])
         out.append((d, None if t is None else "\n".join(p for i, p in enumerate(parts) if i not in gone), len(full), len(gone)))
     return sorted(out, key=str)
 
@@ -123,16 +129,16 @@ def line_dedup(rows, window=2):
 def substring_dedup(rows, window=13):
     first = {}
     for d, t, *_ in rows:
-        w = words(t)
+        w, order = words(t), (d is not None, d)
         for i in range(len(w) - window + 1):
             key = tuple(w[i : i + window])
-            first[key] = min(first.get(key, d), d)
+            first[key] = min(first.get(key, order), order)
     out = []
     for d, t, *_ in rows:
         w = words(t)
         gone = set()
         for i in range(len(w) - window + 1):
-            if first[tuple(w[i : i + window])] < d:
+            if first[tuple(w[i : i + window])] < (d is not None, d):
                 gone |= set(range(i, i + window))
         out.append((d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
     return sorted(out, key=str)

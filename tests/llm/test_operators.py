@@ -11,6 +11,7 @@ from kinlink.llm import components, decontaminate, language, line_dedup as lines
 from kinlink.llm.registry import tokenizer_path
 
 DOCS = make_docs()
+TWICE = next(t for d, t, *_ in DOCS if d == 7000)
 
 
 @pytest.fixture(scope="module")
@@ -53,10 +54,10 @@ def test_token_counts(docs, empty):
     path = tokenizer_path("byte_bpe_50k.json")
     special = docs.withColumn("text", F.when(F.col("doc_id") == 4, F.concat("text", F.lit(" a<|endoftext|>b  'stop don't\n\n  x　y ²½"))).otherwise(F.col("text")))
     texts = {(r.doc_id, r.text) for r in special.select("doc_id", "text").collect()}
-    expected = sorted([(d, len((t or "").encode()), len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids)) for d, t in texts] + [x for x in [(7000, len(DOCS[-1][1].encode()), len(Tokenizer.from_file(path).encode(DOCS[-1][1]).ids))]])
+    expected = sorted([(d, len((t or "").encode()), len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids)) for d, t in texts] + [x for x in [(7000, len(TWICE.encode()), len(Tokenizer.from_file(path).encode(TWICE).ids))]], key=str)
     for heavy in (0, 30, 100_000):
         out = token_counts.count_tokens(special, path, heavy=heavy).collect()
-        assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in out) == expected
+        assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in out), key=str) == expected
         assert all(r.over_limit == (r.n_tokens > 1024) for r in out)
     assert token_counts.count_tokens(empty, path).count() == 0
 
@@ -255,6 +256,7 @@ def test_mixing(spark, docs, empty):
     spent = {w: sum(r.n_tokens * r.n_copies for r in out if r.domain == w) for w in weights}
     assert sum(spent.values()) <= 3000
     assert {c for c in levels.columns if c not in ("n_tokens",)} <= set(out[0].asDict())
+    assert any(r.doc_id is None for r in mixing.mix(levels, tree, F.col("total"), max_epochs=1, seed=1).collect())
     assert mixing.mix(empty.withColumn("domain", F.lit("web")), tree, F.lit(10)).count() == 0
 
 
@@ -306,11 +308,37 @@ def test_line_dedup(docs, empty):
     out = lines.dedup_lines(docs).collect()
     assert sorted([(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out], key=str) == line_dedup(DOCS)
     assert sum(r.n_removed for r in out) > 20
-    assert {"row", "cls", "bucket", "rank"} <= set(out[0].asDict())
+    assert {"row", "cls", "bucket", "rank", "gone", "_row"} <= set(out[0].asDict())
+    alone = lines.dedup_lines(docs, long=10**6).collect()
+    assert sorted([(r.doc_id, r.text, r.n_lines, r.n_removed) for r in alone], key=str) == line_dedup(DOCS, long=10**6)
     assert sorted([(r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(docs, 3).collect()], key=str) == line_dedup(DOCS, 3)
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_single_lines_between_other_lines(spark):
+    """A long line goes wherever it recurs, with the short lines that recur beside it; a short one alone stays."""
+    long = "this licence line has more than five words"
+    rows = [(1, f"a b\n{long}\nc d", None, None, 0), (2, f"e f\n{long}\ng h", None, None, 0), (3, f"a b\ne f\n{long}\nc d\ni j", None, None, 0), (4, long, None, None, 0), (5, f"a b\ni j\n{long}\n{long}", None, None, 0)]
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert out == {1: (rows[0][1], 3, 0), 2: ("e f\ng h", 3, 1), 3: ("a b\ni j", 5, 3), 4: ("", 1, 1), 5: ("a b\ni j", 4, 2)}
+    assert [(d, t, n, g) for d, (t, n, g) in sorted(out.items())] == line_dedup(rows)
+
+
+def test_fewer_fingerprints_than_windows(docs):
+    from kinlink.llm import tokens
+
+    texts = [t for _, t, *_ in DOCS if t]
+    import numpy as np
+    import pyarrow as pa
+
+    data, offsets = tokens.text_buffer(pa.array(texts))
+    starts, ends, n, bounds = lines._lines(data, offsets)
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    line, offset, _ = lines._selected(tokens.span_hashes(data, starts, ends), n >= 10**6, doc, 4)
+    assert len(np.unique(line)) < 0.8 * len(line)
+    assert set(offset.tolist()) == {0, 1, 2, 3}
+
+
 # 10
 
 @pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (3, 4), (5, 1)])

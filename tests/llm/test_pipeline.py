@@ -23,7 +23,7 @@ def _stages(spark, docs, folder):
 
 
 def test_stages_equal_brute_force(spark):
-    docs = shared.stored(frame(spark, make_docs(3), extra=False))
+    docs = shared.stored(frame(spark, make_docs(3)))
     start, lang, lines, near, clean, mixed = _stages(spark, docs, SMALL)
     has_letter = lambda t: any(language.letters(t or ""))
     assert _rows(lang) == sorted([x for x in _rows(start) if has_letter(x[1])], key=str)
@@ -39,8 +39,12 @@ def test_stages_equal_brute_force(spark):
     kept = dict(_rows(clean))
     assert all(kept[d] == t for d, t in _rows(near) if not before[d])
     assert {r.doc_id for r in mixed.collect()} <= set(kept)
+    own = [c for c in docs.columns if c not in ("text", "lang", "n_chars")]
     for df in (lang, lines, near, clean):
         assert df.columns == docs.columns
+        assert sorted(map(str, df.select(own).exceptAll(docs.select(own)).collect())) == []
+    assert set(docs.columns) <= set(mixed.columns)
+    assert any(d is None for d, _ in _rows(clean))
 
 
 def test_run_on_the_small_table(spark):

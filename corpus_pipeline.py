@@ -1,7 +1,7 @@
 """The corpus pipeline: documents, stage by stage, to a mixed training set.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps; the last returns the chosen documents
-with their number of copies."""
+with their number of copies. Further columns of documents pass through, whatever their names."""
 
 from __future__ import annotations
 
@@ -49,13 +49,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if model is None:
         has_letter = F.udf(lambda text: bool(language.letters(text or "")), "boolean")
         return docs.where(has_letter(F.col("text").cast("string")))
-    said = language.identify(docs, model, keep=docs.columns).where("lang_pred <> 'und'")
-    return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    pred, score = shared.fresh(docs.columns, "lang_pred", "score")
+    said = language.identify(docs, model, keep=docs.columns, names=(pred, score)).where(F.col(pred) != "und")
+    return said.withColumn("lang", F.coalesce("lang", pred)).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go; so does a document of which nothing is left."""
-    cut = line_dedup.dedup_lines(docs).where(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))))
+    lines, removed = shared.fresh(docs.columns, "n_lines", "n_removed")
+    cut = line_dedup.dedup_lines(docs, counts=(lines, removed)).where(~((F.col(removed) > 0) & (F.col(removed) == F.col(lines))))
     return _counted(cut.select(docs.columns))
 
 
@@ -72,7 +74,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The chosen documents with domain, n_tokens and n_copies."""
+    """The chosen documents with domain, n_tokens and n_copies, which take the place of columns of these names."""
     docs = docs.withColumn("domain", domain(F.col("source")))
     return mixing.mix(docs, tree(docs), F.expr(BUDGET), MAX_EPOCHS, SEED)
 

@@ -3,11 +3,12 @@
 A chunk is a bounded run of documents of one input partition, as one compressed row. Chunks send sorted keys, six bytes
 each, to hash buckets; a bucket answers every chunk that wrote to it, in the order of what it sent; chunks and answers
 meet again by chunk. So corpus-wide counts and look-ups take a row for each chunk and bucket, not one for each token,
-and a hot key is one entry of each chunk. Buckets hold about as many keys at any input size, as their number follows
-spark.sql.shuffle.partitions.
+and a hot key is one entry of each chunk. The number of buckets follows the size of the input files, up to 2^20 (some
+2 TB of files), so that a bucket holds about as many keys at any size up to there.
 
-Chunks are made anew in each pass over the documents. Their id is a hash of their place and content; a pass that met
-other rows would leave answers without a chunk, which is an error, never a silent loss.
+Chunks are either stored once and read by each later pass, or made anew in each pass over the documents. In the latter
+case their id is a hash of their place and content; a pass that met other rows would leave answers without a chunk,
+which is an error, never a silent loss.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm import shared, tokens
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
 ROWS = "chunk long, bucket int, payload binary"
 LOW = np.uint64((1 << 48) - 1)
 _CODEC = "zstd"
@@ -68,7 +69,8 @@ def short(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bucket_bits(df: DataFrame) -> int:
-    return min(16, max(6, int(np.ceil(np.log2(2 * shared.partitions(df))))))
+    """One bucket for 2 MB of input files."""
+    return min(20, max(6, int(np.ceil(np.log2(max(1, shared.input_bytes(df)) / BUCKET_BYTES)))))
 
 
 class Chunk:
@@ -84,10 +86,9 @@ class Chunk:
         return Chunk(number, int(tag[0]), ids, np.concatenate([[0], np.cumsum(lengths)]), data)
 
 
-def chunks(batches, salt: int, base: int = 0, chunk_bytes: int = CHUNK_BYTES):
-    """Chunks of the rows (id long, tag int, text string) of a partition; those of a tag go together. `base`: partitions
-    that stand before the documents' own where they are read in a union."""
-    place = TaskContext.get().partitionId() - base
+def chunks(batches, salt: int = 0, chunk_bytes: int = CHUNK_BYTES):
+    """Chunks of the rows (id long, tag int, text string) of a partition; those of a tag go together."""
+    place = TaskContext.get().partitionId()
     held: dict[int, list] = {}
     size: dict[int, int] = {}
     number = 0
@@ -125,31 +126,57 @@ def source(docs: DataFrame, tag, id_col: str, text_col: str) -> DataFrame:
     return shared.steady(docs.select(F.col(id_col).cast("long").alias("id"), tag.cast("int").alias("tag"), F.col(text_col).cast("string").alias("text")))
 
 
-def ask(src: DataFrame, keys, salt: int = 0) -> DataFrame:
-    """keys(chunk) yields (bucket, payload): the rows that chunks send."""
+def store(docs: DataFrame, tag, id_col: str, text_col: str, salt: int) -> DataFrame:
+    """Chunks of docs as a stored table (chunk, payload). `salt` tells equal batches apart."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), tag.cast("int").alias("tag"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for chunk in chunks(batches, salt):
-            rows = list(keys(chunk))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk.id] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["chunk", "bucket", "payload"])
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk.id], pa.int64()), "payload": pa.array([chunk.payload()], pa.binary())})
+
+    return shared.stored(src.mapInArrow(run, "chunk long, payload binary"), "chunks")
+
+
+def _sent(chunk: Chunk, keys) -> pa.RecordBatch:
+    rows = list(keys(chunk))
+    return pa.RecordBatch.from_arrays([pa.array([chunk.id] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["chunk", "bucket", "payload"])
+
+
+def ask(src: DataFrame, keys) -> DataFrame:
+    """keys(chunk) yields (bucket, payload): the rows that chunks send."""
+
+    def run(batches):
+        for chunk in chunks(batches):
+            yield _sent(chunk, keys)
 
     return src.mapInArrow(run, ROWS)
 
 
-def gather(src: DataFrame, answers: DataFrame, fn, schema: str, salts: dict | None = None, tag: int | None = None) -> DataFrame:
+def ask_stored(table: DataFrame, keys) -> DataFrame:
+    """The same of stored chunks."""
+
+    def run(batches):
+        for batch in batches:
+            for number, raw in zip(batch.column(0), batch.column(1)):
+                yield _sent(Chunk.read(number.as_py(), raw.as_py()), keys)
+
+    return table.mapInArrow(run, ROWS)
+
+
+def gather(src: DataFrame, answers: DataFrame, fn, schema: str, tag: int | None = None) -> DataFrame:
     """fn(chunk, [(kind, bucket, payload)]) gives batches. `answers`: (chunk, kind, bucket, payload), kind >= 1."""
-    rows, base = None, 0
-    frames = salts or {0: src}
-    for salt, frame in frames.items():
-
-        def run(batches, salt=salt, base=base):
-            for chunk in chunks(batches, salt, base):
-                if tag is None or chunk.tag == tag:
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk.id], pa.int64()), "kind": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()), "payload": pa.array([chunk.payload()], pa.binary())})
-
-        own = frame.mapInArrow(run, "chunk long, kind int, bucket int, payload binary")
-        rows = own if rows is None else rows.union(own)
-        base += frame.rdd.getNumPartitions() if len(frames) > 1 else 0
+
+    def run(batches):
+        for chunk in chunks(batches):
+            if tag is None or chunk.tag == tag:
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk.id], pa.int64()), "payload": pa.array([chunk.payload()], pa.binary())})
+
+    return gather_stored(src.mapInArrow(run, "chunk long, payload binary"), answers, fn, schema)
+
+
+def gather_stored(table: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
+    """The same of stored chunks. Every chunk of `table` is met, with or without an answer."""
+    rows = table.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "payload")
 
     def each(key, held):
         if held["kind"][0] != 0 or held["kind"].count(0) != 1:

@@ -44,13 +44,16 @@ def whole_texts(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -98,6 +101,17 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files that df is read from, as the plan has it; no data is read."""
+    todo, total = [df._jdf.queryExecution().optimizedPlan()], 0
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        total += 0 if children else int(str(node.stats().sizeInBytes()))
+        todo += children
+    return total
+
+
 def steady(docs: DataFrame, name: str = "docs") -> DataFrame:
     """docs if it's read from files by projections and filters alone, so that every pass meets the same rows in the
     same partitions; else docs as a stored table."""

@@ -2,13 +2,15 @@
 
 A repeat is a window of 13 words that also starts in a document with a smaller id. Windows aren't indexed one by one:
 each selects the least hash among its 6-word grams (winnowing), so two equal windows select the same fingerprint, and
-fingerprints number about two in nine words.
+fingerprints number about two in nine words. (A run of all window hashes would take more room than the texts.)
 
-The index is a list of immutable runs in the shared folder, each sorted by fingerprint within hash buckets, with the
-chunk of documents every entry came from. A new batch is merge-joined with all runs, bucket by bucket: fingerprints met
-in two documents or more, history included, are told to the chunks that hold them. There the windows that selected
-them are compared by their own hashes over all words, in buckets again, which verifies them and finds each window's
-least document. The batch's entries become a new run; more than `fanout` runs are compacted to one.
+The index lives in the shared folder. It's a list of immutable runs, each a folder with one row a hash bucket that holds
+the bucket's fingerprints in sorted order, with the chunk of documents that each came from; and the chunks themselves,
+stored compressed. A new batch is merge-joined with all runs, bucket by bucket: fingerprints met in two documents or
+more, history included, are told to the chunks that hold them. Of history, only chunks that were told of a fingerprint
+are read again. There the windows that selected it are compared by their own hashes over all words, in buckets again,
+which verifies them and finds each window's least document. The batch's entries become a new run; more than `fanout`
+runs are compacted to one, and those that went into it are deleted. `save` writes a manifest, from which `reopen` goes on.
 
 Batches should come in order of doc_id: a decision on an earlier batch isn't taken back.
 
@@ -19,16 +21,18 @@ doc_id is less than any other; rows that repeat a doc_id count as the same docum
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm import exchange, shared, tokens
 
 WINDOW, GRAM = 13, 6
-FANOUT = 4
+#: Runs that stand side by side; batches and runs of the query, which compacts after its second and third batch.
+FANOUT, QUERY_BATCHES, QUERY_FANOUT = 4, 3, 1
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -223,30 +227,33 @@ def _remove(bits: int, window: int, gram: int, digest: bool):
 class Index:
     """Historical fingerprints and the documents they came from."""
 
-    def __init__(self, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
-        self.window, self.gram, self.fanout = window, gram, fanout
+    def __init__(self, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, bits: int | None = None):
+        self.window, self.gram, self.fanout, self.bits = window, gram, fanout, bits
         self.runs: list[DataFrame] = []
-        self.history: dict[int, DataFrame] = {}
-        self.bits: int | None = None
+        self.history: list[DataFrame] = []
 
     def add(self, docs: DataFrame, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The batch's documents: doc_id, n_words, n_removed, kept (the words left, joined by one blank, or with
         `digest` their SHA-256)."""
-        src, salt = exchange.source(docs, F.lit(0), id_col, text_col), len(self.history)
-        self.bits = self.bits or exchange.bucket_bits(src)
+        self.bits = self.bits or exchange.bucket_bits(docs)
         shape = (self.bits, self.window, self.gram)
-        rows = exchange.ask(src, _prints(*shape), salt).select(F.lit(TOLD).alias("kind"), "chunk", "bucket", "payload")
+        own = exchange.store(docs, F.lit(0), id_col, text_col, len(self.history))
+        rows = exchange.ask_stored(own, _prints(*shape)).select(F.lit(TOLD).alias("kind"), "chunk", "bucket", "payload")
         for run in self.runs:
             rows = rows.union(run)
-        merged = shared.stored(shared.grouped(rows, "bucket", ["kind", "chunk"], _merge, _MERGED), "merged")
-        told = merged.where(F.col("kind") != RUN)
-        every = {**self.history, salt: src}
-        windows = exchange.gather(src, told, _windows(*shape), "chunk long, kind int, bucket int, payload binary", every if self.history else {salt: src})
+        run, told = _written(shared.grouped(rows, "bucket", ["kind", "chunk"], _merge, _MERGED))
+        before = told.where(F.col("kind") == TOLD_BEFORE)
+        met = own
+        if self.history:
+            known = shared.sieve(before, "chunk")
+            for past in self.history:
+                met = met.union(past.where(known(F.col("chunk"))))
+        windows = exchange.gather_stored(met, told, _windows(*shape), "chunk long, kind int, bucket int, payload binary")
         earlier = shared.stored(shared.grouped(windows, "bucket", ["chunk"], _earlier, "chunk long, kind int, bucket int, payload binary"), "earlier")
         answers = told.where(F.col("kind") == TOLD).select("chunk", "kind", "bucket", "payload").union(earlier)
-        out = exchange.gather(src, answers, _remove(*shape, digest), OUT, {salt: src})
-        self.runs.append(merged.where(F.col("kind") == RUN))
-        self.history[salt] = src
+        out = exchange.gather_stored(own, answers, _remove(*shape, digest), OUT)
+        self.runs.append(run)
+        self.history.append(own)
         if len(self.runs) > self.fanout:
             self.compact()
         return out
@@ -255,13 +262,49 @@ class Index:
         rows = self.runs[0]
         for run in self.runs[1:]:
             rows = rows.union(run)
-        self.runs = [shared.stored(shared.grouped(rows, "bucket", [], _compact, _MERGED), "run")]
+        run, _ = _written(shared.grouped(rows, "bucket", [], _compact, _MERGED))
+        for old in self.runs:
+            shared.discard(old)
+        self.runs = [run]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the manifest. The folders that it names are never changed, only left behind by compaction: save again
+        after further batches."""
+        folders = lambda frames: [sorted({f.rsplit("/", 1)[0] for f in x.inputFiles()}) for x in frames]
+        state = {"window": self.window, "gram": self.gram, "fanout": self.fanout, "bits": self.bits, "runs": folders(self.runs), "history": folders(self.history)}
+        spark.createDataFrame([(json.dumps(state),)], "manifest string").coalesce(1).write.mode("overwrite").parquet(path)
 
-def dedup_in_batches(docs: DataFrame, batches: int = 2, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    @staticmethod
+    def reopen(spark: SparkSession, path: str) -> Index:
+        state = json.loads(spark.read.parquet(path).first().manifest)
+        index = Index(state["window"], state["gram"], state["fanout"], state["bits"])
+        index.runs = [_read(spark, x) for x in state["runs"]]
+        index.history = [spark.read.schema("chunk long, payload binary").parquet(*x) if x else spark.createDataFrame([], "chunk long, payload binary") for x in state["history"]]
+        return index
+
+
+_BUCKETS = "chunk long, bucket int, payload binary"
+
+
+def _read(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """A run, or an empty one where there's no folder."""
+    rows = spark.read.schema(_BUCKETS).parquet(*folders) if folders else spark.createDataFrame([], _BUCKETS)
+    return rows.select(F.lit(RUN).alias("kind"), "chunk", "bucket", "payload")
+
+
+def _written(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The run, as a folder of its own, and what chunks are told, from one pass."""
+    spark = merged.sparkSession
+    path = shared.place(spark, "run")
+    merged.write.partitionBy("kind").parquet(path)
+    every = spark.read.schema(f"{_BUCKETS}, kind int").parquet(path).select("kind", "chunk", "bucket", "payload")
+    return _read(spark, sorted({f.rsplit("/", 1)[0] for f in every.inputFiles() if f"/kind={RUN}/" in f})), every.where(F.col("kind") != RUN)
+
+
+def dedup_in_batches(docs: DataFrame, batches: int = QUERY_BATCHES, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", fanout: int = QUERY_FANOUT) -> DataFrame:
     """All documents through an index, in `batches` even ranges of doc_id (nulls first)."""
     low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    index, out = Index(), None
+    index, out = Index(fanout=fanout), None
     if low is None:
         return index.add(docs, digest, id_col, text_col)
     step = (high - low) // batches + 1

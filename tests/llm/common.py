@@ -1,5 +1,6 @@
 """Small tables with awkward rows, and brute-force versions of the operators."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -150,3 +151,46 @@ def counts(rows, k, out):
         if held(d, k) != out:
             c.update([*lower(t).split(), None])
     return c
+
+
+def shares(nodes, budget):
+    """{key: tokens} of nodes {key: (weight, capacity)}: close whoever holds no more than its part, until all hold more."""
+    out, open_ = {}, {k: x for k, x in nodes.items() if x[0] > 0}
+    while True:
+        weight = sum(w for w, _ in open_.values())
+        full = {k for k, (w, c) in open_.items() if c * weight <= w * budget}
+        if not full:
+            return out | {k: min(c, w * budget // weight) for k, (w, c) in open_.items()}
+        for k in full:
+            out[k] = open_[k][1]
+        budget -= sum(open_.pop(k)[1] for k in full)
+
+
+def mixed(rows, weights, budget_of, epochs, seed):
+    """Sorted (doc_id, copies) of rows (doc_id, (domain, lang, source), tokens). weights: {leaf: a weight a level}."""
+    tokens = Counter()
+    for _, leaf, n in rows:
+        tokens[leaf] += n
+    tokens = Counter({k: n for k, n in tokens.items() if n and k in weights and min(weights[k]) > 0})
+    budget = {(): min(epochs * sum(tokens.values()), budget_of(epochs * sum(tokens.values())))}
+    for depth in (1, 2, 3):
+        below = {}
+        for node, b in budget.items():
+            children = {}
+            for k, n in tokens.items():
+                if k[: depth - 1] == node:
+                    w, c = children.get(k[:depth], (0, 0))
+                    children[k[:depth]] = (max(w, weights[k][depth - 1]), c + epochs * n)
+            below |= shares(children, b)
+        budget = below
+    out = []
+    for leaf, n in tokens.items():
+        whole, part = divmod(budget[leaf], n)
+        own = sorted((hashlib.md5(f"{seed}:{whole}:{'null' if d is None else d}".encode()).hexdigest(), size, i) for i, (d, k, size) in enumerate(rows) if k == leaf)
+        upto = 0
+        for _, size, i in own:
+            upto += size
+            copies = whole + (upto <= part)
+            if copies:
+                out.append((rows[i][0], copies))
+    return sorted(out, key=str)

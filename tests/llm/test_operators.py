@@ -4,7 +4,7 @@ import hashlib
 import math
 
 import pytest
-from common import SCHEMA, contamination, counts, frame, held, line_dedup, lower, make_docs, near_copies, substring_dedup, words
+from common import ITEM_WORD, SCHEMA, contamination, counts, frame, held, line_dedup, lower, make_docs, near_copies, substring_dedup, words
 from pyspark.sql import functions as F
 
 from kinlink.llm import components, decontaminate, language, line_dedup as lines, lm_score, mixing, near_dedup, substring_dedup as substrings, token_counts, url_filter, vector_dedup
@@ -39,6 +39,50 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, model).count() == 0
 
 
+def test_language_equals_a_plain_version(docs):
+    """Counters of words and n-grams of the learning rows, all of them."""
+    import unicodedata
+    from collections import Counter
+
+    words_of = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+    grams_of = lambda w, n: [w] if n == 0 else list(w) if n == 1 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    count, total = Counter(), Counter()
+    for d, t, lang, *_ in DOCS:
+        if t is not None and lang is not None and held(d, 4) != 2:
+            for w in words_of(t):
+                for n in (0, 5, 4, 3, 2, 1):
+                    for g in grams_of(w, n):
+                        count[n, g, lang] += 1
+                        total[n, lang] += 1
+    langs = sorted({x for _, _, x in count})
+    known = {(n, g) for n, g, _ in count}
+
+    def scores(w):
+        for n in (0, 5, 4, 3, 2, 1):
+            own = [g for g in grams_of(w, n) if (n, g) in known]
+            if own:
+                return [sum(max(-7.0, math.log10(count[n, g, x] / total[n, x])) if count[n, g, x] else -7.0 for g in own) / len(own) for x in langs]
+        return [-7.0] * len(langs)
+
+    model = language.fit(docs.where(language.fold(F.col("doc_id"), 4) != 2))
+    texts = {d: t for d, t, *_ in DOCS}
+    for r in language.identify(docs, model).collect():
+        ws = words_of(texts[r.doc_id])
+        if not ws:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        mean = [sum(x) / len(ws) * math.log(10) for x in zip(*map(scores, ws))]
+        share = [1 / sum(math.exp(y - x) for y in mean) for x in mean]
+        assert r.score == pytest.approx(max(share), abs=1e-4)
+        assert share[langs.index(r.lang_pred)] == pytest.approx(max(share), abs=1e-4)
+
+
+def test_language_of_many_labels(spark):
+    rows = [(i, f"word{i % 3} text of label", f"label{i % 40}") for i in range(400)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=5)
+    assert model.langs == ["label0", "label1", "label10", "label11", "label12"]
+
+
 def test_language_is_right_on_held_out_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rest = language.fold(F.col("doc_id"), 4)
@@ -139,6 +183,37 @@ def test_lm_probabilities_sum_to_one_and_beat_the_base(spark):
     assert by_order[3].s > by_order[2].s > 0.9 * by_order[2].b
 
 
+def test_em_equals_a_plain_version():
+    """Deleted interpolation token by token: the weights of three estimates by context bucket."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    rows = [(r.choice([1, 4, 4, 9]), r.choice([0.0, 0.5, 0.02]), r.choice([0.1, 0.003])) for _ in range(300)]
+    uniform = 1 / 501
+
+    def em(own, start, prior):
+        w = list(start)
+        for _ in range(60):
+            sums = [10 * p for p in prior]
+            for _, two, one in own:
+                parts = [w[0] * two, w[1] * one, w[2] * uniform]
+                for k in range(3):
+                    sums[k] += parts[k] / sum(parts)
+            w = [max(s / sum(sums), 1e-4) for s in sums]
+            w = [x / sum(w) for x in w]
+        return w
+
+    everything = em(rows, [1 / 3] * 3, [1 / 3] * 3)
+    # Each token is a cell of its own: the steps only tell cells apart.
+    cells = [((b * 161 + i % 161) * 161 + i // 161, 1, two, one) for i, (b, two, one) in enumerate(rows)]
+    learned = lm_score.learn(cells, uniform)
+    for b in (1, 4, 9):
+        assert np.allclose(learned[b], em([x for x in rows if x[0] == b], everything, everything), rtol=1e-9)
+    assert np.allclose(learned[7], everything)
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_counts_equal_plain_ones(monkeypatch, docs, order):
     """Scores under fixed weights against counters of tuples."""
@@ -186,17 +261,63 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def _plain_judgement(url, weights):
+    """Host, path, rule, verdict and score, character by character."""
+    import zlib
+
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url[url.index("://") + 3 :]
+        end = min([rest.index(c) for c in "/?#" if c in rest] + [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end])
+        path = rest[end : min([rest.index(c, end) for c in "?#" if c in rest[end:]] + [len(rest)])]
+    rule = verdict = None
+    for h, p, v in [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]:
+        labels = host.split(".")
+        if h in [".".join(labels[i:]) for i in range(len(labels))] and path[: len(p)] == p and len(h + p) > len(rule or ""):
+            rule, verdict = h + p, v
+    grams = set()
+    for tag, text in (("h", host), ("p", path)):
+        folded, digit = "<", False
+        for c in text + ">":
+            if "0" <= c <= "9":
+                folded += "" if digit else "0"
+            else:
+                folded += c
+            digit = "0" <= c <= "9"
+        for n in (3, 4, 5):
+            grams |= {zlib.crc32((tag + folded[i : i + n]).encode()) % 2**18 for i in range(len(folded) - n + 1)} or {zlib.crc32((tag + folded).encode()) % 2**18}
+    score = 1 / (1 + math.exp(-(sum(weights[i] for i in grams) / math.sqrt(len(grams)) + weights[-1])))
+    return host, path, rule, verdict or ("block" if score >= 0.5 else "allow"), score
+
+
+def test_url_filter_equals_a_plain_version(spark):
+    weights = url_filter.train()
+    urls = ["https://WWW.Example.COM/en/1?x#y", "http://a.b.net/fr/x", "http://net/es/1", "http://xnet/es/1", "x://h?a/en/", "x://h#a/en/", "://", "a://b://c/d", "", None, "HTTP://É.Example.org/ñ/12", "http://example.com", "http://com/", "http://casino.example.org/77", "plain text", "http://h/\nline"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, "http://n.example.net/fr/2")], "page_id long, url string").unionByName(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").selectExpr("page_id + 1000 AS page_id", "url"))
+    given = {r.page_id: r.url for r in pages.collect()}
+    out = url_filter.judge(pages).collect()
+    assert len(out) == len(given) == pages.count()
+    for r in out:
+        host, path, rule, verdict, score = _plain_judgement(given[r.page_id], weights)
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict), given[r.page_id]
+        assert r.score == pytest.approx(score, rel=1e-9)
+    assert {r.verdict for r in out if r.rule is None} == {"allow", "block"}
+
+
 def test_url_model_on_held_out_rows():
+    """Rows left out, whose word stands in other rows. (Words that the table lacks are mostly allowed: README has figures.)"""
     import numpy as np
 
-    rows = url_filter.LABELLED
-    right = 0
+    rows = url_filter.labelled_urls()
+    right = {0: [], 1: []}
     for part in range(4):
         w = url_filter.train([r for i, r in enumerate(rows) if i % 4 != part])
         for u, y in rows[part::4]:
             at = url_filter.features(*url_filter._split(u))
-            right += (w[at].sum() / np.sqrt(len(at)) + w[-1] > 0) == bool(y)
-    assert right >= 0.9 * len(rows)
+            right[y].append((w[at].sum() / np.sqrt(len(at)) + w[-1] > 0) == bool(y))
+    assert sum(right[1]) >= 0.7 * len(right[1])
+    assert sum(right[0]) >= 0.95 * len(right[0])
 
 
 # 6
@@ -216,18 +337,50 @@ def test_contamination(spark, docs, empty):
     assert decontaminate.contamination(decontaminate.build_index(docs), items.where("false")).where("contaminated").count() == 0
 
 
-def test_contamination_block_by_block(spark, docs):
+def test_contamination_block_by_block(monkeypatch, spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    index = decontaminate.build_index(docs)
-    assert len(decontaminate.blocks(items, block_bytes=100)) > 1
-    kept, size = decontaminate.blocks, decontaminate.BLOCK_BYTES
-    decontaminate.blocks = lambda b, w=10, **k: kept(b, w, block_bytes=100, **k)
-    try:
-        out = decontaminate.contamination(index, items).collect()
-    finally:
-        decontaminate.blocks = kept
-    assert size == decontaminate.BLOCK_BYTES
+    index = decontaminate.build_index(docs, shard_bytes=2000)
+    whole = sorted(map(str, decontaminate.matches(index, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    assert next(iter(decontaminate.blocks(items)))[1] > 1
+    out = decontaminate.contamination(index, items).collect()
     assert sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r.item_ids)) for r in out], key=str) == contamination(DOCS, ITEMS)
+    assert sorted(map(str, decontaminate.matches(index, items).collect())) == whole
+    cut = decontaminate.decontaminate(docs, items)
+    assert cut.columns == docs.columns
+    before = {d: h for d, _, h, _, _ in contamination(DOCS, ITEMS)}
+    texts = {d: t for d, t, *_ in DOCS}
+    assert all((r.text == texts[r.doc_id]) == (before[r.doc_id] == 0) for r in cut.collect())
+
+
+def test_proximity_equals_brute_force(spark, docs):
+    """A proximity match: an occurrence of the window's rarest term (in its shard; here the table is one shard) with every
+    other term of the window in the same document, window + slop - 1 words away at most; exact matches apart."""
+    from collections import Counter
+
+    words_of = {}
+    for i, (d, t, *_) in enumerate(DOCS):
+        words_of[i] = (d, ITEM_WORD.findall(lower(t)))
+    count = Counter(w for _, ws in words_of.values() for w in ws)
+    window, slop = 4, 3
+    item = next(w for _, w in words_of.values() if len(w) > 30)[2:10]
+    shuffled = [item[i] for i in (1, 0, 2, 4, 3, 5, 7, 6)]
+    expected = Counter()
+    for s in range(len(shuffled) - window + 1):
+        own = shuffled[s : s + window]
+        rare = min(range(window), key=lambda i: (count[own[i]], i))
+        for d, ws in words_of.values():
+            for at, w in enumerate(ws):
+                if w != own[rare]:
+                    continue
+                if at >= rare and ws[at - rare : at - rare + window] == own:
+                    expected[d, s, at - rare, "exact"] += 1
+                elif all(x in ws[max(0, at - window - slop + 1) : at + window + slop] for x in own):
+                    expected[d, s, at, "proximity"] += 1
+    items = spark.createDataFrame([(1, b" ".join(shuffled).decode())], "item_id long, text string")
+    found = decontaminate.matches(decontaminate.build_index(docs.coalesce(1), shard_bytes=1 << 30), items, window, slop).collect()
+    assert Counter((r.doc_id, r.item_start, r.doc_start, r.kind) for r in found) == expected
+    assert {k[3] for k in expected} == {"proximity"} or len(expected) > 1
 
 
 def test_matches_and_cut(spark):

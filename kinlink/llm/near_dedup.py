@@ -5,10 +5,14 @@
 2. Bands of 8 signature places each put classes into buckets; their number follows from the threshold and the chosen
    miss probability. In a bucket everyone is tied to its least class only, and ties are closed into candidate groups,
    so a bucket of n classes makes n - 1 rows, never its pairs.
-3. Candidate groups are cut into blocks of bounded size, and each pair of blocks is compared in memory: a pair that
-   shares a band is compared signature batch by signature batch, and dropped once the posterior probability that its
-   similarity reaches the threshold (uniform prior) is under `miss`. Survivors are verified on their full sets. A block
-   pair returns links that span what it found, not all of them.
+3. Candidate groups are cut into blocks of bounded size and compared in memory: a pair that shares a band is compared
+   signature batch by signature batch, and dropped once the posterior probability that its similarity reaches the
+   threshold (uniform prior) is under `miss`. Survivors are verified on their full sets. A comparison returns links that
+   span what it found, not all of them, and skips pairs that are in one component already.
+   A group of several blocks isn't compared block by block at once. First each block is compared within itself, then
+   with the group's PIVOTS, those classes that have the most near ones in their own blocks. Of a group of copies of one
+   text this leaves one large component and little else. Only the rest is then compared with all of the group, so the
+   work grows with the size of the group times that of the rest, not with its square, unless a group falls apart.
 4. Links are closed into components.
 
 Shingles are compared by 64-bit hashes. Defined cases: a null text or one without words has an empty set, which links
@@ -22,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlink.llm import shared, tokens
@@ -30,8 +34,8 @@ from kinlink.llm.components import components
 
 PLACES, BAND, BATCH = 128, 8, 16
 MISS = 1e-7
-#: Classes of a candidate group that meet in one block.
-BLOCK = 256
+#: Classes of a candidate group that meet in one block, and of a large group that all its blocks are compared with.
+BLOCK, PIVOTS = 256, 8
 
 _draw = np.random.Generator(np.random.PCG64(20240501))
 _XOR = _draw.integers(0, 1 << 32, PLACES, dtype=np.uint32)
@@ -134,7 +138,9 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def _links(percent: int, places: np.ndarray):
+def _links(percent: int, places: np.ndarray, pivot: bool = False):
+    """Links between the sides of a block, or within its only side; classes of one root are linked already. With
+    `pivot`, also a row (class, null, how many of the block look near it) for the most central class."""
     floors = least_matches(percent / 100)
 
     def fn(key, rows):
@@ -144,7 +150,9 @@ def _links(percent: int, places: np.ndarray):
         sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"]]
         sizes = np.array([len(x) for x in sets])
         bands = band_hashes(signs, places)
-        root = list(range(len(ids)))
+        _, group = np.unique(np.array(rows["root"], dtype=np.int64), return_inverse=True)
+        _, first = np.unique(group, return_index=True)
+        root = first[group].tolist()
 
         def find(x):
             while root[x] != x:
@@ -152,11 +160,12 @@ def _links(percent: int, places: np.ndarray):
                 x = root[x]
             return x
 
-        found = []
+        found, near = [], np.zeros(len(ids), np.int64)
         own = sides.max() == 0
         right = np.arange(len(ids)) if own else np.flatnonzero(sides == 1)
         for i in np.arange(len(ids)) if own else np.flatnonzero(sides == 0):
             to = right[right > i] if own else right
+            to = to[group[to] != group[i]]
             lo, hi = np.minimum(sizes[to], sizes[i]), np.maximum(sizes[to], sizes[i])
             to = to[100 * lo >= percent * hi]
             if not len(to):
@@ -169,6 +178,9 @@ def _links(percent: int, places: np.ndarray):
                 at = slice(b * BATCH, (b + 1) * BATCH)
                 same += (signs[to, at] == signs[i, at]).sum(axis=1)
                 to, same = to[same >= floor], same[same >= floor]
+            close = to[100 * same >= percent * PLACES]
+            near[i] += len(close)
+            near[close] += 1
             for j in to.tolist():
                 x, y = find(i), find(j)
                 if x == y:
@@ -176,14 +188,60 @@ def _links(percent: int, places: np.ndarray):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                     root[x] = y
-                    found.append((ids[i], ids[j]))
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+                    found.append((ids[i], ids[j], 0))
+        if pivot:
+            best = int(near.argmax())
+            found.append((ids[best], None, near[best]))
+        a, b, n = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "near": pa.array(n, pa.int64())})
 
     return fn
 
 
-def links(docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+_FOUND = "a long, b long, near long"
+
+
+def _compared(dealt: DataFrame, percent: int, places: np.ndarray, pivot: bool = False, name: str = "links") -> DataFrame:
+    """Stored links of the blocks of dealt (block, side, cls, root, sign, shingles)."""
+    return shared.stored(shared.grouped(dealt, "block", ["side", "cls"], _links(percent, places, pivot), _FOUND), name)
+
+
+def _across(full: DataFrame, percent: int, places: np.ndarray, block: int) -> DataFrame:
+    """(a, b): links of the groups of more than one block. full: cls, sign, grp, parts, shingles; stored."""
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    full = full.withColumn("part", part)
+    row = ["cls", "sign", "shingles"]
+    own = _compared(full.select(F.xxhash64("grp", "part").alias("block"), F.lit(0).alias("side"), F.col("cls").alias("root"), *row), percent, places, True)
+    best = own.where("b is null").select(F.col("a").alias("cls"), "near").join(full.select("cls", "grp"), "cls")
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("near"), "cls"))).where(F.col("place") <= PIVOTS)
+    pivots = full.join(shared.stored(best.select("cls"), "pivots"), "cls").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    near = own.where("b is not null").select("a", "b")
+    roots = shared.stored(components(near), "roots")
+    rooted = lambda df: df.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    dealt = rooted(full).select(F.xxhash64("grp", "part").alias("block"), F.lit(0).alias("side"), "root", *row)
+    dealt = dealt.union(rooted(pivots).select(F.xxhash64("grp", "to").alias("block"), F.lit(1).alias("side"), "root", *row))
+    near = shared.stored(near.union(_compared(dealt, percent, places).select("a", "b")), "links")
+    # The rest: all but the largest component of each group.
+    roots = shared.stored(components(near), "roots")
+    sizes = shared.stored(rooted(full.select("cls", "grp")).groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    most = sizes.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("held"), F.sum("n").alias("n")).where("n > held")
+    parts = lambda n: F.ceil(n / block).cast("int")
+    most = shared.stored(most.select("grp", "most", parts(F.col("n") - F.col("held")).alias("few"), parts(F.col("held")).alias("many")), "most")
+    left = rooted(full.drop("part", "parts")).join(most, "grp").withColumn("rest", F.col("root") != F.col("most"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = left.where("rest").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("few")).cast("int"))
+    among = rest.withColumn("other", every("few"))
+    i, j = F.least("part", "other"), F.greatest("part", "other")
+    dealt = among.select(F.xxhash64("grp", F.lit("rest"), i, j).alias("block"), F.when(F.col("part") == i, 0).otherwise(1).alias("side"), "root", *row)
+    dealt = dealt.union(rest.withColumn("other", every("many")).select(F.xxhash64("grp", F.lit("most"), "part", "other").alias("block"), F.lit(0).alias("side"), "root", *row))
+    large = left.where("not rest").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("many")).cast("int")).withColumn("other", every("few"))
+    dealt = dealt.union(large.select(F.xxhash64("grp", F.lit("most"), "other", "part").alias("block"), F.lit(1).alias("side"), "root", *row))
+    return near.union(_compared(dealt, percent, places).select("a", "b"))
+
+
+def links(docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str, text_col: str, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes (cls, rep: least doc_id, n, sign) and verified links (a, b) between them, which span the components."""
+    block = block or BLOCK
     classes = sketch.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
     classes = shared.stored(classes, "classes")
     places = band_places(percent / 100)
@@ -201,22 +259,27 @@ def links(docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str,
         for batch in batches:
             keep, out = [], []
             cls = batch.column(0).to_pylist()
-            for i, s in enumerate(shingle_sets(batch.column(5), k)):
+            for i, s in enumerate(shingle_sets(batch.column(4), k)):
                 if class_key(s) == cls[i]:
                     keep.append(i)
                     out.append(s.tobytes())
             rest = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns[:5], pa.array(out, pa.binary())], names=["cls", "rep", "sign", "grp", "parts", "shingles"])
+            yield pa.RecordBatch.from_arrays([*rest.columns[:4], pa.array(out, pa.binary())], names=["cls", "sign", "grp", "parts", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    full = members.join(texts, F.coalesce(members["rep"], F.lit(-1)) == F.coalesce(texts["rep"], F.lit(-1))).select("cls", members["rep"], "sign", "grp", "parts", "text").mapInArrow(sets, "cls long, rep long, sign binary, grp long, parts int, shingles binary")
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = full.withColumn("part", part).withColumn("other", other)
-    i, j = F.least("part", "other"), F.greatest("part", "other")
-    dealt = dealt.select(F.xxhash64("grp", i, j).alias("block"), F.when(F.col("part") == i, 0).otherwise(1).alias("side"), "cls", "sign", "shingles")
-    found = shared.grouped(dealt, "block", ["side", "cls"], _links(percent, places), "a long, b long")
-    return classes, shared.stored(found, "links")
+    known = lambda x: F.coalesce(x["rep"], F.lit(-1))
+
+    def with_sets(some):
+        # A repeated id may stand for several texts and rows: one that has the class's set is enough.
+        found = some.join(texts, known(some) == known(texts)).select("cls", "sign", "grp", "parts", "text")
+        return found.mapInArrow(sets, "cls long, sign binary, grp long, parts int, shingles binary")
+
+    few = with_sets(members.where("parts = 1")).select(F.col("grp").alias("block"), F.lit(0).alias("side"), F.col("cls").alias("root"), "cls", "sign", "shingles")
+    pairs = _compared(few, percent, places).select("a", "b")
+    if sizes.limit(1).count():
+        many = with_sets(members.where("parts > 1")).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("sign", "grp", "parts", "shingles")))
+        pairs = pairs.union(_across(shared.stored(many, "sets"), percent, places, block))
+    return classes, shared.stored(pairs, "links")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,6 +298,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those whose near copy with the least doc_id stays."""
-    gone = near_groups(docs, k, percent).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs without those whose near copy with the least doc_id stays. Only documents that may go are shuffled."""
+    (maybe,) = shared.fresh(docs.columns, "maybe")
+    gone = shared.stored(near_groups(docs, k, percent).where("not kept").select("doc_id"), "gone")
+    marked = docs.withColumn(maybe, F.coalesce(shared.sieve(gone, "doc_id")(F.col("doc_id").cast("long")), F.lit(False)))
+    left = marked.where(F.col(maybe)).join(gone, "doc_id", "left_anti").select(docs.columns)
+    return marked.where(~F.col(maybe)).select(docs.columns).unionByName(left)

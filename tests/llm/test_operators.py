@@ -123,7 +123,7 @@ def test_pre_tokens_are_the_library_s(spark):
 
 @pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 512), (5, 80, 512), (3, 85, 2)])
 def test_near_dedup(monkeypatch, docs, empty, k, percent, block):
-    monkeypatch.setattr(near_dedup.links, "__defaults__", (block,))
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     roots, sizes = near_copies(DOCS, k, percent)
     out = near_dedup.near_groups(docs, k, percent).collect()
     assert len(out) == len(DOCS)

@@ -122,3 +122,36 @@ def test_norms_of_any_size(spark):
 
 def test_fresh_names():
     assert shared.fresh(["Score", "_score", "x"], "score", "lang", "Lang") == ["__score", "lang", "_Lang"]
+
+
+def test_groups_larger_than_blocks(spark, monkeypatch):
+    """Copies of one text that are linked through it alone, a chain, and a loose cloud, in blocks of 16."""
+    import random
+
+    from common import near_copies
+
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(500)]
+    base = [r.choice(vocab) for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):
+        w = list(base)
+        for at in r.sample(range(len(w)), 2):
+            w[at] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    w = [r.choice(vocab) for _ in range(120)]
+    for i in range(100, 160):  # each is near the one before, the last far from the first
+        w[(i * 2) % 120] = f"step{i}"
+        rows.append((i, " ".join(w)))
+    cloud = [r.choice(vocab) for _ in range(100)]
+    for i in range(200, 260):
+        w = list(cloud)
+        for at in r.sample(range(len(w)), r.randint(2, 6)):
+            w[at] = f"odd{i}x{at}"
+        rows.append((i, " ".join(w)))
+    r.shuffle(rows)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    out = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    roots, _ = near_copies(rows, 3, 85)
+    assert {x.doc_id: x.component_id for x in out} == roots
+    assert len({roots[i] for i in range(90)}) < len({roots[i] for i in range(200, 260)})

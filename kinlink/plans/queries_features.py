@@ -244,18 +244,19 @@ def freq_features(v: Views):
     return _round(X.frequency_features(v.record_pairs(), s, q), "s_name_rate", "s_name_cnt", "s_addr_cnt", "q_name_rate", "q_name_cnt", "q_addr_cnt")
 
 
-# Token statistics: documents as differences, quality as truth
+# Token statistics: documents as differences (the words of the first half of a text, and those of the second), quality as truth
 
 _LEX = """
-d AS (SELECT doc_id, quality AS y, regexp_extract_all(lower(text[1:120]), '[a-z]+') AS t FROM documents JOIN labels USING (doc_id)),
-e AS (SELECT doc_id, y, 'extra' AS kind, unnest(list_distinct(t[1:8])) AS token FROM d UNION ALL SELECT doc_id, y, 'missing', unnest(list_distinct(t[9:14])) FROM d), c AS (SELECT kind, token, sum(y) AS p, sum(1 - y) AS n FROM e GROUP BY ALL), w AS (SELECT kind, sum(p) + 1 AS tp, sum(n) + 1 AS tn FROM c GROUP BY 1),
+d AS (SELECT doc_id, quality AS y, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents JOIN labels USING (doc_id)),
+e AS (SELECT doc_id, y, 'extra' AS kind, unnest(list_distinct(t[1:len(t) // 2])) AS token FROM d UNION ALL SELECT doc_id, y, 'missing', unnest(list_distinct(t[len(t) // 2 + 1:])) FROM d), c AS (SELECT kind, token, sum(y) AS p, sum(1 - y) AS n FROM e GROUP BY ALL), w AS (SELECT kind, sum(p) + 1 AS tp, sum(n) + 1 AS tn FROM c GROUP BY 1),
 lex AS (SELECT kind, token, ln((p + 1) / (n + 1)) - ln(tp / tn) AS value FROM c JOIN w USING (kind) WHERE p + n >= 5)"""
 
 
 def _differences(v: Views) -> DataFrame:
-    t = F.regexp_extract_all(F.lower(F.substring("text", 1, 120)), F.lit("([a-z]+)"))
+    t = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))
     d = v.table("documents").join(v.table("labels"), "doc_id").withColumn("t", t)
-    return d.select(F.col("doc_id").alias("s1"), F.lit("q").alias("q"), F.col("quality").cast("int").alias("y"), F.col("lang").alias("country"), F.array_distinct(F.slice("t", 1, 8)).alias("extra"), F.array_distinct(F.slice("t", 9, 6)).alias("miss"))
+    half = F.floor(F.size("t") / 2).cast("int")
+    return d.select(F.col("doc_id").alias("s1"), F.lit("q").alias("q"), F.col("quality").cast("int").alias("y"), F.col("lang").alias("country"), F.array_distinct(F.slice("t", F.lit(1), half)).alias("extra"), F.array_distinct(F.slice("t", half + 1, F.size("t"))).alias("miss"))
 
 
 @query(f"WITH {_LEX.strip()} SELECT kind, token, round(value, 6) AS value FROM lex")
@@ -279,11 +280,15 @@ def lexicon_oof(v: Views):
     return X.out_of_fold_lexicon(_differences(v))
 
 
-@query()
+@query(f"""
+WITH {_LEX.strip()}, e2 AS (SELECT kind, token, CAST((doc_id * 37) % 100 >= 97 AS INT) AS y FROM e WHERE (doc_id * 37) % 100 >= 97 OR (doc_id * 37) % 100 <= 3),
+c2 AS (SELECT kind, token, sum(y) AS p, sum(1 - y) AS n FROM e2 GROUP BY ALL), w2 AS (SELECT kind, sum(p) + 1 AS tp, sum(n) + 1 AS tn FROM c2 GROUP BY 1), own AS (SELECT kind, token, ln((p + 1) / (n + 1)) - ln(tp / tn) AS own FROM c2 JOIN w2 USING (kind) WHERE p + n >= 10)
+SELECT kind, replace(replace(token, 'rn', 'm'), 'ln', 'in') AS token, round(avg(coalesce(value, own)), 6) AS value FROM lex FULL JOIN own USING (kind, token) GROUP BY 1, 2
+""")
 def lexicon_selftrain(v: Views):
     d = _differences(v)
     p = ((F.col("s1") * 37) % 100) / 100.0
-    return X.refold_lexicon(X.self_trained_lexicon(d.withColumn("p", p), X.learn_lexicon(d)))
+    return _round(X.refold_lexicon(X.self_trained_lexicon(d.withColumn("p", p), X.learn_lexicon(d))), "value")
 
 
 _VOCAB = """

@@ -168,7 +168,7 @@ def recall_by_k(v: Views):
     return B.recall_by_cut(B.top_k(B.scored(*v.name_docs(), *v.members()), 10), v.record_truth(), [1, 3, 10])
 
 
-# Normalisation: fixture addresses and names, each row of the table repeated for a few keys
+# Normalisation: the records' addresses and names, after a few written ones that meet every rule
 
 ADDRESSES = [
     ("12 Main Street, Springfield, IL", "US"), ("e-4/39, Andheri East, Bombay, Maharashtra", "India"), ("plot no-176, Sector 5, Gurugram, HR", "India"), ("3 bis rue de la Paix, Nantes, Loire-Atlantique", "France"),
@@ -180,42 +180,52 @@ NAMES = [
     "The O'Neil Group l l c", "Société Générale SA", "Widget+Co dba Gadgets", "Smith 1234567 Corp", "lncorporated Foods Corparation",
 ]
 _VALUES = ", ".join("('{}', '{}')".format(a.replace("'", "''"), c) for a, c in ADDRESSES)
-_PLACES = f"(SELECT CAST(row_number() OVER () AS INT) AS id, a, c FROM (VALUES {_VALUES}) t(a, c))"
+_PLACES = f"(SELECT -row_number() OVER () AS id, a, c FROM (VALUES {_VALUES}) t(a, c) UNION ALL SELECT doc_id, coalesce(business_address, ''), country FROM records)"
 
 
 def _fixture(v: Views, rows: list, schema: str) -> DataFrame:
-    return v.spark.createDataFrame([(i + 1, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], schema)
+    """The rows with ids -1, -2 and so on."""
+    return v.spark.createDataFrame([(-i - 1, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], schema)
+
+
+def _places(v: Views) -> DataFrame:
+    """(id, a, c): written addresses with their country, and all records'."""
+    own = v.records().select(F.col("doc_id").alias("id"), F.coalesce("business_address", F.lit("")).alias("a"), F.col("country").alias("c"))
+    return _fixture(v, ADDRESSES, "id long, a string, c string").unionByName(own)
 
 
 def _addresses(v: Views) -> DataFrame:
-    return A.parse_addresses(_fixture(v, ADDRESSES, "id int, business_address string, country string"))
+    return A.parse_addresses(_places(v), "a", "c")
 
 
+_FOLD = "strip_accents(lower({}))"
+for _x, _y in X._SPELT.items():
+    _FOLD = f"replace({_FOLD}, '{_x}', '{_y}')"
 _PARTS = "list_filter(list_transform(string_split(a, ','), lambda c: trim(c)), lambda c: c <> '' AND lower(c) NOT IN ('null', '<null>', 'n/a', 'na', 'none', 'nan', '-'))"
 _STATE_VALUES = ", ".join(f"('{k.split('|')[0]}', '{k.split('|', 1)[1]}', '{s}')" for k, s in K.states().items())
 _PARSED = f"""
 WITH f AS (SELECT *, {_PARTS} AS parts FROM {_PLACES}), m(country, key, state) AS (VALUES {_STATE_VALUES}),
-x AS (SELECT id, c, i, trim(strip_accents(lower(p)), ' .') AS key, strip_accents(lower(p)) AS p FROM (SELECT id, c, unnest(parts) AS p, unnest(range(1, len(parts) + 1)) AS i FROM f)),
+x AS (SELECT id, c, i, trim({_FOLD.format('p')}, ' .') AS key, {_FOLD.format('p')} AS p FROM (SELECT id, c, unnest(parts) AS p, unnest(range(1, len(parts) + 1)) AS i FROM f)),
 y AS (SELECT x.*, coalesce(m.state, CASE WHEN length(x.key) > 3 THEN (SELECT max(state) FROM m WHERE m.key = x.key) END) AS state FROM x LEFT JOIN m ON m.country = x.c AND m.key = x.key),
 z AS (SELECT *, max(CASE WHEN state IS NOT NULL THEN i ELSE 0 END) OVER (PARTITION BY id) AS pos FROM y),
 rest AS (SELECT id, i, regexp_replace(p, '\\b1\\s*/\\s*2\\b', ' ', 'g') AS p FROM z WHERE i <> pos)"""
 
 
-@query(_PARSED + " SELECT f.id, coalesce((SELECT max(state) FROM z WHERE z.id = f.id AND z.i = z.pos), '') AS state, CAST(len(parts) = 0 AS INT) AS addr_empty, CAST(coalesce((SELECT bool_or(regexp_matches(p, '\\b1\\s*/\\s*2\\b')) FROM z WHERE z.id = f.id AND i <> pos), false) AS INT) AS half FROM f")
+@query(_PARSED + " SELECT f.id, coalesce((SELECT max(state) FROM z WHERE z.id = f.id AND z.i = z.pos), '') AS state, CAST(len(parts) = 0 AS INT) AS addr_empty, CAST(coalesce((SELECT bool_or(regexp_matches(p, '\\b1\\s*/\\s*2\\b')) FROM z WHERE z.id = f.id AND i <> pos), false) AS INT) AS half FROM f", "records")
 def addr_state(v: Views):
     return _addresses(v).select("id", "state", "addr_empty", "half")
 
 
 @query(_PARSED + r""", h AS (SELECT id, regexp_extract(p, '^[#\s]*([0-9]+)(?:-?([a-z]))?(?:[^a-z0-9]|$)', ['n', 's']) AS e, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM rest WHERE regexp_matches(p, '^[#\s]*([0-9]+)(?:-?([a-z]))?(?:[^a-z0-9]|$)'))
 SELECT f.id, coalesce(CASE WHEN h.e.n = '' OR h.e.n IS NULL THEN '' ELSE coalesce(nullif(ltrim(h.e.n, '0'), ''), '0') END, '') AS hn, coalesce(h.e.s, '') AS hn_suf FROM f LEFT JOIN h ON h.id = f.id AND h.k = 1
-""")
+""", "records")
 def addr_house_number(v: Views):
     return _addresses(v).select("id", "hn", "hn_suf")
 
 
 @query(_PARSED + """, n AS (SELECT DISTINCT id, coalesce(nullif(ltrim(x, '0'), ''), '0') AS x FROM (SELECT id, unnest(regexp_extract_all(p, '[0-9]+')) AS x FROM rest))
 SELECT f.id, coalesce((SELECT string_agg(x, ' ' ORDER BY x) FROM n WHERE n.id = f.id), '') AS nums FROM f
-""")
+""", "records")
 def addr_numbers(v: Views):
     return _addresses(v).select("id", F.array_join("nums", " ").alias("nums"))
 
@@ -226,33 +236,58 @@ _ORDINALS = ", ".join(f"('{w}', '{i + 1}')" for i, w in enumerate(K.ORDINALS))
 _DROP = ", ".join(f"'{w}'" for w in K.ADDRESS_DROP)
 
 
-@query(_PARSED + f""", al(k, a) AS (VALUES {_ALIASES}), wo(k, w) AS (VALUES {_WORDS}), od(k, o) AS (VALUES {_ORDINALS}),
-t AS (SELECT id, i, unnest(toks) AS t, unnest(range(1, len(toks) + 1)) AS j FROM (SELECT id, i, regexp_extract_all(p, '[a-z0-9]+') AS toks FROM rest)),
-u AS (SELECT id, i, j, CASE WHEN regexp_full_match(t, '[0-9]+(st|nd|rd|th)') THEN regexp_extract(t, '[0-9]+') WHEN o IS NOT NULL THEN o WHEN regexp_full_match(t, '[0-9]+') THEN coalesce(nullif(ltrim(t, '0'), ''), '0')
-  WHEN coalesce(w, a, t) IN ({_DROP}) THEN NULL ELSE coalesce(w, a, t) END AS t FROM t LEFT JOIN al ON al.k = t LEFT JOIN wo ON wo.k = coalesce(a, t) LEFT JOIN od ON od.k = t)
-SELECT f.id, coalesce((SELECT string_agg(t, ' ' ORDER BY i, j) FROM u WHERE u.id = f.id AND t IS NOT NULL), '') AS toks FROM f
-""")
+def _canonical(name: str, rows: str) -> str:
+    """Address words in short form, (id, i, j, t), of rows (id, i, p)."""
+    return f"""{name}t AS (SELECT id, i, unnest(toks) AS t, unnest(range(1, len(toks) + 1)) AS j FROM (SELECT id, i, regexp_extract_all(p, '[a-z0-9]+') AS toks FROM {rows})),
+{name} AS (SELECT * FROM (SELECT id, i, j, CASE WHEN regexp_full_match(t, '[0-9]+(st|nd|rd|th)') THEN regexp_extract(t, '[0-9]+') WHEN o IS NOT NULL THEN o WHEN regexp_full_match(t, '[0-9]+') THEN coalesce(nullif(ltrim(t, '0'), ''), '0')
+  WHEN coalesce(w, a, t) IN ({_DROP}) THEN NULL ELSE coalesce(w, a, t) END AS t FROM {name}t LEFT JOIN al ON al.k = t LEFT JOIN wo ON wo.k = coalesce(a, t) LEFT JOIN od ON od.k = t) WHERE t IS NOT NULL)"""
+
+
+_TABLES = f"al(k, a) AS (VALUES {_ALIASES}), wo(k, w) AS (VALUES {_WORDS}), od(k, o) AS (VALUES {_ORDINALS})"
+
+
+@query(_PARSED + f""", {_TABLES}, {_canonical('u', 'rest')}
+SELECT f.id, coalesce((SELECT string_agg(t, ' ' ORDER BY i, j) FROM u WHERE u.id = f.id), '') AS toks FROM f
+""", "records")
 def addr_canon_tokens(v: Views):
     return _addresses(v).select("id", F.array_join("addr_toks", " ").alias("toks"))
 
 
 @query(_PARSED + f""", al(k, a) AS (VALUES {_ALIASES}), c AS (SELECT id, trim(p, ' .') AS p, row_number() OVER (PARTITION BY id ORDER BY i DESC) AS k FROM rest WHERE NOT regexp_matches(p, '[0-9]'))
 SELECT f.id, coalesce(al.a, c.p, '') AS city FROM f LEFT JOIN c ON c.id = f.id AND c.k = 1 LEFT JOIN al ON al.k = c.p
-""")
+""", "records")
 def addr_city(v: Views):
     return _addresses(v).select("id", "city")
 
 
-@query()
+_HOUSE = r"^[#\s]*([0-9]+)(?:-?([a-z]))?([^a-z0-9]|$)"
+
+
+@query(_PARSED + f""", {_TABLES},
+r AS (SELECT id, i, k, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS j FROM (SELECT id, i, 0 AS k, regexp_extract_all(replace(p, '#', ' '), '[a-z0-9]+(?:[/-][a-z0-9]+)*') AS ts FROM rest)),
+n AS (SELECT id, i, j, coalesce(nullif(ltrim(regexp_replace(regexp_replace(t, '[-/]', '', 'g'), '^(?:{"|".join(K.IDENT_LABELS)})([0-9])', '\\1'), '0'), ''), '0') AS t FROM r
+  WHERE (regexp_matches(t, '[-/]') OR regexp_full_match(t, '[0-9]+[a-z]{{0,2}}')) AND regexp_matches(t, '[0-9]') AND NOT regexp_full_match(t, '[0-9]+(st|nd|rd|th)')),
+ids AS (SELECT id, string_agg(t, ' ' ORDER BY i, j) AS idents FROM (SELECT id, t, min(i) AS i, min_by(j, i * 100000 + j) AS j FROM n WHERE regexp_matches(t, '[0-9]') GROUP BY id, t) GROUP BY id),
+hs AS (SELECT id, i, p FROM rest WHERE regexp_matches(p, '{_HOUSE}') QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1),
+hn AS (SELECT id, coalesce(nullif(ltrim(regexp_extract(p, '{_HOUSE}', 1), '0'), ''), '0') AS hn FROM hs),
+hp AS (SELECT id, i, regexp_replace(p, '{_HOUSE}', '\\3') AS p FROM hs), {_canonical('u', 'rest')}, {_canonical('g', 'hp')},
+ul AS (SELECT id, i, list(t ORDER BY j) AS ts FROM u GROUP BY id, i), own AS (SELECT id, list(t ORDER BY j) AS ts FROM g GROUP BY id),
+typed AS (SELECT id, min_by(ts, i) AS ts FROM ul WHERE ts[-1] IN ({", ".join(f"'{x}'" for x in K.STREET_TYPES)}) GROUP BY id),
+ct AS (SELECT id, trim(p, ' .') AS p FROM rest WHERE NOT regexp_matches(p, '[0-9]') QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1),
+e AS (SELECT f.id, coalesce(ids.idents, '') AS idents, coalesce(own.ts, typed.ts, CAST([] AS VARCHAR[])) AS street, coalesce(hn.hn, '') AS hn, coalesce(al.a, ct.p, '') AS city,
+    coalesce((SELECT max(state) FROM z WHERE z.id = f.id AND z.i = z.pos), '') AS state
+  FROM f LEFT JOIN ids USING (id) LEFT JOIN own USING (id) LEFT JOIN typed USING (id) LEFT JOIN hn USING (id) LEFT JOIN ct USING (id) LEFT JOIN al ON al.k = ct.p)
+SELECT id, idents, array_to_string(street, ' ') AS street, CASE WHEN coalesce(nullif(idents, ''), hn) = '' THEN '' ELSE state || '|' || coalesce(nullif(idents, ''), hn) || '|' || coalesce(street[1], '') || '|' || city END AS addr_key FROM e
+""", "records")
 def addr_idents(v: Views):
-    """Identifiers, street words and the identity key: the patterns look back, which the oracle's can't."""
+    """Identifiers, street words and the identity key."""
     p = _addresses(v)
     return p.select("id", F.array_join("idents", " ").alias("idents"), F.array_join("street", " ").alias("street"), A.address_key(F.col("state"), F.col("idents"), F.col("hn"), F.col("street"), F.col("city")).alias("addr_key"))
 
 
-@query(f"SELECT id, array_to_string({_PARTS}, '|') AS parts FROM {_PLACES}")
+@query(f"SELECT id, array_to_string({_PARTS}, '|') AS parts FROM {_PLACES}", "records")
 def addr_components(v: Views):
-    return _fixture(v, ADDRESSES, "id int, a string, c string").select("id", F.array_join(A.components(F.col("a")), "|").alias("parts"))
+    return _places(v).select("id", F.array_join(A.components(F.col("a")), "|").alias("parts"))
 
 
 @query("SELECT page_id, regexp_extract(url, '(?:https?://)?(?:www\\.)?([a-z0-9-]+)\\.(?:com|net|org|in|co\\.in|fr|co|biz|us|info)\\b', 1) AS domain FROM pages")
@@ -262,7 +297,9 @@ def domain_unpack(v: Views):
 
 @query()
 def name_parse(v: Views):
-    p = N.parse_names(_fixture(v, NAMES, "id int, business_name string"))
+    """Written names and the records', taken apart."""
+    rows = _fixture(v, NAMES, "id long, business_name string").unionByName(v.records().select(F.col("doc_id").alias("id"), "business_name"))
+    p = N.parse_names(rows)
     return p.select("id", F.array_join("name_core", " ").alias("core"), F.array_join("legal", " ").alias("legal"), F.array_join("name_alt", " ").alias("alt"), "native", "domain", "concat")
 
 
@@ -276,9 +313,9 @@ def ocr_fold(v: Views):
     return v.records().select("entity_id", F.array_join(F.transform("name_core", X.ocr_fold), " ").alias("folded"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(regexp_extract_all(replace(replace(replace(strip_accents(lower(substr(text, 1, 80))), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[a-z0-9]+'), lambda t: t NOT IN ('the', 'de', 'la', 'le', 'les', 'du', 'des', 'et', 'l', 'd', 'dr', 'mr', 'mrs', 'ms')), ' ') AS words FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter(regexp_extract_all(replace(replace(replace(strip_accents(lower(text)), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[a-z0-9]+'), lambda t: t NOT IN ('the', 'de', 'la', 'le', 'les', 'du', 'des', 'et', 'l', 'd', 'dr', 'mr', 'mrs', 'ms')), ' ') AS words FROM documents")
 def honorific_drop(v: Views):
-    words = F.regexp_extract_all(X.fold_latin(F.substring("text", 1, 80)), F.lit("([a-z0-9]+)"))
+    words = F.regexp_extract_all(X.fold_latin(F.col("text")), F.lit("([a-z0-9]+)"))
     return v.table("documents").select("doc_id", F.array_join(F.filter(words, lambda t: ~t.isin(K.HONORIFICS)), " ").alias("words"))
 
 
@@ -303,10 +340,18 @@ SELECT t.token, coalesce((SELECT arg_min(f, i) FROM x WHERE x.token = t.token),
 """.format(", ".join(f"('{t}')" for t in FUZZY), ", ".join(f"'{t}'" for t in K.NOT_LEGAL)))
 def fuzzy_legal(v: Views):
     rows = v.spark.createDataFrame([(t,) for t in FUZZY], "token string")
-    return rows.select("token", F.coalesce(F.get(N.fuzzy_legal(F.array("token")), F.lit(0)), F.lit("")).alias("form"))
+    return rows.select("token", F.coalesce(N.fuzzy_legal(F.col("token")), F.lit("")).alias("form"))
 
 
-@query()
+_SKELETON = "lower(token)"
+for _x, _y in [*K.SOUNDS, ("ce", "se"), ("ci", "si"), ("cy", "sy"), ("c", "k")]:
+    _SKELETON = f"replace({_SKELETON}, '{_x}', '{_y}')"
+_SKELETON = f"regexp_replace({_SKELETON}, '[^a-z]|[aeiouy]', '', 'g')"
+for _x in "bcdfghjklmnpqrstvwxz":
+    _SKELETON = f"regexp_replace({_SKELETON}, '{_x}+', '{_x}', 'g')"
+
+
+@query(f"SELECT DISTINCT token, {_SKELETON} AS skeleton FROM (SELECT unnest(name_core) AS token FROM records)", "records")
 def skeleton(v: Views):
     return v.records().select(F.explode("name_core").alias("token")).distinct().withColumn("skeleton", X.skeleton(F.col("token")))
 
@@ -331,7 +376,7 @@ def translit_coverage(v: Views):
 
 @query()
 def fold_native(v: Views):
-    rows = _fixture(v, [*NATIVE, "Société Œuvre", "Ｆｕｌｌ width"], "id int, name string")
+    rows = _fixture(v, [*NATIVE, "Société Œuvre", "Ｆｕｌｌ width"], "id long, name string").unionByName(v.records().select(F.col("doc_id").alias("id"), F.col("business_name").alias("name")))
     return rows.select("id", X.fold(F.col("name")).alias("folded"), X.is_native(F.col("name")).alias("native"))
 
 

@@ -53,7 +53,7 @@ def training_dump(v: Views):
     return v.spark.read.parquet(f"{path}/pairs.parquet")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('threshold', '0.75'), ('decision', 'expected')) t(key, value)")
 def artifact_roundtrip(v: Views):
     path = _folder(v)
     T.write_artifact(v.spark, {"threshold": 0.75, "decision": "expected"}, path)
@@ -67,15 +67,15 @@ def gazetteer_state(v: Views):
     return v.table("documents").select("doc_id", A.gazetteer_state(code, {"44": "FR-PDL", "33": "FR-NAQ"}).alias("state"))
 
 
-@query(f"SELECT id, array_to_string(list_filter(list_transform(string_split('\"' || replace(a, ', ', '\", ''') || '''', ','), lambda c: trim(regexp_replace(trim(c), '^[\"'']+|[\"'']+$', '', 'g'))), lambda c: c <> '' AND lower(c) NOT IN ('null', '<null>', 'n/a', 'na', 'none', 'nan', '-')), '|') AS parts FROM {QL._PLACES}")
+@query(f"SELECT id, array_to_string(list_filter(list_transform(string_split('\"' || replace(a, ', ', '\", ''') || '''', ','), lambda c: trim(regexp_replace(trim(c), '^[\"'']+|[\"'']+$', '', 'g'))), lambda c: c <> '' AND lower(c) NOT IN ('null', '<null>', 'n/a', 'na', 'none', 'nan', '-')), '|') AS parts FROM {QL._PLACES}", "records")
 def unquoted_components(v: Views):
     quoted = F.concat(F.lit('"'), F.replace(F.col("a"), F.lit(", "), F.lit("\", '")), F.lit("'"))
-    return QL._fixture(v, QL.ADDRESSES, "id int, a string, c string").select("id", F.array_join(A.components(quoted, unquote=True), "|").alias("parts"))
+    return QL._places(v).select("id", F.array_join(A.components(quoted, unquote=True), "|").alias("parts"))
 
 
-@query(QL._PARSED.replace(QL._PARTS, "list_transform(string_split(a, ','), lambda c: trim(c))") + " SELECT f.id, coalesce((SELECT max(state) FROM z WHERE z.id = f.id AND z.i = z.pos), '') AS state FROM f")
+@query(QL._PARSED.replace(QL._PARTS, "list_transform(string_split(a, ','), lambda c: trim(c))") + " SELECT f.id, coalesce((SELECT max(state) FROM z WHERE z.id = f.id AND z.i = z.pos), '') AS state FROM f", "records")
 def state_scan(v: Views):
-    return QL._fixture(v, QL.ADDRESSES, "id int, a string, c string").select("id", A.state_of(F.col("a"), F.col("c")).alias("state"))
+    return QL._places(v).select("id", A.state_of(F.col("a"), F.col("c")).alias("state"))
 
 
 @query("""

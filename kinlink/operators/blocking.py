@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from kinlink.functions import constants as K
 
 #: Scores are rounded before they are ranked, so that the order of summation can't flip a tie.
 DIGITS = 9
+#: Least score of a pair that counts.
+LEAST = 1e-6
+#: Masters and queries that meet in one dense block; parts of more than DENSE masters are joined by their postings instead.
+MASTERS, QUERIES, DENSE = 2048, 1024, 20_000
 
 
 def trigrams(name: Column) -> Column:
@@ -68,13 +74,31 @@ def weights(p: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norm, ["part", "id"]).select("part", "id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def scored(s_docs: DataFrame, q_docs: DataFrame, s_members: DataFrame, q_members: DataFrame, max_df: float = 0.05, cut_from: int = 2000) -> DataFrame:
-    """(part, q, s1, score) of all pairs that share a term: the postings join, its products summed before they are shuffled."""
+def unit_vectors(s_docs: DataFrame, q_docs: DataFrame, s_members: DataFrame, q_members: DataFrame, max_df: float = 0.05, cut_from: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(part, id, term, w) of masters and queries, both under the masters' frequencies."""
     a = postings(s_docs, s_members)
     idf = inverse_frequency(a, s_members, max_df, cut_from)
-    x = weights(a, idf).select("part", "term", F.col("id").alias("s1"), F.col("w").alias("ws"))
-    y = weights(postings(q_docs, q_members.select("part", "id")), idf).select("part", "term", F.col("id").alias("q"), F.col("w").alias("wq"))
-    return x.join(y, ["part", "term"]).groupBy("part", "q", "s1").agg(F.round(F.sum(F.col("ws") * F.col("wq")), DIGITS).alias("score")).where("score > 1e-6")
+    return weights(a, idf), weights(postings(q_docs, q_members.select("part", "id")), idf)
+
+
+def products(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(part, q, s1, score) of all pairs that share a term: the postings join, its products summed before they are shuffled."""
+    x = x.select("part", "term", F.col("id").alias("s1"), F.col("w").alias("ws"))
+    y = y.select("part", "term", F.col("id").alias("q"), F.col("w").alias("wq"))
+    return x.join(y, ["part", "term"]).groupBy("part", "q", "s1").agg(F.round(F.sum(F.col("ws") * F.col("wq")), DIGITS).alias("score")).where(F.col("score") > LEAST)
+
+
+def pair_scores(pairs: DataFrame, s_docs: DataFrame, q_docs: DataFrame, s_members: DataFrame, q_members: DataFrame) -> DataFrame:
+    """(part, s1, q, score) of the given pairs (s1, q) in every part that holds both: products of their own terms alone."""
+    x, y = unit_vectors(s_docs, q_docs, s_members, q_members)
+    x = pairs.select("s1", "q").join(x.select("part", F.col("id").alias("s1"), "term", F.col("w").alias("ws")), "s1")
+    y = y.select("part", F.col("id").alias("q"), "term", F.col("w").alias("wq"))
+    return x.join(y, ["part", "q", "term"]).groupBy("part", "s1", "q").agg(F.round(F.sum(F.col("ws") * F.col("wq")), DIGITS).alias("score")).where(F.col("score") > LEAST)
+
+
+def scored(s_docs: DataFrame, q_docs: DataFrame, s_members: DataFrame, q_members: DataFrame, max_df: float = 0.05, cut_from: int = 2000) -> DataFrame:
+    """(part, q, s1, score) of all pairs that share a term."""
+    return products(*unit_vectors(s_docs, q_docs, s_members, q_members, max_df, cut_from))
 
 
 def top_k(pairs: DataFrame, k: Column | int, score: str = "score", part: list[str] | None = None) -> DataFrame:
@@ -82,25 +106,150 @@ def top_k(pairs: DataFrame, k: Column | int, score: str = "score", part: list[st
     return pairs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
 
 
+def _sparse(table: pa.Table, channel: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of every entry."""
+    terms, w = (table.column(f"{channel}_{x}").combine_chunks() for x in ("terms", "ws"))
+    sizes = np.diff(terms.offsets.to_numpy())
+    return np.repeat(np.arange(len(sizes)), sizes), terms.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)
+
+
+def _cosines(q: tuple, s: tuple, n_q: int, n_s: int, most: int = 1 << 23) -> np.ndarray:
+    """Dense (n_q, n_s) sums of products over shared terms; at most about `most` products are spread out at once."""
+    by = np.argsort(s[1], kind="stable")
+    s_row, s_term, s_w = (x[by] for x in s)
+    low, high = np.searchsorted(s_term, q[1], "left"), np.searchsorted(s_term, q[1], "right")
+    out = np.zeros(n_q * n_s)
+    ahead = np.concatenate([[0], np.cumsum(high - low)])
+    at = 0
+    while at < len(low):
+        to = max(at + 1, int(np.searchsorted(ahead, ahead[at] + most, "right")) - 1)
+        n = (high - low)[at:to]
+        entry = np.repeat(np.arange(at, to), n)
+        other = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + low[entry]
+        out += np.bincount(q[0][entry] * n_s + s_row[other], q[2][entry] * s_w[other], len(out))
+        at = to
+    out = np.round(out, DIGITS).reshape(n_q, n_s)
+    out[out <= LEAST] = 0
+    return out
+
+
+def _block(channels: list[str]):
+    """Of one block, each query's first k masters by every channel and, of several, by their sum."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        q, s = table.filter(pa.array(side == 1)), table.filter(pa.array(side == 0))
+        names = s.column("id").to_pylist()
+        order = sorted(range(len(names)), key=lambda i: names[i].encode())  # ties end in the id
+        s = s.take(pa.array(order, pa.int64()))
+        scores = [_cosines(_sparse(q, c), _sparse(s, c), len(q), len(s)) for c in channels]
+        k = q.column("k").to_numpy()
+        kept = np.zeros((len(q), len(s)), bool)
+        if len(q) and len(s):
+            for x in [*scores, sum(scores)] if len(scores) > 1 else scores:
+                most = min(int(k.max()), len(s))
+                first = np.argsort(-x, axis=1, kind="stable")[:, :most]
+                rows = np.arange(len(q))[:, None]
+                kept[rows, first] |= (x[rows, first] > 0) & (np.arange(most)[None, :] < k[:, None])
+        i, j = np.nonzero(kept)
+        part = table.column("part")[0].as_py()
+        found = {"part": pa.array([part] * len(i), pa.string()), "q": q.column("id").take(pa.array(i)), "s1": s.column("id").take(pa.array(j)), "k": pa.array(k[i], pa.int32())}
+        return pa.table(found | {f"{c}_cos": x[i, j] for c, x in zip(channels, scores)})
+
+    return run
+
+
+def _by_entity(vectors: dict[str, DataFrame], members: DataFrame) -> DataFrame:
+    """members with `<channel>_terms` (hashes) and `<channel>_ws`; a term hash stands for its term."""
+    out = members
+    for c, x in vectors.items():
+        entries = x.groupBy("part", "id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("e"))
+        out = out.join(entries.select("part", "id", F.col("e.t").alias(f"{c}_terms"), F.col("e.w").alias(f"{c}_ws")), ["part", "id"], "left")
+    for c in vectors:
+        out = out.withColumn(f"{c}_terms", F.coalesce(f"{c}_terms", F.array().cast("array<bigint>"))).withColumn(f"{c}_ws", F.coalesce(f"{c}_ws", F.array().cast("array<double>")))
+    return out
+
+
+def nearest(docs: dict[str, tuple[DataFrame, DataFrame]], s_members: DataFrame, q_members: DataFrame, max_df: float = 0.05, cut_from: int = 2000) -> DataFrame:
+    """(part, q, s1, k, `<channel>_cos`): each query's first k masters (q_members: part, id, k) by every channel's cosine and by
+    their sum. docs: a channel's documents (entity_id, terms) of masters and queries.
+
+    Parts of up to DENSE masters are cut into blocks of masters and queries, whose products are summed in memory with a local top
+    k, so that no pair is shuffled but those that may be among the first. Larger parts go through the postings join."""
+    sizes = s_members.groupBy("part").agg(F.count(F.lit(1)).alias("n_s")).join(q_members.groupBy("part").agg(F.count(F.lit(1)).alias("n_q")), "part")
+    sizes = sizes.withColumn("dense", F.col("n_s") <= DENSE).withColumn("s_parts", F.ceil(F.col("n_s") / MASTERS).cast("int")).withColumn("q_parts", F.ceil(F.col("n_q") / QUERIES).cast("int"))
+    vectors = {c: unit_vectors(*both, s_members, q_members, max_df, cut_from) for c, both in docs.items()}
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dense = sizes.where("dense").select("part", "s_parts", "q_parts")
+    entries = [f"{c}_{x}" for c in docs for x in ("terms", "ws")]
+    s = _by_entity({c: x for c, (x, _) in vectors.items()}, s_members).join(dense, "part").withColumn("sb", place("s_parts")).withColumn("qb", every("q_parts"))
+    q = _by_entity({c: y for c, (_, y) in vectors.items()}, q_members).join(dense, "part").withColumn("qb", place("q_parts")).withColumn("sb", every("s_parts"))
+    both = s.select("part", "sb", "qb", F.lit(0).alias("side"), "id", F.lit(0).alias("k"), *entries).unionByName(q.select("part", "sb", "qb", F.lit(1).alias("side"), "id", F.col("k").cast("int").alias("k"), *entries))
+    out = both.groupBy("part", "sb", "qb").applyInArrow(_block(list(docs)), ", ".join(["part string, q string, s1 string, k int", *(f"{c}_cos double" for c in docs)]))
+    large = sizes.where("not dense").select("part")
+    if large.limit(1).count():
+        pairs = None
+        for c, (x, y) in vectors.items():
+            own = products(x.join(large, "part", "left_semi"), y.join(large, "part", "left_semi")).withColumnRenamed("score", f"{c}_cos")
+            pairs = own if pairs is None else pairs.join(own, ["part", "q", "s1"], "full")
+        pairs = pairs.fillna(0.0, [f"{c}_cos" for c in docs]).join(q_members.select("part", F.col("id").alias("q"), F.col("k").cast("int").alias("k")), ["part", "q"])
+        out = out.unionByName(pairs)
+    return prune(out, F.col("k"), ["part", "q"], [f"{c}_cos" for c in docs])
+
+
+def top_names(s_docs: DataFrame, q_docs: DataFrame, s_members: DataFrame, q_members: DataFrame) -> DataFrame:
+    """(part, q, s1, score): the first k by one channel."""
+    return nearest({"own": (s_docs, q_docs)}, s_members, q_members).select("part", "q", "s1", F.col("own_cos").alias("score"))
+
+
 def candidates(s: DataFrame, q: DataFrame, s_members: DataFrame, q_members: DataFrame) -> DataFrame:
     """(part, q, s1, name_cos, addr_cos): the union of three top-k channels (name, address, both), each pair with both exact
     cosines. s and q have `name_terms` and `addr_terms`."""
     side = lambda df, c: df.select("entity_id", F.col(c).alias("terms"))
-    name = scored(side(s, "name_terms"), side(q, "name_terms"), s_members, q_members).withColumnRenamed("score", "name_cos")
-    addr = scored(side(s, "addr_terms"), side(q, "addr_terms"), s_members, q_members).withColumnRenamed("score", "addr_cos")
-    both = name.join(addr, ["part", "q", "s1"], "full").fillna(0.0, ["name_cos", "addr_cos"]).join(q_members.withColumnRenamed("id", "q"), ["part", "q"])
-    return prune(both, F.col("k"), ["part", "q"]).drop("k")
-
-
-def prune(pairs: DataFrame, k: Column | int, part: list[str] | None = None) -> DataFrame:
-    """Pairs among the first k of their query by name cosine, by address cosine or by their sum."""
-    out = pairs.withColumn("__sum", F.col("name_cos") + F.col("addr_cos"))
-    keep = F.lit(False)
-    for c in ("name_cos", "addr_cos", "__sum"):
-        w = Window.partitionBy(*(part or ["q"])).orderBy(F.desc(c), "s1")
-        out = out.withColumn(f"__r{c}", F.row_number().over(w))
-        keep = keep | ((F.col(f"__r{c}") <= k) & (F.col(c) > 0))
-    return out.where(keep).drop("__sum", "__rname_cos", "__raddr_cos", "__r__sum")
+    return nearest({c: (side(s, f"{c}_terms"), side(q, f"{c}_terms")) for c in ("name", "addr")}, s_members, q_members).drop("k")
+
+
+def prune(pairs: DataFrame, k: Column | int, part: list[str] | None = None, scores: list[str] | None = None) -> DataFrame:
+    """Pairs among the first k of their query by any score (name and address cosine, if not said) or by their sum."""
+    scores = scores or ["name_cos", "addr_cos"]
+    order = {f"__r{c}": F.col(c) for c in scores} | ({"__rsum": sum((F.col(c) for c in scores), F.lit(0.0))} if len(scores) > 1 else {})
+    out, keep = pairs, F.lit(False)
+    for r, c in order.items():
+        out = out.withColumn(r, F.row_number().over(Window.partitionBy(*(part or ["q"])).orderBy(F.desc(c), "s1")))
+        keep = keep | ((F.col(r) <= k) & (c > 0))
+    return out.where(keep).drop(*order)
+
+
+def dense_nearest(rows: DataFrame, queries: Column, k: int) -> DataFrame:
+    """(q, other, score): the k rows nearest by cosine to each row of rows (id long, e: vectors of one length) that `queries` names,
+    but for itself; ties end in the id."""
+    marked = rows.where("e is not null").withColumn("asks", queries)
+    n = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
+    r_parts, q_parts = -(-n.n // (4 * MASTERS)) or 1, -(-n.q // QUERIES) or 1
+    place = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asked = marked.where("asks").select(F.lit(1).alias("side"), "id", "e", place(q_parts).alias("qb")).withColumn("rb", every(r_parts))
+    against = marked.select(F.lit(0).alias("side"), "id", "e", place(r_parts).alias("rb")).withColumn("qb", every(q_parts))
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        e = table.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        norm = np.sqrt((e * e).sum(axis=1))
+        q, r = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x = np.round(e[q] @ e[r].T / (norm[q][:, None] * norm[r][None, :]), DIGITS)
+        x[(ids[q][:, None] == ids[r][None, :]) | np.isnan(x)] = -2
+        first = np.argsort(-x, axis=1, kind="stable")[:, :k]
+        i = np.repeat(np.arange(len(q)), first.shape[1])
+        score = x[i, first.ravel()]
+        return pa.table({"q": ids[q][i][score > -2], "other": ids[r][first.ravel()][score > -2], "score": score[score > -2]})
+
+    found = asked.unionByName(against).groupBy("qb", "rb").applyInArrow(run, "q long, other long, score double")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "other")
+    return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
 
 
 def recall(candidates: DataFrame, truth: DataFrame) -> DataFrame:

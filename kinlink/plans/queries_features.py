@@ -12,7 +12,7 @@ from kinlink.operators import ensemble as E
 from kinlink.operators import features as X
 from kinlink.operators import model as M
 from kinlink.operators import relational as R
-from kinlink.operators.blocking import scored
+from kinlink.operators.blocking import pair_scores
 from kinlink.plans.queries_relational import _bigint, _round
 from kinlink.plans.views import Views, sql
 
@@ -171,7 +171,7 @@ def addr_alpha_jacc(v: Views):
 def _featured(v: Views) -> DataFrame:
     """Pairs with cosines, cheap and detailed features, and y."""
     s, q = v.sides()
-    name = scored(*v.name_docs(), *v.members()).select("s1", "q", F.col("score").alias("name_cos"))
+    name = pair_scores(v.record_pairs(), *v.name_docs(), *v.members()).select("s1", "q", F.col("score").alias("name_cos"))
     pairs = _pairs(v).join(name, ["s1", "q"], "left").fillna(0.0, ["name_cos"]).withColumn("addr_cos", F.lit(0.0))
     out = X.detailed(X.cheap(pairs), K.STATE_GROUPS)
     truth = v.record_truth().select("s1", F.col("other").alias("q"), F.lit(1).alias("y"))

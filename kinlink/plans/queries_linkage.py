@@ -65,8 +65,7 @@ _TOP = "SELECT part, q, s1, score FROM (SELECT *, row_number() OVER (PARTITION B
 
 @query(f"WITH {_weights('s', _NAME)} {_TOP}", "s_side", "q_side")
 def topk_name(v: Views):
-    pairs = B.scored(*v.name_docs(), *v.members())
-    return B.top_k(pairs, 10)
+    return B.top_names(*v.name_docs(), *v.members())
 
 
 _ADDR = "list_concat(addr_toks, CASE WHEN hn <> '' AND len(street) > 0 THEN ['HS_' || hn || '_' || street[1]] ELSE CAST([] AS VARCHAR[]) END, list_transform(list_filter(idents, lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+')), lambda t: 'ID_' || t))"
@@ -84,7 +83,7 @@ def addr_docs(v: Views):
 @query(f"WITH {_weights('s', _ADDR)} {_TOP}", "s_side", "q_side")
 def topk_addr(v: Views):
     s, q = v.sides()
-    return B.top_k(B.scored(_addr(s), _addr(q), *v.members()), 10)
+    return B.top_names(_addr(s), _addr(q), *v.members())
 
 
 def _both(v: Views) -> DataFrame:
@@ -148,7 +147,7 @@ _BEST = f"""WITH {_weights('s', _NAME)}, top AS (SELECT * FROM (SELECT *, row_nu
 @query(f"{_BEST} SELECT q, s1, score, score >= 0.8 AS accepted FROM top WHERE n = 1", "s_side", "q_side")
 def best_match(v: Views):
     """Every query record's best master by name, and whether to accept it."""
-    top = B.top_k(B.scored(*v.name_docs(), *v.members()), 10)
+    top = B.top_names(*v.name_docs(), *v.members())
     best = R.best_per_query(top.withColumnRenamed("score", "p"))
     return best.select("q", "s1", F.col("p").alias("score"), (F.col("p") >= 0.8).alias("accepted"))
 
@@ -157,7 +156,7 @@ def best_match(v: Views):
 SELECT count(*) AS n_true, count(p.q) AS n_found, round((SELECT count(*) / count(DISTINCT q) FROM top), 6) AS per_query, round(count(p.q) / count(*), 6) AS recall FROM record_truth t LEFT JOIN top p ON p.s1 = t.s1 AND p.q = t.other
 """, "s_side", "q_side", "record_truth")
 def blocking_recall(v: Views):
-    top = B.top_k(B.scored(*v.name_docs(), *v.members()), 10)
+    top = B.top_names(*v.name_docs(), *v.members())
     return _round(B.recall(top, v.record_truth()), "per_query", "recall")
 
 
@@ -165,7 +164,7 @@ def blocking_recall(v: Views):
 FROM record_truth t LEFT JOIN top p ON p.s1 = t.s1 AND p.q = t.other
 """, "s_side", "q_side", "record_truth")
 def recall_by_k(v: Views):
-    return B.recall_by_cut(B.top_k(B.scored(*v.name_docs(), *v.members()), 10), v.record_truth(), [1, 3, 10])
+    return B.recall_by_cut(B.top_names(*v.name_docs(), *v.members()), v.record_truth(), [1, 3, 10])
 
 
 # Normalisation: the records' addresses and names, after a few written ones that meet every rule
@@ -461,13 +460,6 @@ SELECT vec_id, other, score FROM (SELECT a.vec_id, b.vec_id AS other, round(list
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON a.vec_id <> b.vec_id) WHERE n <= 5
 """)
 def dense_topk(v: Views):
-    """Exact top-5 by cosine of the stated queries (ids divisible by 20) against all rows: each vector's dimensions are the terms of the
-    posting join's dense analogue."""
-    e = v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    e = e.withColumn("n", F.sqrt(dot(F.col("e"), F.col("e"))))
-    few = e.where("vec_id % 20 = 0")
-    other = e.select(F.col("vec_id").alias("other"), F.col("e").alias("f"), F.col("n").alias("m"))
-    pairs = few.join(other, F.col("vec_id") != F.col("other")).select("vec_id", "other", F.round(dot(F.col("e"), F.col("f")) / (F.col("n") * F.col("m")), 9).alias("score"))
-    w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "other")
-    return pairs.withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
+    """Exact top-5 by cosine of the stated queries (ids divisible by 20) against all rows, as matrix products of blocks with a local
+    top 5 each."""
+    return B.dense_nearest(v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e")), F.col("id") % 20 == 0, 5).select(F.col("q").alias("vec_id"), "other", "score")

@@ -101,7 +101,7 @@ SELECT country, kind, n, round(n / sum(n) OVER (PARTITION BY country), 6) AS sha
 def cosine_mixture(v: Views):
     """Best name cosines in four bins by strength and house number."""
     s, q = v.sides()
-    best = R.best_per_query(B.top_k(B.scored(*v.name_docs(), *v.members()), 10).withColumnRenamed("score", "p"))
+    best = R.best_per_query(B.top_names(*v.name_docs(), *v.members()).withColumnRenamed("score", "p"))
     rows = X.with_records(best, s, q, ["hn", "country"])
     kind = F.when((F.col("p") >= 0.8) & (F.col("s_hn") == F.col("q_hn")), "strong_same").when(F.col("p") >= 0.8, "strong_other").when(F.col("p") >= 0.5, "mid").otherwise("weak")
     from pyspark.sql import Window
@@ -115,7 +115,7 @@ SELECT CASE WHEN c <> d THEN 'other_country' WHEN b = '' THEN 'no_state' WHEN a
 """, "s_side", "q_side", "record_truth")
 def blocking_miss_causes(v: Views):
     """Why true pairs aren't the first candidate."""
-    top = B.top_k(B.scored(*v.name_docs(), *v.members()), 1)
+    top = B.top_k(B.top_names(*v.name_docs(), *v.members()), 1)
     missed = R.missed_pairs(v.record_truth(), top).withColumnRenamed("other", "q")
     r = v.records()
     rows = X.with_records(missed, r, r, ["state", "country"])
@@ -130,7 +130,7 @@ def easy_pair_recall(v: Views):
     """Without labels: how many exact twins the candidate search finds."""
     s, q = (x.withColumn("hn", F.col("state")) for x in v.sides())
     easy = R.exact_twins(s, q)
-    top = B.top_k(B.scored(*v.name_docs(), *v.members()), 10).select("q", "s1", F.lit(1).alias("hit"))
+    top = B.top_names(*v.name_docs(), *v.members()).select("q", "s1", F.lit(1).alias("hit"))
     return easy.join(top, ["q", "s1"], "left").agg(F.count(F.lit(1)).alias("easy"), F.count("hit").alias("found"))
 
 

@@ -39,19 +39,30 @@ def expected_f(ps: Column, m: Column, unfound: Column | float, fp_weight: float
     return F.when(m == 0, none).otherwise(total)
 
 
-def assign_expected(pairs: DataFrame, unfound: float = 0.02, min_p: float = 0.05, odds_div: float = 1.0, sure: float = 0.985) -> DataFrame:
-    """Of each master's candidates, the prefix by p with the highest expected F0.5 (the shortest of equals); groups that are sure
-    throughout stay whole. Odds are divided by `odds_div` first."""
+def _groups(pairs: DataFrame, min_p: float) -> DataFrame:
+    """(s1, g: its records by falling p, as structs of q and p) of each query's best master."""
     best = best_per_query(pairs).where(F.col("p") >= min_p)
-    shrunk = best.withColumn("p", F.col("p") / (F.col("p") + odds_div * (1 - F.col("p")))).where(F.col("p") >= min_p)
-    groups = shrunk.groupBy("s1").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), F.col("q"), F.col("p")))).alias("g"))
-    groups = groups.withColumn("ps", F.transform("g", lambda x: x["p"]))
+    groups = best.groupBy("s1").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), F.col("q"), F.col("p")))).alias("g"))
+    return groups.select("s1", F.transform("g", lambda x: F.struct(x["q"].alias("q"), x["p"].alias("p"))).alias("g"))
+
+
+def _best_prefix(groups: DataFrame, unfound: float, min_p: float, odds_div: float, sure: float) -> DataFrame:
+    """(s1, q, p): dividing odds keeps the order, so that groups serve every divisor."""
+    p = lambda x: x["p"] / (x["p"] + odds_div * (1 - x["p"]))
+    shrunk = F.filter(F.transform("g", lambda x: F.struct(x["q"].alias("q"), p(x).alias("p"))), lambda x: x["p"] >= min_p)
+    groups = groups.withColumn("g", shrunk).where(F.size("g") > 0).withColumn("ps", F.transform("g", lambda x: x["p"]))
     # Cubic in the group, which holds only the records whose best master this is.
     values = F.transform(F.sequence(F.lit(0), F.size("ps")), lambda m: F.struct(expected_f(F.col("ps"), m, unfound).alias("v"), (-m).alias("m")))
     chosen = F.when(F.element_at("ps", -1) >= sure, F.size("ps")).otherwise(-F.array_max(values)["m"])
     return groups.withColumn("m", chosen).where("m > 0").select("s1", F.explode(F.slice("g", F.lit(1), F.col("m"))).alias("x")).select("s1", F.col("x.q").alias("q"), F.col("x.p").alias("p"))
 
 
+def assign_expected(pairs: DataFrame, unfound: float = 0.02, min_p: float = 0.05, odds_div: float = 1.0, sure: float = 0.985) -> DataFrame:
+    """Of each master's candidates, the prefix by p with the highest expected F0.5 (the shortest of equals); groups that are sure
+    throughout stay whole. Odds are divided by `odds_div` first."""
+    return _best_prefix(_groups(pairs, min_p), unfound, min_p, odds_div, sure)
+
+
 def plugin_expected_f(ps: Column, m: Column, miss: float) -> Column:
     """Expected F0.5 with means in place of distributions, and `miss` expected records without a pair."""
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -69,17 +80,19 @@ def calibrate_threshold(pairs: DataFrame, threshold: float, target: float, maste
     return max(threshold, kth(best, "p", k))
 
 
-def calibrate_odds(pairs: DataFrame, target: float, masters: int, tol: float = 0.02, steps: int = 7, **options) -> tuple[DataFrame, float]:
+def calibrate_odds(pairs: DataFrame, target: float, masters: int, tol: float = 0.02, steps: int = 7, unfound: float = 0.02, min_p: float = 0.05, sure: float = 0.985) -> tuple[DataFrame, float]:
     """assign_expected under the least divisor in [1, 8] that bisection finds feasible: at most target masters (1 + tol) pairs kept. If no
-    step is feasible the undivided decision stands, though the divisor is 8."""
+    step is feasible the undivided decision stands, though the divisor is 8. The groups are made once and kept for all steps."""
     limit = target * masters * (1 + tol)
-    raw = assign_expected(pairs, **options)
+    groups = _groups(pairs, min_p).persist()
+    under = lambda divisor: _best_prefix(groups, unfound, min_p, divisor, sure)
+    raw = under(1.0)
     if raw.count() <= limit:
         return raw, 1.0
     low, high, kept = 1.0, 8.0, None
     for _ in range(steps):
         middle = (low + high) / 2
-        one = assign_expected(pairs, odds_div=middle, **options)
+        one = under(middle)
         if one.count() <= limit:
             high, kept = middle, one
         else:

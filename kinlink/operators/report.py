@@ -47,24 +47,44 @@ def log_loss(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg(-(F.col("y") * F.log(c) + (1 - F.col("y")) * F.log(1 - c))).alias("log_loss"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"), F.avg(F.col("y").cast("double")).alias("positive_rate"))
 
 
-def loss_decomposition(masters: DataFrame, pairs: DataFrame, kept: DataFrame, truth: DataFrame) -> DataFrame:
-    """(cause, records, loss): every master's loss 1 - f spread evenly over its wrong records. Causes: missed (never a candidate), below_threshold,
-    lost_to_other (assigned to another master), false_other (kept, belongs to another master), distractor (kept, belongs to none)."""
-    scores = entity_scores(masters, kept, truth)
-    t = truth.select("s1", F.col("other").alias("q"))
+def _wrong(candidates: DataFrame, scored: DataFrame, kept: DataFrame, truth: DataFrame) -> DataFrame:
+    """(s1, q, cause) of every wrong record of a master, by the first cause that holds."""
+    t = truth.select("s1", F.col("other").alias("q")).distinct()
     k = kept.select("s1", "q").distinct()
-    owner = kept.select("q", F.col("s1").alias("owner")).distinct()
-    lost = t.join(k, ["s1", "q"], "left_anti").join(pairs.select("s1", "q", F.lit(1).alias("cand")).distinct(), ["s1", "q"], "left").join(owner, "q", "left")
-    lost = lost.select("s1", "q", F.when(F.col("cand").isNull(), "missed").when(F.col("owner").isNotNull(), "lost_to_other").otherwise("below_threshold").alias("cause"))
-    real = t.select("q", F.lit(1).alias("real")).distinct()
-    false = k.join(t, ["s1", "q"], "left_anti").join(real, "q", "left").select("s1", "q", F.when(F.col("real").isNull(), "distractor").otherwise("false_other").alias("cause"))
-    wrong = lost.unionByName(false)
+    owner = kept.select("q", F.lit(1).alias("owned")).distinct()
+    flag = lambda df, name: df.select("s1", "q", F.lit(1).alias(name)).distinct()
+    lost = t.join(k, ["s1", "q"], "left_anti").join(flag(candidates, "found"), ["s1", "q"], "left").join(flag(scored, "scored"), ["s1", "q"], "left").join(owner, "q", "left")
+    cause = F.when(F.col("found").isNull() & F.col("scored").isNull(), "missed").when(F.col("scored").isNull(), "dropped").when(F.col("owned").isNotNull(), "lost_to_other").otherwise("below_threshold")
+    real, whole = t.select("q", F.lit(1).alias("real")).distinct(), t.select("s1", F.lit(1).alias("has")).distinct()
+    false = k.join(t, ["s1", "q"], "left_anti").join(real, "q", "left").join(whole, "s1", "left")
+    kind = F.when(F.col("has").isNull(), "singleton").when(F.col("real").isNull(), "distractor").otherwise("false_other")
+    return lost.select("s1", "q", cause.alias("cause")).unionByName(false.select("s1", "q", kind.alias("cause")))
+
+
+def loss_decomposition(masters: DataFrame, candidates: DataFrame, scored: DataFrame, kept: DataFrame, truth: DataFrame) -> DataFrame:
+    """(cause, records, loss): every master's loss 1 - f spread evenly over its wrong records, by seven causes: missed (never a candidate),
+    dropped (a candidate that the first stage left out), lost_to_other (assigned to another master), below_threshold; distractor (kept,
+    belongs to none), false_other (kept, belongs to another master), and singleton (a master without records was given some; it counts
+    once)."""
+    wrong = _wrong(candidates, scored, kept, truth)
+    wrong = wrong.withColumn("q", F.when(F.col("cause") != "singleton", F.col("q"))).distinct()
     n = wrong.groupBy("s1").agg(F.count(F.lit(1)).alias("wrong"))
-    rows = wrong.join(n, "s1").join(scores.select("s1", "f"), "s1")
+    rows = wrong.join(n, "s1").join(entity_scores(masters, kept, truth).select("s1", "f"), "s1")
     total = masters.select("s1").distinct().count() or 1
     return rows.groupBy("cause").agg(F.count(F.lit(1)).alias("records"), (F.sum((1 - F.col("f")) / F.col("wrong")) / total).alias("loss"))
 
 
+def loss_by_kind(masters: DataFrame, candidates: DataFrame, kept: DataFrame, truth: DataFrame) -> DataFrame:
+    """(kind, masters, loss): every master's loss split evenly over the kinds of error that it shows: distractor, false_other, model (a true
+    candidate that isn't kept), missed (a true record that never was one), or singleton."""
+    wrong = _wrong(candidates, candidates, kept, truth)
+    kinds = wrong.select("s1", F.when(F.col("cause").isin("lost_to_other", "below_threshold", "dropped"), "model").otherwise(F.col("cause")).alias("kind")).distinct()
+    n = kinds.groupBy("s1").agg(F.count(F.lit(1)).alias("n"))
+    rows = kinds.join(n, "s1").join(entity_scores(masters, kept, truth).select("s1", "f"), "s1")
+    total = masters.select("s1").distinct().count() or 1
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("masters"), (F.sum((1 - F.col("f")) / F.col("n")) / total).alias("loss"))
+
+
 def cluster_shape(masters: DataFrame, kept: DataFrame, source: Column) -> DataFrame:
     """(country, masters, singletons, large, s2, s3): kept records by source, masters with none and with eight or more."""
     per = kept.groupBy("s1").agg(F.count(F.lit(1)).alias("n"), F.sum((source == 2).cast("int")).alias("n2"), F.sum((source == 3).cast("int")).alias("n3"))

@@ -395,6 +395,51 @@ def regional_slice(v: Views):
     return S.regional_slice(v.records(), v.record_truth(), ["src1", "src2"]).select("entity_id")
 
 
+_MAYBE_EMPTY = "(SELECT * REPLACE (CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS addr_empty) FROM records)"
+
+
+def _maybe_empty(v: Views) -> DataFrame:
+    return v.records().withColumn("addr_empty", (F.col("doc_id") % 6 == 0).cast("int"))
+
+
+@query(f"""
+WITH x AS (SELECT * FROM {_MAYBE_EMPTY}), m AS (SELECT entity_id FROM x WHERE src = 1 AND state IN ('src1', 'src2')), own AS (SELECT other FROM record_truth WHERE s1 IN (SELECT entity_id FROM m))
+SELECT entity_id FROM m UNION ALL SELECT entity_id FROM x WHERE src > 1 AND entity_id IN (SELECT other FROM own)
+UNION ALL SELECT entity_id FROM x WHERE src > 1 AND (addr_empty = 1 OR state IN ('src1', 'src2')) AND entity_id NOT IN (SELECT other FROM record_truth)
+""", "records", "record_truth")
+def evaluation_slice(v: Views):
+    """All unmatched records without an address stay, so that the rows don't hang on a hash."""
+    return S.evaluation_slice(_maybe_empty(v), v.record_truth(), ["src1", "src2"], 1.0)[0].select("entity_id")
+
+
+@query(f"SELECT entity_id FROM {_MAYBE_EMPTY} WHERE addr_empty = 0 AND state IN ('src1', 'src2')", "records")
+def slice_by_states(v: Views):
+    return S.slice_by_states(_maybe_empty(v), ["src1", "src2"]).select("entity_id")
+
+
+_PLANNED = _PLAN.format(reach="", own="q").strip().removeprefix("WITH ")
+
+
+@query(f"""
+WITH {_PLANNED.partition("SELECT 's' AS side")[0].rstrip()}, mem AS (SELECT 's' AS side{_PLANNED.partition("SELECT 's' AS side")[2]}),
+st AS (SELECT part, entity_id AS id, unnest({_NAME}) AS term FROM mem JOIN s_side ON entity_id = id WHERE side = 's'), sp AS (SELECT part, id, term, 1 + ln(count(*)) AS tf FROM st GROUP BY ALL),
+sz AS (SELECT part, count(*) AS n FROM mem WHERE side = 's' GROUP BY 1), dfs AS (SELECT part, term, count(*) AS df FROM sp GROUP BY ALL),
+idf AS (SELECT part, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM dfs JOIN sz USING (part) WHERE n <= 2000 OR df <= 0.05 * n),
+sr AS (SELECT part, id, term, tf * idf AS w FROM sp JOIN idf USING (part, term)), sw AS (SELECT part, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY part, id)) AS w FROM sr),
+qt AS (SELECT part, entity_id AS id, unnest({_NAME}) AS term FROM mem JOIN q_side ON entity_id = id WHERE side = 'q'), qp AS (SELECT part, id, term, 1 + ln(count(*)) AS tf FROM qt GROUP BY ALL),
+qr AS (SELECT part, id, term, tf * idf AS w FROM qp JOIN idf USING (part, term)), qw AS (SELECT part, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY part, id)) AS w FROM qr),
+pairs AS (SELECT part, q.id AS q, s.id AS s1, round(sum(s.w * q.w), 9) AS score FROM sw s JOIN qw q USING (part, term) GROUP BY ALL)
+SELECT part, q, s1, score FROM (SELECT *, row_number() OVER (PARTITION BY part, q ORDER BY score DESC, s1) AS n FROM pairs WHERE score > 1e-6) WHERE n <= CASE WHEN suffix(part, '|-') THEN 4 WHEN suffix(part, '|s1') THEN 3 ELSE 2 END
+""", "s_side", "q_side")
+def planned_topk(v: Views):
+    """The search over the parts of the plan: a state's own masters, all of a country for records without a known state, and masters
+    without a state, each with its own k."""
+    s, q = v.sides()
+    s = s.withColumn("state", F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("state")))
+    q = q.withColumn("state", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("state")))
+    return B.top_names(*v.name_docs(), *B.partition_plan(s, q, None, 2, 4, 3))
+
+
 @query()
 def synthetic_siblings(v: Views):
     r = v.records().withColumn("business_address", F.concat(F.col("hn"), F.lit(" "), F.col("business_address"))).select("entity_id", "business_name", "business_address", "country", "src")

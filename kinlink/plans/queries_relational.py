@@ -515,16 +515,50 @@ def threshold_grid(v: Views):
     return _round(P.threshold_grid(v.masters(), v.scores(), v.truth(), [0.3, 0.5, 0.7, 0.9]), "f05")
 
 
-@query(f"""
+_WRONG = f"""
 WITH {_ENTITY}, f AS (SELECT s1, {_F.format(w='1.0')} AS f FROM e), k AS (SELECT s1, q FROM best WHERE p >= 0.5),
 w AS (
-  SELECT t.s1, t.other AS q, CASE WHEN s.q IS NULL THEN 'missed' WHEN o.q IS NOT NULL THEN 'lost_to_other' ELSE 'below_threshold' END AS cause FROM truth t LEFT JOIN k ON k.s1 = t.s1 AND k.q = t.other
-    LEFT JOIN (SELECT s1, q FROM scores WHERE p >= 0.2) s ON s.s1 = t.s1 AND s.q = t.other LEFT JOIN k o ON o.q = t.other WHERE k.s1 IS NULL
-  UNION ALL SELECT k.s1, k.q, CASE WHEN r.other IS NULL THEN 'distractor' ELSE 'false_other' END FROM k LEFT JOIN truth t ON t.s1 = k.s1 AND t.other = k.q LEFT JOIN (SELECT DISTINCT other FROM truth) r ON r.other = k.q WHERE t.s1 IS NULL)
-SELECT cause, count(*) AS records, round(sum((1 - f) / n) / (SELECT count(*) FROM masters), 6) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY s1) AS n FROM w) JOIN f USING (s1) GROUP BY cause
-""", "masters", "truth", "best", "scores")
+  SELECT t.s1, t.other AS q, CASE WHEN s.q IS NULL THEN 'missed' WHEN s.p < 0.2 THEN 'dropped' WHEN o.q IS NOT NULL THEN 'lost_to_other' ELSE 'below_threshold' END AS cause FROM truth t LEFT JOIN k ON k.s1 = t.s1 AND k.q = t.other
+    LEFT JOIN (SELECT s1, q, p FROM scores WHERE p >= 0.1) s ON s.s1 = t.s1 AND s.q = t.other LEFT JOIN k o ON o.q = t.other WHERE k.s1 IS NULL
+  UNION ALL SELECT DISTINCT k.s1, CASE WHEN h.s1 IS NOT NULL THEN k.q END, CASE WHEN h.s1 IS NULL THEN 'singleton' WHEN r.other IS NULL THEN 'distractor' ELSE 'false_other' END
+    FROM k LEFT JOIN truth t ON t.s1 = k.s1 AND t.other = k.q LEFT JOIN (SELECT DISTINCT other FROM truth) r ON r.other = k.q LEFT JOIN (SELECT DISTINCT s1 FROM truth) h ON h.s1 = k.s1 WHERE t.s1 IS NULL)"""
+
+
+@query(_WRONG + " SELECT cause, count(*) AS records, round(sum((1 - f) / n) / (SELECT count(*) FROM masters), 6) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY s1) AS n FROM w) JOIN f USING (s1) GROUP BY cause", "masters", "truth", "best", "scores")
 def loss_decomposition(v: Views):
-    return _round(P.loss_decomposition(v.masters(), v.scores().where("p >= 0.2"), _kept(v), v.truth()), "loss")
+    return _round(P.loss_decomposition(v.masters(), v.scores().where("p >= 0.1"), v.scores().where("p >= 0.2"), _kept(v), v.truth()), "loss")
+
+
+@query(_WRONG + """, d AS (SELECT DISTINCT s1, CASE WHEN cause IN ('lost_to_other', 'below_threshold', 'dropped') THEN 'model' ELSE cause END AS kind FROM w)
+SELECT kind, count(*) AS masters, round(sum((1 - f) / n) / (SELECT count(*) FROM masters), 6) AS loss FROM (SELECT *, count(*) OVER (PARTITION BY s1) AS n FROM d) JOIN f USING (s1) GROUP BY kind
+""", "masters", "truth", "best", "scores")
+def loss_by_kind(v: Views):
+    return _round(P.loss_by_kind(v.masters(), v.scores().where("p >= 0.1"), _kept(v), v.truth()), "loss")
+
+
+@query("""
+WITH x AS (SELECT s1, q, ((CAST(substr(q, 4) AS BIGINT) * 37) % 100) / 100.0 AS p FROM twos)
+SELECT s.entity_id AS s1, coalesce((SELECT string_agg(q, ',' ORDER BY p DESC, q) FROM x WHERE x.s1 = s.entity_id), '') AS ids FROM s_side s
+""", "s_side", "twos")
+def id_list_prefixes(v: Views):
+    """Lists of ids with the prefixes of the second and third source; the masters' own ids, paired with themselves, fall away."""
+    p = v.record_pairs().withColumn("p", ((F.substring("q", 4, 20).cast("bigint") * 37) % 100) / 100.0)
+    own = p.select("s1", F.col("s1").alias("q"), F.lit(1.0).alias("p")).distinct()
+    return T.id_lists(v.sides()[0].select(F.col("entity_id").alias("s1")), p.select("s1", "q", "p").unionByName(own))
+
+
+@query("SELECT source, list_sort(list(DISTINCT lang)) AS langs FROM documents GROUP BY source")
+def value_sets(v: Views):
+    return v.table("documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+
+
+@query("SELECT s1, q, p, country FROM scores WHERE country NOT IN ('BUILDING', 'MACHINERY') UNION ALL SELECT s1, q, p, country FROM scores2 WHERE country = 'BUILDING' UNION ALL SELECT s1, q, p, country FROM scores3 WHERE country = 'MACHINERY'", "scores", "scores2", "scores3")
+def checkpoint_override(v: Views):
+    """Some countries' scores from other runs' checkpoints."""
+    paths = [_folder(v) for _ in range(3)]
+    for k, path in enumerate(paths):
+        T.write_checkpoint(v.scores(k + 1), path)
+    return T.read_scores_of(v.spark, paths[0], {"BUILDING": paths[1], "MACHINERY": paths[2]})
 
 
 @query("""

@@ -94,7 +94,7 @@ INFLATION_BANDS = [0.3, 0.5, 0.6, 0.7, 0.775, 0.85, 0.9, 0.95, 0.97, 0.99, 1.000
 CELL_BANDS = [0.3, 0.5, 0.65, 0.775, 0.85, 0.9, 0.95, 0.97, 0.99, 1.01]
 
 DEFAULTS = {
-    "k_block": 20, "k_keep": 10, "k_nostate": 40, "train_frac": 0.3, "val_pct": 20, "rounds": 3000, "s1_recall": 0.9995, "lex_drop": 0.4,
+    "k_block": 20, "k_keep": 10, "k_nostate": 40, "train_frac": 0.3, "val_pct": 20, "rounds1": 300, "depth1": 6, "rounds": 3000, "depth2": 7, "s1_recall": 0.9995, "lex_drop": 0.4,
     "fp_weight": 1.9, "neg_weight": 1.0, "p_unfound": 0.02, "min_p": 0.05, "sure": 0.985, "tol": 0.02,
 }
 

@@ -81,9 +81,13 @@ def _key():
     return address_key(F.col("state"), F.col("idents"), F.col("hn"), F.col("street"), F.col("city"))
 
 
-def train(spark: SparkSession, records: DataFrame, truth: DataFrame, work: str, cfg: dict | None = None, rounds: int = 20, depth: int = 4) -> dict:
+def train(spark: SparkSession, records: DataFrame, truth: DataFrame, work: str, cfg: dict | None = None, rounds: int | None = None, depth: int | None = None, refit: bool = False, dump: str | None = None) -> dict:
     """Fits both stages and writes models, tables and settings under `work`; returns the settings. records: entity_id, business_name,
-    business_address, country, src; truth: s1, other."""
+    business_address, country, src; truth: s1, other.
+
+    The first stage takes cfg `rounds1` rounds of trees of depth `depth1`, the second up to `rounds` of depth `depth2`, stopped where
+    the validation masters' loss no longer falls; `rounds` and `depth`, if given, hold for both. With `refit` the second stage is then
+    fitted to all rows with 1.15 times the rounds that it kept. `dump` names a folder for the second stage's features."""
     cfg = K.DEFAULTS | (cfg or {})
     names = records.select("entity_id", F.col("business_name").alias("name"))
     learned = translit.learn(truth.join(names.select(F.col("entity_id").alias("other"), F.col("name").alias("a")), "other").join(names.select(F.col("entity_id").alias("s1"), F.col("name").alias("b")), "s1").select("a", "b"))
@@ -91,7 +95,7 @@ def train(spark: SparkSession, records: DataFrame, truth: DataFrame, work: str,
     parsed = saved(parse(records, table or None), f"{work}/parsed")
     s, q = sides(parsed)
     first = saved(relational.label_pairs(block(s, q, cfg), truth), f"{work}/candidates")
-    scored, one = model.first_stage(first, CHEAP, rounds=rounds, depth=depth)
+    scored, one = model.first_stage(first, CHEAP, rounds=rounds or cfg["rounds1"], depth=depth or cfg["depth1"])
     scored = saved(scored, f"{work}/stage1")
     floor = model.recall_threshold(scored, cfg["s1_recall"])
     second = saved(stage2(scored.where(F.col("p1") >= floor), s, q), f"{work}/stage2")
@@ -99,7 +103,10 @@ def train(spark: SparkSession, records: DataFrame, truth: DataFrame, work: str,
     lexicon = saved(features.learn_lexicon(held_in.where("n_tset >= 80")), f"{work}/lexicon")
     folds = features.out_of_fold_lexicon(held_in, drop=cfg["lex_drop"])
     lexed = saved(held_in.join(folds, ["s1", "q"]).unionByName(second.where("is_val").join(features.apply_lexicon(second.where("is_val"), lexicon), ["s1", "q"])), f"{work}/features")
-    two = model.train(lexed.where("not is_val"), STAGE2, rounds=rounds, depth=depth, negative_weight=cfg["neg_weight"])
+    if dump:
+        tables.write_training_dump(lexed, s, q, dump)
+    fit = {"depth": depth or cfg["depth2"], "negative_weight": cfg["neg_weight"]}
+    two = model.train(lexed, STAGE2, rounds=rounds or cfg["rounds"], validation="is_val", **fit)
     validation = saved(model.score(two, lexed.where("is_val"), STAGE2), f"{work}/validation").select("s1", "q", "p", "y", "country")
     masters = s.select(F.col("entity_id").alias("s1"), "country").where(sampling.in_validation(F.col("s1"), cfg["val_pct"]))
     own = truth.join(masters.select("s1"), "s1", "left_semi")
@@ -110,8 +117,11 @@ def train(spark: SparkSession, records: DataFrame, truth: DataFrame, work: str,
     n = masters.count()
     use_expected = expected_f >= (by_threshold.f05 or 0.0)
     kept = expected if use_expected else decision.assign(validation, by_threshold.threshold)
+    kept_rounds = two.getNumTrees
+    if refit:
+        two = model.train(lexed, STAGE2, rounds=-(-115 * kept_rounds // 100), **fit)
     meta = {
-        "threshold": by_threshold.threshold, "val_f05": by_threshold.f05, "val_f05_expected": expected_f, "decision": "expected" if use_expected else "threshold", "stage1_threshold": floor,
+        "rounds": kept_rounds, "threshold": by_threshold.threshold, "val_f05": by_threshold.f05, "val_f05_expected": expected_f, "decision": "expected" if use_expected else "threshold", "stage1_threshold": floor,
         "target_mps": kept.count() / n if n else 0.0, "features1": CHEAP, "features2": STAGE2, "cfg": cfg,
     }
     one.write().overwrite().save(f"{work}/model1")
@@ -121,9 +131,10 @@ def train(spark: SparkSession, records: DataFrame, truth: DataFrame, work: str,
     return meta
 
 
-def predict(spark: SparkSession, records: DataFrame, artifacts: str, out: str, calibrate: str | None = "shape", decide_by: str | None = None, selftrain: tuple[float, float] | None = None) -> DataFrame:
+def predict(spark: SparkSession, records: DataFrame, artifacts: str, out: str, calibrate: str | None = "shape", decide_by: str | None = None, selftrain: tuple[float, float] | None = None, threshold: float | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
     """Scores records with a trained work folder, country by country in the data, and writes checkpoints (countries that have one are
-    skipped), pair scores, candidate and matching lists; returns the matches."""
+    skipped), pair scores, candidate and matching lists; returns the matches. `threshold` takes the place of the trained one, and
+    `overrides` names folders whose scores some countries are taken from."""
     meta, table = tables.read_artifact(spark, f"{artifacts}/meta"), tables.read_artifact(spark, f"{artifacts}/translit")
     cfg = meta["cfg"]
     done = tables.checkpointed(spark, f"{out}/scores")
@@ -142,7 +153,8 @@ def predict(spark: SparkSession, records: DataFrame, artifacts: str, out: str, c
             own = features.self_trained_lexicon(scored, lexicon, *selftrain)
             scored = saved(model.score(two, second.join(features.apply_lexicon(second.join(scored.select("s1", "q"), ["s1", "q"]), own), ["s1", "q"]), meta["features2"]), f"{out}/rescored")
         tables.write_checkpoint(scored.select("s1", "q", "p", "country"), f"{out}/scores")
-    scores = tables.read_scores(spark, f"{out}/scores")
+    meta = meta | ({"threshold": threshold} if threshold is not None else {})
+    scores = tables.read_scores_of(spark, f"{out}/scores", overrides or {})
     masters = records.where("src = 1").select(F.col("entity_id").alias("s1"), "country")
     kept = decide(scores, masters, meta, decide_by or meta["decision"], calibrate)
     tables.write_id_lists(tables.id_lists(masters, scores), f"{out}/candidate_pairs.tsv", ("source1_entity_id", "candidate_entity_ids"))
@@ -169,6 +181,17 @@ def combine(spark: SparkSession, runs: list[str], weights: list[float] | None =
     return (ensemble.mean_with_zeros if zeros else ensemble.mean_of_scored)(frames, weights)
 
 
+def stratify(scores: DataFrame, parsed: DataFrame, masters: int, reference: DataFrame, reference_masters: int, min_precision: float = 0.75) -> DataFrame:
+    """Best pairs of the cells (band, number, name, legal form) that are precise enough in a labelled reference: best pairs with y and
+    the parsed columns, such as celled() gives."""
+    return decision.stratified_accept(celled(scores, parsed), masters, reference, reference_masters, min_precision).where("accepted").select("s1", "q", "p")
+
+
+def celled(scores: DataFrame, parsed: DataFrame) -> DataFrame:
+    best = relational.best_per_query(scores)
+    return decision.cells(features.with_records(best, parsed, parsed, ["name_core", "legal", "hn"]))
+
+
 def postprocess(scores: DataFrame, parsed: DataFrame, thresholds: dict[str, float], rescue_from: float = 0.5, sibling_countries: list[str] | None = None, camps: dict[str, float] | None = None, kinds: list[str] | None = None) -> DataFrame:
     """Thresholds by country, rescues under them, sibling drops and camp drops."""
     best = relational.best_per_query(scores).drop("country")

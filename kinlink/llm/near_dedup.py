@@ -3,7 +3,7 @@
 1. A document's set of word shingles becomes a class key (documents with equal sets are one class from here on) and a
    signature of 128 MinHashes, kept as 16 bits each.
 2. Bands of 8 signature places each put classes into buckets; their number follows from the threshold and the chosen
-   miss probability. In a bucket everyone is tied to its least class only, and ties are closed into candidate groups,
+   miss probability. Most buckets hold one class: a bitmap keeps them out of the shuffle. In a bucket everyone is tied to its least class only, and ties are closed into candidate groups,
    so a bucket of n classes makes n - 1 rows, never its pairs.
 3. Candidate groups are cut into blocks of bounded size and compared in memory: a pair that shares a band is compared
    signature batch by signature batch, and dropped once the posterior probability that its similarity reaches the
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm import shared, tokens
+from kinlink.llm import exchange, shared, tokens
 from kinlink.llm.components import components
 
 PLACES, BAND, BATCH = 128, 8, 16
@@ -114,13 +114,61 @@ def band_hashes(signs: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bands(places: np.ndarray):
+def _signatures(batches, most: int):
+    """(classes, signatures) of about `most` rows of (cls, sign) at a time."""
+    cls, signs, n = [], [], 0
+    for batch in batches:
+        cls.append(batch.column(0).to_numpy(zero_copy_only=False))
+        signs += batch.column(1).to_pylist()
+        n += batch.num_rows
+        if n >= most:
+            yield np.concatenate(cls), np.frombuffer(b"".join(signs), dtype=np.uint16).reshape(-1, PLACES)
+            cls, signs, n = [], [], 0
+    if n:
+        yield np.concatenate(cls), np.frombuffer(b"".join(signs), dtype=np.uint16).reshape(-1, PLACES)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << shared.SIEVE_BITS) - 1)).astype(np.int64)
+
+
+def shared_buckets(classes: DataFrame, places: np.ndarray) -> np.ndarray:
+    """A bitmap of 8 MB, by the hashes' lowest bits, that has every bucket with two classes or more (and by chance some
+    others). Only packed keys of six bytes are shuffled for it, a row for each run of classes and hash bucket."""
+    bits = exchange.bucket_bits(classes)
+
+    def send(batches):
+        for _, signs in _signatures(batches, max(1, (1 << 20) // len(places))):
+            h, n = np.unique(band_hashes(signs, places), return_counts=True)
+            rows = [(b, np.array([6 * (s.stop - s.start)], np.int64).tobytes() + exchange.six(h[s]) + exchange.pack((n[s] > 1).astype(np.uint8))) for b, s in exchange.by_bucket(h, bits)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([b for b, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
+
+    def met(key, rows):
+        keys, several = [], []
+        for p in rows["payload"]:
+            n = int(np.frombuffer(p, np.int64, 1)[0])
+            keys.append(exchange.from_six(p[8 : 8 + n]))
+            several.append(exchange.unpack(p[8 + n :])[0])
+        h, at = np.unique(np.concatenate(keys), return_inverse=True)
+        slot = _slot(h[np.bincount(at, 1 + np.concatenate(several)) > 1])
+        words, own = np.unique(slot >> 6, return_inverse=True)
+        held = np.zeros(len(words), np.int64)
+        np.bitwise_or.at(held, own, np.int64(1) << (slot & 63))
+        yield pa.RecordBatch.from_pydict({"word": words, "bits": held})
+
+    sent = classes.select("cls", "sign").mapInArrow(send, "part int, payload binary")
+    return shared.bitmap(shared.grouped(sent, "part", [], met, "word long, bits long"))
+
+
+def _bands(places: np.ndarray, bitmap):
+    """(cls, bucket) of the buckets that the bitmap has."""
+
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, PLACES)
-            yield pa.RecordBatch.from_pydict({"cls": np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(places)), "bucket": band_hashes(signs, places).ravel().view(np.int64)})
+        for cls, signs in _signatures(batches, 4096):
+            h = band_hashes(signs, places)
+            slot = _slot(h)
+            i, j = np.nonzero((bitmap.value[slot >> 6] >> (slot & 63)) & 1)
+            yield pa.RecordBatch.from_pydict({"cls": cls[i], "bucket": h[i, j].view(np.int64)})
 
     return run
 
@@ -247,9 +295,11 @@ def links(docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str,
     places = band_places(percent / 100)
     # Smaller sets reach the threshold only when equal.
     large = classes.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("n") + 1))
-    bands = large.select("cls", "sign").mapInArrow(_bands(places), "cls long, bucket long")
-    heads = shared.stored(bands.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").select("bucket", "head"), "heads")
-    ties = bands.join(heads, "bucket").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(shared_buckets(large, places))
+    bands = shared.stored(large.select("cls", "sign").mapInArrow(_bands(places, bitmap), "cls long, bucket long"), "bands")
+    heads = bands.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("n")).where("head <> last")
+    heads = shared.stored(heads.select("bucket", "head", "n"), "heads")
+    ties = shared.keyed_join(bands, heads, "bucket").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
     groups = shared.stored(components(ties).select(F.col("node").alias("cls"), F.col("root").alias("grp")), "groups")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block)
     sizes = shared.stored(sizes, "large")

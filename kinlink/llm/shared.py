@@ -84,19 +84,24 @@ def sieve(keys: DataFrame, key: str) -> Callable:
     number of keys. What passes must be joined; what doesn't needn't be shuffled."""
     place = lambda c: F.pmod(F.xxhash64(c, F.lit("sieve")), F.lit(1 << SIEVE_BITS))
     slots = keys.select(place(F.col(key)).alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, int(slot & 63)) AS bit")
-    table = slots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    held = np.zeros(1 << (SIEVE_BITS - 6), dtype=np.int64)
-    held[table["word"].to_numpy()] = table["bits"].to_numpy()
-    bitmap = keys.sparkSession.sparkContext.broadcast(held)
+    held = keys.sparkSession.sparkContext.broadcast(bitmap(slots.select("word", F.col("bit").alias("bits"))))
 
     @F.pandas_udf("boolean")
     def test(slot: pd.Series) -> pd.Series:
         at = slot.to_numpy()
-        return pd.Series((bitmap.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
 
     return lambda column: test(place(column))
 
 
+def bitmap(words: DataFrame) -> np.ndarray:
+    """The bits of (word, bits), put together: SIEVE_BITS of them at any number of rows."""
+    table = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(1 << (SIEVE_BITS - 6), dtype=np.int64)
+    held[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return held
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

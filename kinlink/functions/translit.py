@@ -9,6 +9,21 @@ from kinlink.functions.text import fold, is_native, skeleton
 from kinlink.operators.relational import majority
 
 
+#: Table rows up to which it's broadcast to the names' words; beyond, both are shuffled by word.
+BROADCAST_WORDS = 100_000
+
+
+def apply(records: DataFrame, table: DataFrame, name: str, id_: str, out: str) -> DataFrame:
+    """records (with an id) with `out`: the name with the native words of the table (native, latin) in Latin letters. Only records
+    with native letters are taken apart; repeated ids share the name that stands first."""
+    native = records.where(is_native(F.col(name))).groupBy(id_).agg(F.min(name).alias("__name"))
+    words = native.select(id_, F.posexplode(F.split("__name", r"\s+")).alias("__i", "native"))
+    held = F.broadcast(table) if table.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else table
+    spelt = words.join(held, "native", "left").groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("__i", F.coalesce("latin", "native").alias("w")))).alias("__ws"))
+    spelt = spelt.select(id_, F.array_join(F.transform("__ws", lambda x: x["w"]), " ").alias(out))
+    return records.join(spelt, id_, "left").withColumn(out, F.coalesce(out, name))
+
+
 def learn(pairs: DataFrame, min_count: int = 2, purity: float = 0.5) -> DataFrame:
     """(native, latin) from pairs (a, b) of a native and a Latin name with as many words: words align by place."""
     a, b = F.split(F.trim("a"), r"\s+"), F.split(F.trim(F.lower("b")), r"\s+")

@@ -39,8 +39,11 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def parse(records: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
-    out = parse_addresses(parse_names(records, translit=table))
+def parse(records: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """records taken apart; table: (native, latin)."""
+    if table is not None:
+        records = translit.apply(records, table, "business_name", "entity_id", "__latin")
+    out = parse_addresses(parse_names(records, latin="__latin" if table is not None else None)).drop("__latin")
     return out.withColumn("name", F.array_join(F.array_sort("name_core"), " "))
 
 
@@ -91,8 +94,8 @@ def train(spark: SparkSession, records: DataFrame, truth: DataFrame, work: str,
     cfg = K.DEFAULTS | (cfg or {})
     names = records.select("entity_id", F.col("business_name").alias("name"))
     learned = translit.learn(truth.join(names.select(F.col("entity_id").alias("other"), F.col("name").alias("a")), "other").join(names.select(F.col("entity_id").alias("s1"), F.col("name").alias("b")), "s1").select("a", "b"))
-    table = {r.native: r.latin for r in translit.extend(learned, names).collect()}
-    parsed = saved(parse(records, table or None), f"{work}/parsed")
+    table = saved(translit.extend(learned, names), f"{work}/translit")
+    parsed = saved(parse(records, table), f"{work}/parsed")
     s, q = sides(parsed)
     first = saved(relational.label_pairs(block(s, q, cfg), truth), f"{work}/candidates")
     scored, one = model.first_stage(first, CHEAP, rounds=rounds or cfg["rounds1"], depth=depth or cfg["depth1"])
@@ -127,7 +130,6 @@ def train(spark: SparkSession, records: DataFrame, truth: DataFrame, work: str,
     one.write().overwrite().save(f"{work}/model1")
     two.write().overwrite().save(f"{work}/model2")
     tables.write_artifact(spark, meta, f"{work}/meta")
-    tables.write_artifact(spark, table, f"{work}/translit")
     return meta
 
 
@@ -135,15 +137,14 @@ def predict(spark: SparkSession, records: DataFrame, artifacts: str, out: str, c
     """Scores records with a trained work folder, country by country in the data, and writes checkpoints (countries that have one are
     skipped), pair scores, candidate and matching lists; returns the matches. `threshold` takes the place of the trained one, and
     `overrides` names folders whose scores some countries are taken from."""
-    meta, table = tables.read_artifact(spark, f"{artifacts}/meta"), tables.read_artifact(spark, f"{artifacts}/translit")
+    meta = tables.read_artifact(spark, f"{artifacts}/meta")
     cfg = meta["cfg"]
     done = tables.checkpointed(spark, f"{out}/scores")
     todo = records.where(~F.col("country").isin(done)) if done else records
     if todo.limit(1).count():
         names = todo.select(F.col("business_name").alias("name"))
-        known = spark.createDataFrame(list(table.items()) or [], "native string, latin string")
-        table = {r.native: r.latin for r in translit.extend(known, names).collect()}
-        parsed = saved(parse(todo, table or None), f"{out}/parsed")
+        table = saved(translit.extend(spark.read.parquet(f"{artifacts}/translit"), names), f"{out}/translit")
+        parsed = saved(parse(todo, table), f"{out}/parsed")
         s, q = sides(parsed)
         first = model.score(GBTClassificationModel.load(f"{artifacts}/model1"), block(s, q, cfg), meta["features1"], "p1").where(F.col("p1") >= meta["stage1_threshold"])
         second = saved(stage2(saved(first, f"{out}/stage1"), s, q), f"{out}/stage2")

@@ -170,13 +170,13 @@ def recall_by_k(v: Views):
 # Normalisation: the records' addresses and names, after a few written ones that meet every rule
 
 ADDRESSES = [
-    ("12 Main Street, Springfield, IL", "US"), ("e-4/39, Andheri East, Bombay, Maharashtra", "India"), ("plot no-176, Sector 5, Gurugram, HR", "India"), ("3 bis rue de la Paix, Nantes, Loire-Atlantique", "France"),
-    ("First Floor, 0014 North 2nd Avenue, Austin, Texas", "US"), ("N/A", "US"), ("", "India"), ("H.No 332, 17/34, Market Road, Poona, MH", "India"), ("1003a Lake Dr, Unit 7, Portland, OR", "US"),
-    ("10 1/2 Elm Ct, Dover, Delaware", "US"), ("Mack Rd, Sacramento, CA", "US"), ("<NULL>, 5 Hill Lane, , Reno, nevada.", "US"), ("99999 Long Beach Blvd, , CA", "US"), ("12 avenue de l'Europe, Bordeaux, Gironde", "France"),
+    ("12 Main Street, Springfield, IL", "US"), ("b-7/21, Bandra West, Bombay, Maharashtra", "India"), ("plot no-205, Sector 5, Gurugram, HR", "India"), ("3 bis rue des Lilas, Nantes, Loire-Atlantique", "France"),
+    ("First Floor, 0014 North 2nd Avenue, Austin, Texas", "US"), ("N/A", "US"), ("", "India"), ("H.No 418, 9/52, Market Road, Poona, MH", "India"), ("2407c Lake Dr, Unit 7, Portland, OR", "US"),
+    ("10 1/2 Elm Ct, Dover, Delaware", "US"), ("Birch Rd, Fresno, CA", "US"), ("<NULL>, 5 Hill Lane, , Reno, nevada.", "US"), ("99999 Ocean Blvd, , CA", "US"), ("12 avenue de l'Orme, Bordeaux, Gironde", "France"),
 ]
 NAMES = [
-    "Solcirax formerly known as Heartland Ministries", "www.fudit.com", "Acme Provate Limted", "Acme L.L.C.", "M/S Shri Ram Traders Pvt. Ltd.", "G1obal 8lue Tech Inc (ref: 12345)", "A.B.C. & Sons Company", "Limited",
-    "The O'Neil Group l l c", "Société Générale SA", "Widget+Co dba Gadgets", "Smith 1234567 Corp", "lncorporated Foods Corparation",
+    "Brightfen formerly known as Oakmoor Chapel", "www.mellowpine.com", "Tarn Provate Limted", "Tarn L.L.C.", "M/S Shri Gopal Traders Pvt. Ltd.", "G1obal 8lue Tech Inc (ref: 12345)", "A.B.C. & Sons Company", "Limited",
+    "The O'Mara Group l l c", "Société Générique SA", "Bolt+Co dba Fasteners", "Finch 1234567 Corp", "lncorporated Foods Corparation",
 ]
 _VALUES = ", ".join("('{}', '{}')".format(a.replace("'", "''"), c) for a, c in ADDRESSES)
 _PLACES = f"(SELECT -row_number() OVER () AS id, a, c FROM (VALUES {_VALUES}) t(a, c) UNION ALL SELECT doc_id, coalesce(business_address, ''), country FROM records)"

@@ -37,8 +37,7 @@ def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 
 def _folder(v: Views) -> str:
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{T.shared_folder(v.spark)}/{uuid.uuid4().hex}"
 
 
 def _ladder(p: str, edges: list[float]) -> str:

@@ -192,10 +192,27 @@ def test_out_of_fold_lexicon(spark):
 
 
 def test_names_taken_apart(spark):
-    names = ["A.B.C.D.E.F.G.H.I. Traders Pvt. Ltd.", "a.b.c.d.e.f.g.h.i.j.k works", "x.y'z", "Acme Provate Limted", "M/S Shri Ram & Sons (ref: 12345) 1234567", "www.fudit.com", "Solcirax formerly known as Heartland Ministries", "Limited", None, ""]
+    names = ["A.B.C.D.E.F.G.H.I. Traders Pvt. Ltd.", "a.b.c.d.e.f.g.h.i.j.k works", "x.y'z", "Tarn Provate Limted", "M/S Shri Ram & Sons (ref: 12345) 1234567", "www.mellowpine.com", "Brightfen formerly known as Oakmoor Chapel", "Limited", None, ""]
     out = N.parse_names(spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, business_name string")).orderBy("id").collect()
-    assert [(" ".join(r.name_core), sorted(r.legal)) for r in out] == [("abcdefghi traders", ["ltd", "pvt"]), ("abcdefghijk works", []), ("xy z", []), ("acme", ["ltd", "pvt"]), ("ram sons", []), ("fudit", []), ("heartland ministries", []), ("limited", ["ltd"]), ("", []), ("", [])]
-    assert (out[5].domain, out[6].name_alt, out[0].concat) == (1, ["solcirax"], "abcdefghitraders")
+    assert [(" ".join(r.name_core), sorted(r.legal)) for r in out] == [("abcdefghi traders", ["ltd", "pvt"]), ("abcdefghijk works", []), ("xy z", []), ("tarn", ["ltd", "pvt"]), ("ram sons", []), ("mellowpine", []), ("oakmoor chapel", []), ("limited", ["ltd"]), ("", []), ("", [])]
+    assert (out[5].domain, out[6].name_alt, out[0].concat) == (1, ["brightfen"], "abcdefghitraders")
+
+
+def test_names_in_latin_letters(spark):
+    from kinlink.functions import translit
+
+    table = spark.createDataFrame([("राम", "ram"), ("मिल", "mill")], "native string, latin string")
+    rows = spark.createDataFrame([("a", "राम  मिल शेष"), ("b", "Ram Mill"), ("c", None), ("d", "")], "entity_id string, business_name string")
+    for most in (0, 100):
+        kept, translit.BROADCAST_WORDS = translit.BROADCAST_WORDS, most
+        try:
+            out = {r.entity_id: r.l for r in translit.apply(rows, table, "business_name", "entity_id", "l").collect()}
+        finally:
+            translit.BROADCAST_WORDS = kept
+        assert out == {"a": "ram mill शेष", "b": "Ram Mill", "c": None, "d": ""}
+    parsed = {r.entity_id: r for r in N.parse_names(translit.apply(rows, table, "business_name", "entity_id", "l"), latin="l").collect()}
+    assert parsed["a"].name_core[:2] == ["ram", "mill"]
+    assert (parsed["a"].native, parsed["b"].native) == (1, 0)
 
 
 def test_scorer_blend(spark):

@@ -26,7 +26,7 @@ import logging
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlink.llm import shared, tokens
@@ -109,7 +109,13 @@ _EDGES = "u long, v long, sim double"
 
 
 def _edges(u, v, s) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sim": pa.array(s, pa.float64())})
+    """Similarities are rounded, so that a pair that is met in matrices of different shapes gets the same one."""
+    return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sim": pa.array(np.round(s, 9), pa.float64())})
+
+
+def _first(edges: DataFrame, node: str, other: str, most: int) -> DataFrame:
+    """Each node's `most` nearest: ranked and cut before they're shuffled, so that no hub gathers all its edges."""
+    return edges.withColumn("place", F.row_number().over(Window.partitionBy(node).orderBy(F.desc("sim"), F.desc(other)))).where(F.col("place") <= most).drop("place")
 
 
 def _within(length: int):
@@ -154,7 +160,8 @@ def _join(rows_key, rows):
 def _merged(lists: DataFrame | None, fresh: DataFrame, longer: int, threshold: float) -> DataFrame:
     """(u, size, list of (sim, v), best first, open): the best `size` of old entries and fresh edges. A list is open once
     it was full of entries at the threshold, so that more may have been turned away."""
-    fresh = fresh.groupBy("u").agg(F.collect_set(F.struct("sim", "v")).alias("new"))
+    once = fresh.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    fresh = _first(once, "u", "v", max(longer, LONGEST)).groupBy("u").agg(F.collect_list(F.struct("sim", "v")).alias("new"))
     if lists is None:
         both = fresh.select("u", F.lit(longer).alias("size"), "new", F.lit(False).alias("open"), F.lit(longer).alias("was"))
     else:
@@ -170,7 +177,7 @@ def refine(nodes: DataFrame, lists: DataFrame, length: int, threshold: float) ->
     """One NN-descent round; the new lists and how many edges came in."""
     ahead = lists.select("u", F.explode("list").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.sim").alias("sim"))
     # Reverse lists are sampled as NN-descent does: the nearest `length`.
-    back = ahead.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "u")), asc=False), 1, length).alias("r")).select(F.col("v").alias("u"), F.explode("r").alias("e")).select("u", F.col("e.u").alias("v"))
+    back = _first(ahead, "v", "u", length).select(F.col("v").alias("u"), F.col("u").alias("v"))
     around = ahead.select("u", "v").union(back).distinct()
     state = nodes.join(lists, nodes["cls"] == lists["u"], "left").select(F.col("cls").alias("v"), F.col("small").alias("vec"), F.coalesce(F.when(F.size("list") >= F.col("size"), F.element_at("list", -1)["sim"]), F.lit(-1.0)).alias("worst"), F.coalesce(F.transform("list", lambda e: e["v"]), F.array().cast("array<bigint>")).alias("known"), F.coalesce("size", F.lit(length)).alias("size"))
     state = shared.stored(state, "state")

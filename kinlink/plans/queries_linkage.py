@@ -386,6 +386,21 @@ def training_slice(v: Views):
     return S.training_slice(v.records().select("entity_id", "src", "country", "state", "addr_empty"), v.record_truth(), 0.3)
 
 
+@query(f"""
+WITH x AS (SELECT * FROM {"(SELECT * REPLACE (CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS addr_empty) FROM records)"}), g AS (SELECT country, state, count(*) AS n FROM x WHERE src = 1 GROUP BY ALL),
+h AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY country) * 0.3 AS goal, count(*) OVER (PARTITION BY country) AS states FROM g) WHERE NOT (states > 3 AND n > 0.5 * goal)),
+c AS (SELECT country, state FROM (SELECT *, sum(n) OVER (PARTITION BY country ORDER BY md5(concat_ws(':', 0, country, state)) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before FROM h) WHERE before < goal),
+m AS (SELECT entity_id FROM x JOIN c USING (country, state) WHERE src = 1),
+a AS (SELECT x.entity_id, CASE WHEN x.entity_id IN (SELECT entity_id FROM m) THEN 's1' WHEN x.entity_id IN (SELECT other FROM record_truth WHERE s1 IN (SELECT entity_id FROM m)) THEN 'match'
+    WHEN src > 1 AND x.entity_id NOT IN (SELECT other FROM record_truth) AND c.state IS NOT NULL AND addr_empty = 0 THEN 'state' WHEN src > 1 AND x.entity_id NOT IN (SELECT other FROM record_truth) AND addr_empty = 1 THEN 'empty' END AS arm
+  FROM x LEFT JOIN c USING (country, state))
+SELECT entity_id, arm FROM a WHERE arm IS NOT NULL
+""", "records", "record_truth")
+def training_slice_arms(v: Views):
+    """The slice with all its distractors, so that the rows don't hang on a hash."""
+    return S.training_slice(_maybe_empty(v).select("entity_id", "src", "country", "state", "addr_empty"), v.record_truth(), 0.3, 1.0, 1.0).select("entity_id", "arm")
+
+
 @query("""
 WITH m AS (SELECT entity_id FROM records WHERE src = 1 AND state IN ('src1', 'src2')), own AS (SELECT other FROM record_truth WHERE s1 IN (SELECT entity_id FROM m))
 SELECT entity_id FROM m UNION ALL SELECT entity_id FROM records WHERE src > 1 AND entity_id IN (SELECT other FROM own)

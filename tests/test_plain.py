@@ -150,6 +150,62 @@ def test_hash_samples(spark):
     assert ids == sorted(ids, key=lambda i: (spark_hash(1, i), i))
 
 
+def _expected_f(ps, m, unfound):
+    """Over all outcomes of the kept and the other records, by two distributions."""
+    def pmf(xs):
+        out = [1.0]
+        for p in xs:
+            out = [(out[i] if i < len(out) else 0) * (1 - p) + (out[i - 1] if i else 0) * p for i in range(len(out) + 1)]
+        return out
+
+    if m == 0:
+        return math.prod(1 - p for p in ps) * (1 - unfound)
+    total = 0.0
+    for t, a in enumerate(pmf(ps[:m])):
+        for f, b in enumerate(pmf([*ps[m:], unfound])):
+            total += a * b * (1.25 * t / (t + (m - t) + 0.25 * (t + f)) if t else 0.0)
+    return total
+
+
+def test_calibrated_odds(spark):
+    v = Views(spark, SMALL)
+    best = {}
+    for r in v.scores().where("p >= 0.5").collect():
+        best[r.q] = max(best.get(r.q, (-1, 0)), (r.p, -r.s1))
+    groups = {}
+    for q, (p, s1) in best.items():
+        groups.setdefault(-s1, []).append((-p, q))
+
+    def kept(divisor):
+        out = set()
+        for s1, g in groups.items():
+            ps = [(q, -p / (-p + divisor * (1 + p))) for p, q in sorted(g)]
+            ps = [(q, p) for q, p in ps if p >= 0.05]
+            values = [p for _, p in ps]
+            if not values:
+                continue
+            scores = [_expected_f(values, m, 0.02) for m in range(len(values) + 1)]
+            m = len(values) if values[-1] >= 0.985 else min(range(len(scores)), key=lambda i: (-round(scores[i], 12), i))
+            out |= {(s1, q) for q, _ in ps[:m]}
+        return out
+
+    limit = 1.5 * v.masters().count() * 1.02
+    found, low, high = None, 1.0, 8.0
+    divisor = 1.0
+    if len(kept(1.0)) > limit:
+        for _ in range(3):
+            one = kept((low + high) / 2)
+            if len(one) <= limit:
+                high, found = (low + high) / 2, one
+            else:
+                low = (low + high) / 2
+        divisor = high
+    found = kept(1.0) if found is None else found
+    rows = QUERIES["calibrate_odds"](spark, SMALL).collect()
+    assert {(r.s1, r.q) for r in rows} == found
+    assert {r.divisor for r in rows} == {divisor if found != kept(1.0) or divisor == 1.0 else 8.0}
+
+
 def test_pseudo_labels(spark):
     best = {}
     for r in Views(spark, SMALL).scores().collect():

@@ -3,16 +3,18 @@
 1. A document's set of word shingles becomes a class key (documents with equal sets are one class from here on) and a
    signature of 128 MinHashes, kept as 16 bits each.
 2. Bands of 8 signature places each put classes into buckets; their number follows from the threshold and the chosen
-   miss probability. Most buckets hold one class: a bitmap keeps them out of the shuffle. In a bucket everyone is tied to its least class only, and ties are closed into candidate groups,
-   so a bucket of n classes makes n - 1 rows, never its pairs.
+   miss probability. Most buckets hold one class: a bitmap keeps them out of the shuffle. In a bucket everyone is tied
+   to its least class only, and ties are closed into candidate groups, so a bucket of n classes makes n - 1 rows, never
+   its pairs.
 3. Candidate groups are cut into blocks of bounded size and compared in memory: a pair that shares a band is compared
    signature batch by signature batch, and dropped once the posterior probability that its similarity reaches the
    threshold (uniform prior) is under `miss`. Survivors are verified on their full sets. A comparison returns links that
    span what it found, not all of them, and skips pairs that are in one component already.
-   A group of several blocks isn't compared block by block at once. First each block is compared within itself, then
-   with the group's PIVOTS, those classes that have the most near ones in their own blocks. Of a group of copies of one
-   text this leaves one large component and little else. Only the rest is then compared with all of the group, so the
-   work grows with the size of the group times that of the rest, not with its square, unless a group falls apart.
+   A group of several blocks isn't compared block by block at once. First each block is compared within itself and
+   with the group's PIVOTS, those of its classes that share the most buckets. Classes that this ties to the first pivot
+   (through another pivot, perhaps) are one component already. Only the rest is then compared with all of the group. A
+   group of copies of one text leaves little, so the work grows with the size of the group times that of the rest, not
+   with its square, unless a group falls apart.
 4. Links are closed into components.
 
 Shingles are compared by 64-bit hashes. Defined cases: a null text or one without words has an empty set, which links
@@ -186,9 +188,10 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def _links(percent: int, places: np.ndarray, pivot: bool = False):
-    """Links between the sides of a block, or within its only side; classes of one root are linked already. With
-    `pivot`, also a row (class, null, how many of the block look near it) for the most central class."""
+def _links(percent: int, places: np.ndarray, tied: bool = False):
+    """Links between the sides of a block, or within its only side; classes of one root are linked already. With `tied`
+    everything is compared with each other, and rows (class, null, pivots) say which classes of side 1 each class is
+    tied to, itself among them if it's one."""
     floors = least_matches(percent / 100)
 
     def fn(key, rows):
@@ -208,8 +211,8 @@ def _links(percent: int, places: np.ndarray, pivot: bool = False):
                 x = root[x]
             return x
 
-        found, near = [], np.zeros(len(ids), np.int64)
-        own = sides.max() == 0
+        found = []
+        own = tied or sides.max() == 0
         right = np.arange(len(ids)) if own else np.flatnonzero(sides == 1)
         for i in np.arange(len(ids)) if own else np.flatnonzero(sides == 0):
             to = right[right > i] if own else right
@@ -226,9 +229,6 @@ def _links(percent: int, places: np.ndarray, pivot: bool = False):
                 at = slice(b * BATCH, (b + 1) * BATCH)
                 same += (signs[to, at] == signs[i, at]).sum(axis=1)
                 to, same = to[same >= floor], same[same >= floor]
-            close = to[100 * same >= percent * PLACES]
-            near[i] += len(close)
-            near[close] += 1
             for j in to.tolist():
                 x, y = find(i), find(j)
                 if x == y:
@@ -236,53 +236,58 @@ def _links(percent: int, places: np.ndarray, pivot: bool = False):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                     root[x] = y
-                    found.append((ids[i], ids[j], 0))
-        if pivot:
-            best = int(near.argmax())
-            found.append((ids[best], None, near[best]))
-        a, b, n = zip(*found) if found else ((), (), ())
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "near": pa.array(n, pa.int64())})
+                    found.append((ids[i], ids[j], None))
+        if tied:
+            pivots = {}
+            for i in np.flatnonzero(sides == 1).tolist():
+                pivots.setdefault(find(i), set()).add(int(ids[i]))
+            found += [(ids[i], None, sorted(pivots.get(find(i), ()))) for i in range(len(ids))]
+        a, b, p = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.list_(pa.int64()))], names=["a", "b", "pivots"])
 
     return fn
 
 
-_FOUND = "a long, b long, near long"
+_FOUND = "a long, b long, pivots array<long>"
 
 
-def _compared(dealt: DataFrame, percent: int, places: np.ndarray, pivot: bool = False, name: str = "links") -> DataFrame:
+def _compared(dealt: DataFrame, percent: int, places: np.ndarray, tied: bool = False) -> DataFrame:
     """Stored links of the blocks of dealt (block, side, cls, root, sign, shingles)."""
-    return shared.stored(shared.grouped(dealt, "block", ["side", "cls"], _links(percent, places, pivot), _FOUND), name)
+    return shared.stored(shared.grouped(dealt, "block", ["side", "cls"], _links(percent, places, tied), _FOUND), "links")
 
 
-def _across(full: DataFrame, percent: int, places: np.ndarray, block: int) -> DataFrame:
+def _across(full: DataFrame, bands: DataFrame, percent: int, places: np.ndarray, block: int) -> DataFrame:
     """(a, b): links of the groups of more than one block. full: cls, sign, grp, parts, shingles; stored."""
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    full = full.withColumn("part", part)
     row = ["cls", "sign", "shingles"]
-    own = _compared(full.select(F.xxhash64("grp", "part").alias("block"), F.lit(0).alias("side"), F.col("cls").alias("root"), *row), percent, places, True)
-    best = own.where("b is null").select(F.col("a").alias("cls"), "near").join(full.select("cls", "grp"), "cls")
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("near"), "cls"))).where(F.col("place") <= PIVOTS)
-    pivots = full.join(shared.stored(best.select("cls"), "pivots"), "cls").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    near = own.where("b is not null").select("a", "b")
-    roots = shared.stored(components(near), "roots")
-    rooted = lambda df: df.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    dealt = rooted(full).select(F.xxhash64("grp", "part").alias("block"), F.lit(0).alias("side"), "root", *row)
-    dealt = dealt.union(rooted(pivots).select(F.xxhash64("grp", "to").alias("block"), F.lit(1).alias("side"), "root", *row))
-    near = shared.stored(near.union(_compared(dealt, percent, places).select("a", "b")), "links")
-    # The rest: all but the largest component of each group.
-    roots = shared.stored(components(near), "roots")
-    sizes = shared.stored(rooted(full.select("cls", "grp")).groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    most = sizes.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.max("n").alias("held"), F.sum("n").alias("n")).where("n > held")
+    met = full.select("cls", "grp", "parts").join(bands, "cls").groupBy("cls", "grp").agg(F.count(F.lit(1)).alias("met"))
+    order = Window.partitionBy("grp").orderBy(F.desc("met"), "cls")
+    pivots = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("cls", "place")
+    pivots = shared.stored(pivots.join(full, "cls").select("grp", "parts", "place", *row), "pivots")
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    dealt = full.select(F.xxhash64("grp", part).alias("block"), F.lit(0).alias("side"), F.col("cls").alias("root"), *row)
+    every = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.union(every.select(F.xxhash64("grp", "part").alias("block"), F.lit(1).alias("side"), F.col("cls").alias("root"), *row))
+    found = _compared(dealt, percent, places, True)
+    near = found.where("b is not null").select("a", "b")
+    # Pivots tied to the first one in any block; a pivot stands in its own block twice.
+    tied = found.where("b is null").select(F.col("a").alias("cls"), "pivots")
+    first = pivots.where("place = 1").select("grp", F.col("cls").alias("first"))
+    to_first = pivots.select("cls", "grp").join(tied, "cls").join(first, "grp").where(F.array_contains("pivots", F.col("first")))
+    to_first = to_first.groupBy("grp", "first").agg(F.collect_set("cls").alias("settled"))
+    own = tied.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
+    placed = own.join(full.select("cls", "grp"), "cls").join(to_first, "grp", "left").select("cls", "grp", F.coalesce(F.when(F.arrays_overlap("pivots", "settled"), F.col("first")), F.col("cls")).alias("root"), F.coalesce(~F.arrays_overlap("pivots", "settled"), F.lit(True)).alias("rest"))
+    placed = shared.stored(placed, "placed")
     parts = lambda n: F.ceil(n / block).cast("int")
-    most = shared.stored(most.select("grp", "most", parts(F.col("n") - F.col("held")).alias("few"), parts(F.col("held")).alias("many")), "most")
-    left = rooted(full.drop("part", "parts")).join(most, "grp").withColumn("rest", F.col("root") != F.col("most"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = left.where("rest").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("few")).cast("int"))
-    among = rest.withColumn("other", every("few"))
+    sizes = placed.groupBy("grp").agg(F.count_if("rest").alias("few"), F.count_if(~F.col("rest")).alias("many")).where("few > 0")
+    sizes = shared.stored(sizes.select("grp", parts(F.col("few")).alias("few"), F.greatest(F.lit(1), parts(F.col("many"))).alias("many")), "sizes")
+    left = full.select("grp", *row).join(placed.select("cls", "root", "rest"), "cls").join(sizes, "grp")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("cls", F.lit(3)), F.col(n)).cast("int")
+    rest = left.where("rest").withColumn("part", place("few"))
     i, j = F.least("part", "other"), F.greatest("part", "other")
-    dealt = among.select(F.xxhash64("grp", F.lit("rest"), i, j).alias("block"), F.when(F.col("part") == i, 0).otherwise(1).alias("side"), "root", *row)
-    dealt = dealt.union(rest.withColumn("other", every("many")).select(F.xxhash64("grp", F.lit("most"), "part", "other").alias("block"), F.lit(0).alias("side"), "root", *row))
-    large = left.where("not rest").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("many")).cast("int")).withColumn("other", every("few"))
+    dealt = rest.withColumn("other", upto("few")).select(F.xxhash64("grp", F.lit("rest"), i, j).alias("block"), F.when(F.col("part") == i, 0).otherwise(1).alias("side"), "root", *row)
+    dealt = dealt.union(rest.withColumn("other", upto("many")).select(F.xxhash64("grp", F.lit("most"), "part", "other").alias("block"), F.lit(0).alias("side"), "root", *row))
+    large = left.where("not rest").withColumn("part", place("many")).withColumn("other", upto("few"))
     dealt = dealt.union(large.select(F.xxhash64("grp", F.lit("most"), "other", "part").alias("block"), F.lit(1).alias("side"), "root", *row))
     return near.union(_compared(dealt, percent, places).select("a", "b"))
 
@@ -316,19 +321,21 @@ def links(docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str,
             rest = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rest.columns[:4], pa.array(out, pa.binary())], names=["cls", "sign", "grp", "parts", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    known = lambda x: F.coalesce(x["rep"], F.lit(-1))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("rep"), F.col(text_col).cast("string").alias("text"))
+    members = members.withColumn("rep", F.coalesce("rep", F.lit(-1)))
+    # Only texts that stand for a class of a group are shuffled.
+    texts = texts.where(shared.sieve(members, "rep")(F.col("rep")))
 
     def with_sets(some):
         # A repeated id may stand for several texts and rows: one that has the class's set is enough.
-        found = some.join(texts, known(some) == known(texts)).select("cls", "sign", "grp", "parts", "text")
+        found = some.join(texts, "rep").select("cls", "sign", "grp", "parts", "text")
         return found.mapInArrow(sets, "cls long, sign binary, grp long, parts int, shingles binary")
 
     few = with_sets(members.where("parts = 1")).select(F.col("grp").alias("block"), F.lit(0).alias("side"), F.col("cls").alias("root"), "cls", "sign", "shingles")
     pairs = _compared(few, percent, places).select("a", "b")
     if sizes.limit(1).count():
         many = with_sets(members.where("parts > 1")).groupBy("cls").agg(*(F.first(c).alias(c) for c in ("sign", "grp", "parts", "shingles")))
-        pairs = pairs.union(_across(shared.stored(many, "sets"), percent, places, block))
+        pairs = pairs.union(_across(shared.stored(many, "sets"), bands, percent, places, block))
     return classes, shared.stored(pairs, "links")
 
 

@@ -107,12 +107,13 @@ def partitions(df: DataFrame) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the files that df is read from, as the plan has it; no data is read."""
+    """Size of the files that df is read from, as the plan has it; no data is read. What isn't read from files counts 0."""
     todo, total = [df._jdf.queryExecution().optimizedPlan()], 0
     while todo:
         node = todo.pop()
         children = [node.children().apply(i) for i in range(node.children().size())]
-        total += 0 if children else int(str(node.stats().sizeInBytes()))
+        size = 0 if children else int(str(node.stats().sizeInBytes()))
+        total += size if size < 1 << 60 else 0  # Spark says 2^63 - 1 where it doesn't know
         todo += children
     return total
 

@@ -235,9 +235,9 @@ class Index:
     def add(self, docs: DataFrame, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The batch's documents: doc_id, n_words, n_removed, kept (the words left, joined by one blank, or with
         `digest` their SHA-256)."""
-        self.bits = self.bits or exchange.bucket_bits(docs)
-        shape = (self.bits, self.window, self.gram)
         own = exchange.store(docs, F.lit(0), id_col, text_col, len(self.history))
+        self.bits = self.bits or max(exchange.bucket_bits(docs), exchange.bucket_bits(own))
+        shape = (self.bits, self.window, self.gram)
         rows = exchange.ask_stored(own, _prints(*shape)).select(F.lit(TOLD).alias("kind"), "chunk", "bucket", "payload")
         for run in self.runs:
             rows = rows.union(run)

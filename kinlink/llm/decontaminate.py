@@ -333,7 +333,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     found = _searched(build_index(docs, id_col, text_col), benchmark, window, _runs, "row long, first array<long>, last array<long>")
     key, first, last, maybe = shared.fresh(docs.columns, "row", "first", "last", "maybe")
     found = shared.stored(found.groupBy("row").agg(F.first(F.struct("first", "last")).alias("r")).select(F.col("row").alias(key), F.col("r.first").alias(first), F.col("r.last").alias(last)), "runs")
-    marked = docs.withColumn(key, row_key(docs[text_col])).withColumn(maybe, shared.sieve(found, key)(F.col(key)))
+    marked = shared.sieve(docs.withColumn(key, row_key(docs[text_col])), F.col(key), found, key, maybe)
     hit = marked.where(F.col(maybe)).join(found, key, "left").select(*docs.columns, first, last)
     cut = hit.mapInArrow(_cut(docs.columns.index(text_col), docs.columns), docs.schema)
     return marked.where(~F.col(maybe)).select(*docs.columns).union(cut)

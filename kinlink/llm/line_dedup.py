@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG, id_col:
     gone = repeated_lines(docs.select(id_.alias("id"), text.alias("text"), row.alias("row")), window, long).groupBy("row").agg(F.first("gone").alias("gone"))
     key, lost, maybe = shared.fresh([*docs.columns, *counts], "row", "gone", "maybe")
     gone = shared.stored(gone.select(F.col("row").alias(key), F.col("gone").alias(lost)), "gone")
-    marked = docs.withColumn(key, row).withColumn(maybe, shared.sieve(gone, key)(F.col(key)))
+    marked = shared.sieve(docs.withColumn(key, row), F.col(key), gone, key, maybe)
     cut = marked.where(F.col(maybe)).join(gone, key, "left").select(*docs.columns, lost)
     whole = marked.where(~F.col(maybe)).select(*docs.columns, F.lit(None).cast("array<long>").alias(lost))
     names = [*docs.columns, *counts]

@@ -324,7 +324,7 @@ def links(docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str,
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("rep"), F.col(text_col).cast("string").alias("text"))
     members = members.withColumn("rep", F.coalesce("rep", F.lit(-1)))
     # Only texts that stand for a class of a group are shuffled.
-    texts = texts.where(shared.sieve(members, "rep")(F.col("rep")))
+    texts = shared.sieve(texts, F.col("rep"), members, "rep", "maybe").where("maybe").drop("maybe")
 
     def with_sets(some):
         # A repeated id may stand for several texts and rows: one that has the class's set is enough.
@@ -358,6 +358,6 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without those whose near copy with the least doc_id stays. Only documents that may go are shuffled."""
     (maybe,) = shared.fresh(docs.columns, "maybe")
     gone = shared.stored(near_groups(docs, k, percent).where("not kept").select("doc_id"), "gone")
-    marked = docs.withColumn(maybe, F.coalesce(shared.sieve(gone, "doc_id")(F.col("doc_id").cast("long")), F.lit(False)))
+    marked = shared.sieve(docs, F.col("doc_id").cast("long"), gone, "doc_id", maybe)
     left = marked.where(F.col(maybe)).join(gone, "doc_id", "left_anti").select(docs.columns)
     return marked.where(~F.col(maybe)).select(docs.columns).unionByName(left)

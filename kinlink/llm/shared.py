@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,19 +78,17 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return left.join(F.broadcast(hot), key, how).unionByName(cold)
 
 
-def sieve(keys: DataFrame, key: str) -> Callable:
-    """A test of a long column that is false only for values which aren't among keys[key]: a bitmap of 8 MB at any
-    number of keys. What passes must be joined; what doesn't needn't be shuffled."""
+def sieve(df: DataFrame, column, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """df with a flag `name` that is false only where the long column isn't among keys[key]: a bitmap, broadcast as 2^20 words of
+    64 bits at most at any number of keys. What passes must be joined; what doesn't needn't be shuffled."""
     place = lambda c: F.pmod(F.xxhash64(c, F.lit("sieve")), F.lit(1 << SIEVE_BITS))
-    slots = keys.select(place(F.col(key)).alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, int(slot & 63)) AS bit")
-    held = keys.sparkSession.sparkContext.broadcast(bitmap(slots.select("word", F.col("bit").alias("bits"))))
-
-    @F.pandas_udf("boolean")
-    def test(slot: pd.Series) -> pd.Series:
-        at = slot.to_numpy()
-        return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return lambda column: test(place(column))
+    slot, word, bits = fresh([*df.columns, name], "slot", "word", "bits")
+    held = keys.select(place(F.col(key)).alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, int(slot & 63)) AS bit")
+    held = held.groupBy("word").agg(F.bit_or("bit").alias(bits)).withColumnRenamed("word", word)
+    marked = df.withColumn(slot, place(column))
+    marked = marked.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(held), word, "left")
+    flag = F.coalesce(F.expr(f"shiftright({bits}, int({slot} & 63)) & 1"), F.lit(0)) == 1
+    return marked.select(*(marked[c] for c in df.columns), flag.alias(name))
 
 
 def bitmap(words: DataFrame) -> np.ndarray:

@@ -245,9 +245,8 @@ class Index:
         before = told.where(F.col("kind") == TOLD_BEFORE)
         met = own
         if self.history:
-            known = shared.sieve(before, "chunk")
             for past in self.history:
-                met = met.union(past.where(known(F.col("chunk"))))
+                met = met.union(shared.sieve(past, F.col("chunk"), before, "chunk", "told").where("told").drop("told"))
         windows = exchange.gather_stored(met, told, _windows(*shape), "chunk long, kind int, bucket int, payload binary")
         earlier = shared.stored(shared.grouped(windows, "bucket", ["chunk"], _earlier, "chunk long, kind int, bucket int, payload binary"), "earlier")
         answers = told.where(F.col("kind") == TOLD).select("chunk", "kind", "bucket", "payload").union(earlier)

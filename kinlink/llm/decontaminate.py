@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([(place << 32) + number], pa.int64()), "documents": pa.array([documents], pa.binary()), "postings": pa.array([postings], pa.binary())})
 
     text = F.col(text_col).cast("string")
-    return shared.stored(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), row_key(text).alias("row")).mapInArrow(run, INDEX_SCHEMA), "postings")
+    return shared.stored(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), row_key(text).alias("row")).mapInArrow(shared.lean(run), INDEX_SCHEMA), "postings")
 
 
 def row_key(text: Column) -> Column:
@@ -207,7 +207,7 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
                     }
                 )
 
-        found = index.mapInArrow(run, _MATCHES)
+        found = index.mapInArrow(shared.lean(run), _MATCHES)
         found = found if n == 1 else shared.stored(found, "matches")
         out = found if out is None else out.unionByName(found)
     return out
@@ -274,7 +274,7 @@ def _searched(index: DataFrame, benchmark: DataFrame, window: int, each, schema:
                 yield each(shard.ids, shard.keys, shard.bounds, f.low, f.high, f.doc, f.item)
 
         if n == 1:
-            return index.mapInArrow(at_once, schema)
+            return index.mapInArrow(shared.lean(at_once), schema)
 
         def part(batches, held=held):
             for number, documents, shard in _shards(batches):
@@ -282,7 +282,7 @@ def _searched(index: DataFrame, benchmark: DataFrame, window: int, each, schema:
                 ranges = pack(f.low.astype(np.int64), f.high.astype(np.int64), f.doc.astype(np.int64))
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "documents": pa.array([documents], pa.binary()), "found": pa.array([ranges], pa.binary()), "items": pa.array([f.item], pa.list_(pa.string()))})
 
-        passes.append(shared.stored(index.mapInArrow(part, "shard long, documents binary, found binary, items array<string>"), "found"))
+        passes.append(shared.stored(index.mapInArrow(shared.lean(part), "shard long, documents binary, found binary, items array<string>"), "found"))
 
     rows = passes[0]
     for x in passes[1:]:
@@ -335,5 +335,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     found = shared.stored(found.groupBy("row").agg(F.first(F.struct("first", "last")).alias("r")).select(F.col("row").alias(key), F.col("r.first").alias(first), F.col("r.last").alias(last)), "runs")
     marked = shared.sieve(docs.withColumn(key, row_key(docs[text_col])), F.col(key), found, key, maybe)
     hit = marked.where(F.col(maybe)).join(found, key, "left").select(*docs.columns, first, last)
-    cut = hit.mapInArrow(_cut(docs.columns.index(text_col), docs.columns), docs.schema)
+    cut = hit.mapInArrow(shared.lean(_cut(docs.columns.index(text_col), docs.columns)), docs.schema)
     return marked.where(~F.col(maybe)).select(*docs.columns).union(cut)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.llm import shared
+
 ORDERS = (5, 4, 3, 2, 1)
 #: Bounds of the sample that the model is fitted on: documents of a language (about), and languages.
 DOCS_PER_LANGUAGE, LANGUAGES = 1500, 256
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, languages:
     rate = most.select("lang", F.least(F.lit(1.0), docs_per_language / F.col("n")).alias("rate"))
     draw = F.pmod(F.xxhash64(F.lit("language sample"), F.coalesce(F.col("id"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("text", "lang")
-    table = sample.mapInArrow(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow()
+    table = sample.mapInArrow(shared.lean(_count), "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).toArrow()
     return Model(table) if table.num_rows else None
 
 
@@ -112,13 +114,13 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     score in natural units. `names` are those of the two new columns; kept columns of these names give way to them."""
     own = {n.lower() for n in names}
     keep = [k for k in ([id_col] if keep is None else keep) if k.lower() not in own]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     # Columns go by place: a kept one may have any name.
     source = docs.select(*(docs[k].alias(f"c{i}") for i, k in enumerate(keep)), docs[text_col].cast("string").alias("text"))
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches):
-        m = shared.value
+        m = held.value
         known = m.index[0] if m else {}
         memo: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -145,4 +147,4 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 scores.append(float(1 / np.exp(mean - mean[best]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(shared.lean(run), schema)

@@ -115,7 +115,7 @@ def _without(place: int, names: list[str]):
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """(id, row, gone: sorted numbers of the lines that go) of docs (id, row, text)."""
-    seen = shared.stored(docs.mapInArrow(_prints(window, long), _PRINTS), "prints")
+    seen = shared.stored(docs.mapInArrow(shared.lean(_prints(window, long)), _PRINTS), "prints")
     places = seen.groupBy("print").agg(F.min(F.struct("id", "line")).alias("a"), F.max(F.struct("id", "line")).alias("b"), F.count(F.lit(1)).alias("n"))
     met = shared.stored(places.where("a <> b").select("print", "n"), "met")
     each = F.explode(F.arrays_zip("offsets", "wholes")).alias("w")
@@ -144,4 +144,4 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long: int = LONG, id_col:
     cut = marked.where(F.col(maybe)).join(gone, key, "left").select(*docs.columns, lost)
     whole = marked.where(~F.col(maybe)).select(*docs.columns, F.lit(None).cast("array<long>").alias(lost))
     names = [*docs.columns, *counts]
-    return cut.union(whole).mapInArrow(_without(docs.columns.index(text_col), names), docs.schema.add(counts[0], "long").add(counts[1], "long"))
+    return cut.union(whole).mapInArrow(shared.lean(_without(docs.columns.index(text_col), names)), docs.schema.add(counts[0], "long").add(counts[1], "long"))

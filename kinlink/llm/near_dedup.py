@@ -5,7 +5,7 @@
 2. Bands of 8 signature places each put classes into buckets; their number follows from the threshold and the chosen
    miss probability. Most buckets hold one class: a bitmap keeps them out of the shuffle. In a bucket everyone is tied
    to its least class only, and ties are closed into candidate groups, so a bucket of n classes makes n - 1 rows, never
-   its pairs.
+   its pairs. Classes that are read together are tied at once; a bucket then gets their least class alone.
 3. Candidate groups are cut into blocks of bounded size and compared in memory: a pair that shares a band is compared
    signature batch by signature batch, and dropped once the posterior probability that its similarity reaches the
    threshold (uniform prior) is under `miss`. Survivors are verified on their full sets. A comparison returns links that
@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 signs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "cls", "sign"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, cls long, sign binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(shared.lean(run), "doc_id long, n_shingles long, cls long, sign binary")
 
 
 def band_hashes(signs: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -158,19 +158,30 @@ def shared_buckets(classes: DataFrame, places: np.ndarray) -> np.ndarray:
         np.bitwise_or.at(held, own, np.int64(1) << (slot & 63))
         yield pa.RecordBatch.from_pydict({"word": words, "bits": held})
 
-    sent = classes.select("cls", "sign").mapInArrow(send, "part int, payload binary")
+    sent = classes.select("cls", "sign").mapInArrow(shared.lean(send), "part int, payload binary")
     return shared.bitmap(shared.grouped(sent, "part", [], met, "word long, bits long"))
 
 
 def _bands(places: np.ndarray, bitmap):
-    """(cls, bucket) of the buckets that the bitmap has."""
+    """Of the buckets that the bitmap has: rows (a, null, null, met) say in how many of them class a is. Of every run of classes, those that
+    share a bucket are tied to the run's least there (a, b, null, null), and only that one stands for them in the bucket (a, null, bucket, null)."""
 
     def run(batches):
         for cls, signs in _signatures(batches, 4096):
+            order = np.argsort(cls, kind="stable")
+            cls, signs = cls[order], signs[order]
             h = band_hashes(signs, places)
             slot = _slot(h)
             i, j = np.nonzero((bitmap.value[slot >> 6] >> (slot & 63)) & 1)
-            yield pa.RecordBatch.from_pydict({"cls": cls[i], "bucket": h[i, j].view(np.int64)})
+            met = np.bincount(i, minlength=len(cls))
+            bucket, first, own = np.unique(h[i, j], return_index=True, return_inverse=True)  # rows go by class: the first is the least
+            head = i[first]
+            tie = np.unique((i * np.int64(len(cls)) + head[own])[i != head[own]])
+            own = np.flatnonzero(met)
+            a = np.concatenate([cls[own], cls[tie // len(cls)], cls[head]])
+            at = np.cumsum([len(own), len(tie), len(head)])
+            column = lambda values, x, y: pa.concat_arrays([pa.nulls(x, pa.int64()), pa.array(values, pa.int64()), pa.nulls(at[2] - y, pa.int64())])
+            yield pa.RecordBatch.from_pydict({"a": a, "b": column(cls[tie % len(cls)], at[0], at[1]), "bucket": column(bucket.view(np.int64), at[1], at[2]), "met": column(met[own], 0, at[0])})
 
     return run
 
@@ -259,7 +270,7 @@ def _compared(dealt: DataFrame, percent: int, places: np.ndarray, tied: bool = F
 def _across(full: DataFrame, bands: DataFrame, percent: int, places: np.ndarray, block: int) -> DataFrame:
     """(a, b): links of the groups of more than one block. full: cls, sign, grp, parts, shingles; stored."""
     row = ["cls", "sign", "shingles"]
-    met = full.select("cls", "grp", "parts").join(bands, "cls").groupBy("cls", "grp").agg(F.count(F.lit(1)).alias("met"))
+    met = full.select("cls", "grp").join(bands.where("met is not null").select(F.col("a").alias("cls"), "met"), "cls")
     order = Window.partitionBy("grp").orderBy(F.desc("met"), "cls")
     pivots = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("cls", "place")
     pivots = shared.stored(pivots.join(full, "cls").select("grp", "parts", "place", *row), "pivots")
@@ -301,10 +312,12 @@ def links(docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str,
     # Smaller sets reach the threshold only when equal.
     large = classes.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("n") + 1))
     bitmap = docs.sparkSession.sparkContext.broadcast(shared_buckets(large, places))
-    bands = shared.stored(large.select("cls", "sign").mapInArrow(_bands(places, bitmap), "cls long, bucket long"), "bands")
-    heads = bands.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("n")).where("head <> last")
+    bands = shared.stored(large.select("cls", "sign").mapInArrow(shared.lean(_bands(places, bitmap)), "a long, b long, bucket long, met long"), "bands")
+    firsts = bands.where("bucket is not null").select("a", "bucket")
+    heads = firsts.groupBy("bucket").agg(F.min("a").alias("head"), F.max("a").alias("last"), F.count(F.lit(1)).alias("n")).where("head <> last")
     heads = shared.stored(heads.select("bucket", "head", "n"), "heads")
-    ties = shared.keyed_join(bands, heads, "bucket").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    ties = shared.keyed_join(firsts, heads, "bucket").where("a <> head").select("a", F.col("head").alias("b"))
+    ties = ties.union(bands.where("b is not null").select("a", "b"))
     groups = shared.stored(components(ties).select(F.col("node").alias("cls"), F.col("root").alias("grp")), "groups")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > block)
     sizes = shared.stored(sizes, "large")
@@ -329,7 +342,7 @@ def links(docs: DataFrame, sketch: DataFrame, k: int, percent: int, id_col: str,
     def with_sets(some):
         # A repeated id may stand for several texts and rows: one that has the class's set is enough.
         found = some.join(texts, "rep").select("cls", "sign", "grp", "parts", "text")
-        return found.mapInArrow(sets, "cls long, sign binary, grp long, parts int, shingles binary")
+        return found.mapInArrow(shared.lean(sets), "cls long, sign binary, grp long, parts int, shingles binary")
 
     few = with_sets(members.where("parts = 1")).select(F.col("grp").alias("block"), F.lit(0).alias("side"), F.col("cls").alias("root"), "cls", "sign", "shingles")
     pairs = _compared(few, percent, places).select("a", "b")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -128,6 +129,20 @@ def steady(docs: DataFrame, name: str = "docs") -> DataFrame:
     return docs
 
 
+def lean(fn: Callable) -> Callable:
+    """The Arrow pass fn, whose worker gives memory back to the system at its end. Workers are kept for later stages, and an executor
+    of several cores and passes has several of them, so what each held at its peak would add up from stage to stage."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def grouped(df: DataFrame, key: str, order: list[str], fn: Callable[[int, dict[str, list]], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
     """One Arrow pass over the rows of each key: df dealt by key and sorted, fn(key, columns) gives batches of output.
 
@@ -161,4 +176,4 @@ def grouped(df: DataFrame, key: str, order: list[str], fn: Callable[[int, dict[s
         if held is not None:
             yield from flush()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)

@@ -1,6 +1,9 @@
 """Cases in which a bounded list, a sample or a size switch must not cost results."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import components as close
 from pyspark.sql import functions as F
@@ -155,3 +158,17 @@ def test_groups_larger_than_blocks(spark, monkeypatch):
     roots, _ = near_copies(rows, 3, 85)
     assert {x.doc_id: x.component_id for x in out} == roots
     assert len({roots[i] for i in range(90)}) < len({roots[i] for i in range(200, 260)})
+
+
+def test_a_bucket_gets_one_class_of_a_run():
+    places = near_dedup.band_places(0.8)
+    sign = np.arange(near_dedup.PLACES, dtype=np.uint16)
+    other = sign + np.uint16(1000)
+    batch = pa.RecordBatch.from_pydict({"cls": pa.array([9, 5, 7, 2], pa.int64()), "sign": [x.tobytes() for x in (sign, sign, sign, other)]})
+    everything = SimpleNamespace(value=np.full(1 << (shared.SIEVE_BITS - 6), -1, np.int64))
+    rows = [r for b in near_dedup._bands(places, everything)([batch]) for r in b.to_pylist()]
+    n = len(places)
+    assert {(r["a"], r["met"]) for r in rows if r["met"]} == {(x, n) for x in (2, 5, 7, 9)}
+    assert sorted((r["a"], r["b"]) for r in rows if r["b"]) == [(7, 5), (9, 5)]
+    heads = [(r["a"], r["bucket"]) for r in rows if r["bucket"]]
+    assert len(heads) == len(set(heads)) == 2 * n and {a for a, _ in heads} == {2, 5}
